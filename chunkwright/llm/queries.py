@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from . import langid
+from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
 from .packing import pack_documents
+from .sharding import stratified_shards
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
@@ -17,6 +20,47 @@ def op2_harmonic_packing(spark: SparkSession, base: str) -> DataFrame:
     return pack_documents(table(spark, base, "documents"))
 
 
+def op4_hyperdimensional_langid(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    prototypes = langid.learn(docs.where(~langid.held_out()))
+    return langid.predict(docs, prototypes).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_stratified_shards(spark: SparkSession, base: str) -> DataFrame:
+    placed = stratified_shards(table(spark, base, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op9_prefix_target_chat(spark: SparkSession, base: str) -> DataFrame:
+    said = f"{CLOSE}{OPEN} ok {MIDDLE}"
+    added = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, base, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return read_back(prefix_examples(turns))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), segments AS (
+  SELECT *, '[INST]' || regexp_replace(role, '([<\[]<?)(\\*)(/?(?:s|SYS|INST)[>\]]>?)', '\1\\\2\3', 'g')
+    || '[/INST]' || regexp_replace(text, '([<\[]<?)(\\*)(/?(?:s|SYS|INST)[>\]]>?)', '\1\\\2\3', 'g') || '</s>' AS seg
+  FROM turns
+), ordered AS (
+  SELECT *, row_number() OVER w AS rn, sum(length(seg)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM segments WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, seg)
+)
+SELECT conv_id, max(n) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR rn = n) AS BIGINT) AS formatted_chars
+FROM ordered GROUP BY conv_id
+"""
+
+
 def op8_simhash_vptree(spark: SparkSession, base: str) -> DataFrame:
     found = near_duplicates(table(spark, base, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,8 +72,11 @@ def op10_arrow_token_files(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
+    "op7_stratified_shards": op7_stratified_shards,
+    "op9_prefix_target_chat": op9_prefix_target_chat,
     "op8_simhash_vptree": op8_simhash_vptree,
     "op10_arrow_token_files": op10_arrow_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_prefix_target_chat": OP9_SQL}
