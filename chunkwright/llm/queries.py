@@ -8,14 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid
+from . import langid, pii, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
+from .decontaminate import find_overlaps
 from .packing import pack_documents
 from .sharding import stratified_shards
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
 
+def op1_boosted_pii(spark: SparkSession, base: str) -> DataFrame:
+    found = pii.find_pii(table(spark, base, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "added").alias("spans"))
+
+
+def op3_bottom_k_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    made = sketch.neighbour_sketches(table(spark, base, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "n_shingles",
+    )
+
+
+def op5_spaced_seed_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    return find_overlaps(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
 def op2_harmonic_packing(spark: SparkSession, base: str) -> DataFrame:
     return pack_documents(table(spark, base, "documents"))
 
@@ -71,6 +96,9 @@ def op10_arrow_token_files(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_pii": op1_boosted_pii,
+    "op3_bottom_k_fingerprints": op3_bottom_k_fingerprints,
+    "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op7_stratified_shards": op7_stratified_shards,
