@@ -175,13 +175,14 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], params: Profile
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), params.dimensions)
     matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    at_text = carry.index("text") if "text" in carry else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(params)
         for batch in batches:
             for at in range(0, batch.num_rows, params.batch_rows):
                 part = batch.slice(at, params.batch_rows)
-                bundle, _, n_letters = enc.bundle(part.column(len(carry)).to_pylist())
+                bundle, _, n_letters = enc.bundle(part.column(at_text).to_pylist())
                 best, score = np.zeros(part.num_rows, int), np.zeros(part.num_rows)
                 known = (n_letters > 0) & bool(names)
                 if names:
@@ -192,9 +193,23 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], params: Profile
                 said = [names[b] if k else UNDETERMINED for b, k in zip(best, known)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))], schema=pa.schema([*list(part.schema)[: len(carry)], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return docs.select(*carry, *([] if "text" in carry else ["text"])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text is a multiple of 5; a null id counts as empty."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def keep_identified(docs: DataFrame, params: Profiles = Profiles()) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told: null texts and texts without a letter.
+
+    Languages are learned from the labelled rows that ``held_out`` leaves; a null ``lang`` is filled with the
+    prediction. If no row is labelled, nothing is learned and only the presence of a letter counts. Columns
+    pass as they are; a lang_pred or score column of ``docs`` is not allowed.
+    """
+    prototypes = learn(docs.where(~held_out()), params)
+    said = predict(docs, prototypes, params, tuple(docs.columns))
+    told = F.col("lang_pred") != UNDETERMINED if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    lang = F.coalesce("lang", F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred")))
+    return said.where(told).select(*[lang.alias("lang") if c == "lang" else c for c in docs.columns])

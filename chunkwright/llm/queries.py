@@ -11,6 +11,7 @@ from ..sources.tables import table
 from . import langid, pii, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
 from .decontaminate import find_overlaps
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .sharding import stratified_shards
 from .simhash import near_duplicates
@@ -41,6 +42,46 @@ def op5_spaced_seed_decontamination(spark: SparkSession, base: str) -> DataFrame
     return find_overlaps(table(spark, base, "documents"), table(spark, base, "benchmark"))
 
 
+def op6_line_similarity_dedup(spark: SparkSession, base: str) -> DataFrame:
+    done = dedup_lines(table(spark, base, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"))
+
+
+#: The common tables of op6: every line's tokens in order of their true counts, prefixes, and near earlier lines.
+LINE_DEDUP_SQL = r"""
+lines AS (
+  SELECT doc_id AS d, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
+  FROM {docs} WHERE text IS NOT NULL
+), tokens AS (
+  SELECT line, list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '),
+    lambda w: w <> '')) AS t
+  FROM (SELECT DISTINCT line FROM lines)
+), firsts AS (
+  SELECT line, t, len(t) AS n, arg_min(d, (d, i)) AS d, arg_min(i, (d, i)) AS i
+  FROM lines JOIN tokens USING (line) WHERE len(t) >= 5 GROUP BY line, t
+), words AS (SELECT line, n, d, i, t, unnest(t) AS w FROM firsts
+), counted AS (SELECT w, count(*) AS c FROM words GROUP BY w
+), ranked AS (
+  SELECT line, n, d, i, t, w, row_number() OVER (PARTITION BY line ORDER BY c, w) AS pos FROM words JOIN counted USING (w)
+), prefix AS (SELECT * FROM ranked WHERE pos <= n - (4 * n + 4) // 5 + 1
+), near AS (
+  SELECT DISTINCT l.line FROM prefix l JOIN prefix r ON l.w = r.w AND l.line <> r.line
+  WHERE (r.d < l.d OR r.d = l.d AND r.i < l.i) AND 5 * l.n >= 4 * r.n AND 5 * r.n >= 4 * l.n
+    AND len(list_intersect(l.t, r.t)) * 9 >= 4 * (l.n + r.n)
+), kept AS (SELECT d, i FROM firsts WHERE line NOT IN (SELECT line FROM near)
+), flagged AS (
+  SELECT d, i, line, len(t) < 5 OR EXISTS (SELECT 1 FROM kept k WHERE k.d = lines.d AND k.i = lines.i) AS stays
+  FROM lines JOIN tokens USING (line)
+), deduped AS (
+  SELECT d, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed
+  FROM flagged GROUP BY d
+)"""
+OP6_SQL = "WITH " + LINE_DEDUP_SQL.replace("{docs}", "documents") + """
+SELECT doc_id, deduped.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents LEFT JOIN deduped ON doc_id = d
+"""
+
+
 def op2_harmonic_packing(spark: SparkSession, base: str) -> DataFrame:
     return pack_documents(table(spark, base, "documents"))
 
@@ -99,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_pii": op1_boosted_pii,
     "op3_bottom_k_fingerprints": op3_bottom_k_fingerprints,
     "op5_spaced_seed_decontamination": op5_spaced_seed_decontamination,
+    "op6_line_similarity_dedup": op6_line_similarity_dedup,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_hyperdimensional_langid": op4_hyperdimensional_langid,
     "op7_stratified_shards": op7_stratified_shards,
@@ -107,4 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_arrow_token_files": op10_arrow_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_prefix_target_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_similarity_dedup": OP6_SQL,
+    "op9_prefix_target_chat": OP9_SQL,
+}
