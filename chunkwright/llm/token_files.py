@@ -1,7 +1,6 @@
 """Token ids as Arrow stream files (IPC file format) of fixed-size lists.
 
-Documents are tokenized where they lie, dealt into doc_id ranges, and each range is written as one
-Arrow file: column ``ids`` is a fixed-size list of ``sequence_length`` ids, ``mask`` a fixed-size list
+Documents are dealt into doc_id ranges, and each range is tokenized and written as one Arrow file: column ``ids`` is a fixed-size list of ``sequence_length`` ids, ``mask`` a fixed-size list
 of booleans that is false only on the padding of the range's last sequence. Uncompressed, so a reader
 maps the file and takes any row in place. A side file holds the range's documents and their lengths.
 Files are written under a name of their own attempt and renamed when whole, so a lost executor or a
@@ -33,6 +32,7 @@ class TokenFiles:
     sequence_length: int = 2048
     rows_per_batch: int = 256
     batch_rows: int = 256
+    docs_per_file: int = 50_000
 
 
 MANIFEST_SCHEMA = "shard int, lo long, hi long, n_docs long, n_ids long, path string"
@@ -45,26 +45,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
-def tokenize(docs: DataFrame, params: TokenFiles) -> DataFrame:
-    """(doc_id, packed): each text's ids with the end id, in the narrowest unsigned type, deflated for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(params.tokenizer)
-        kind = id_type(enc.vocab_size)
-        zstd = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, params.batch_rows):
-                part = batch.slice(at, params.batch_rows)
-                packed, counts = [], []
-                for ids in enc.encode([t or "" for t in part.column(1).to_pylist()]):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(params.end_id)).astype(kind)
-                    counts.append(len(ids))
-                    packed.append(zstd.compress(ids.tobytes(), asbytes=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_ids", "packed"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, packed binary")
-
-
 def id_type(vocab_size: int) -> np.dtype:
     return np.dtype("<u2") if vocab_size <= 1 << 16 else np.dtype("<u4")
 
@@ -123,26 +103,28 @@ def write_token_files(docs: DataFrame, base: str | None = None, params: TokenFil
 
     One row per range: ``shard`` (ascending with doc_id), ``path``, counts, ``first``: ids of all ranges
     before it. Null texts are empty (their end id alone); rows with a null doc_id sort first; repeated
-    doc_ids stay together in one range, ordered by their ids; an empty table gives an empty manifest.
+    doc_ids stay together in one range, ordered by text; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     base = base or new_shared_path(spark, "tokens")
-    local = base
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // params.docs_per_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, shard = None, TaskContext.get().partitionId()
-        zstd = pa.Codec("zstd")
-        kind = id_type(encoder(params.tokenizer).vocab_size)
+        enc = encoder(params.tokenizer)
+        kind = id_type(enc.vocab_size)
         for batch in batches:
-            for doc_id, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                writer = writer or RangeWriter(params, kind, local)
-                writer.add(doc_id, np.frombuffer(zstd.decompress(packed, n * kind.itemsize), kind))
+            for at in range(0, batch.num_rows, params.batch_rows):
+                part = batch.slice(at, params.batch_rows)
+                writer = writer or RangeWriter(params, kind, base)
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
+                    writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(params.end_id)).astype(kind))
         if writer:
             row = writer.close(shard)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["shard", "lo", "hi", "n_docs", "n_ids", "path"])
 
-    ranged = tokenize(docs, params).repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_ids", "packed")
+    order = F.col("doc_id").asc_nulls_first()
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n_parts, order).sortWithinPartitions(order, "text")
     # The manifest is written, so later reads see one set of files and never write them again.
     manifest_path = new_shared_path(spark, "manifest")
     ranged.mapInArrow(run, MANIFEST_SCHEMA).write.parquet(manifest_path)

@@ -19,9 +19,11 @@ _CHUNK_LOOSE = re.compile(f"[^{WHITE}]+")
 _CHUNK_BYTES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks kept per process; about 200 bytes each.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 #: Longer chunks go to the library each time.
-CACHE_CHUNK_CHARS = 64
+CACHE_CHUNK_CHARS = 32
+#: Behind a letter, a run of these is a piece of its own to both tokenizers.
+MARKS = ".,;:!?%*$#&|"
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
@@ -66,6 +68,26 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _missing(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the cache lacks; a word and the marks behind it are looked up apart."""
+        stems, need = {}, set()
+        for c in chunks:
+            stem = c.rstrip(MARKS)
+            if stem and len(stem) < len(c) and stem[-1].isalpha():
+                stems[c] = stem
+                need.add(stem)
+                need.add(c[len(stem) :])
+            else:
+                need.add(c)
+        new = {c: ids for c in need if (ids := self.cache.get(c)) is not None}
+        unknown = [c for c in need if c not in new]
+        fresh = dict(zip(unknown, self._library(unknown)))
+        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
+            self.cache.clear()
+        self.cache.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHE_CHUNK_CHARS)
+        new |= fresh
+        return new | {c: new[stem] + new[c[len(stem) :]] for c, stem in stems.items()}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self._library(texts)
@@ -74,12 +96,8 @@ class ChunkEncoder:
             chunks = self.split(text)
             found = list(map(self.cache.get, chunks))
             if None in found:
-                missing = list({c for c, ids in zip(chunks, found) if ids is None})
-                new = dict(zip(missing, self._library(missing)))
+                new = self._missing({c for c, ids in zip(chunks, found) if ids is None})
                 found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
-                if len(self.cache) + len(new) > CACHE_CHUNKS:
-                    self.cache.clear()
-                self.cache.update((c, ids) for c, ids in new.items() if len(c) <= CACHE_CHUNK_CHARS)
             out.append(b"".join(found))
         return out
 
