@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -53,7 +54,7 @@ class CallableEmbedder:
 
     def embed(self, chunks: DataFrame) -> DataFrame:
         load, size, at = self.load, self.batch, chunks.columns.index("tokens")
-        schema = chunks.schema.add("embedding", "array<float>")
+        schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
