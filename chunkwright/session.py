@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/chunkwright"
+_STAGED: list[str] = []
 
 
 def local_session(app: str = "chunkwright", cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,4 +47,14 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_shared_path(spark, tag)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far, once nothing built on them is needed; returns how many there were."""
+    n = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -260,6 +260,13 @@ def test_prefix_sums_property(spark, values):
     assert df.first()[0] == [sum(values[:i]) for i in range(len(values) + 1)]
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from chunkwright.session import drop_staged, stage_table
+
+    assert stage_table(spark.range(3), "t").count() == 3
+    assert drop_staged(spark) >= 1 and drop_staged(spark) == 0
+
+
 def test_entry_and_queries_have_matching_names(spark):
     import __spark_entry__ as entry
 
