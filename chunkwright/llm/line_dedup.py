@@ -74,8 +74,9 @@ def _keys() -> list[Column]:
 def _tokens(table: str, p: LineDedup) -> Column:
     """A line's distinct tokens by rarity: the class in the top bits, then the hash."""
     size = 1 << p.rarity_bits
-    ordered = f"""sort_array(array_distinct(transform({_words('line')}, w -> transform(array({_token_hash('w')}),
-        h -> shiftleft(cast(element_at({table}, cast(h & {size - 1} as int) + 1) as bigint), 56) | (h & {(1 << 56) - 1}))[0])))"""
+    hashes = f"transform({_words('line')}, w -> {_token_hash('w')})"
+    ordered = f"""sort_array(array_distinct(transform({hashes},
+        h -> shiftleft(cast(element_at({table}, cast(h & {size - 1} as int) + 1) as bigint), 56) | (h & {(1 << 56) - 1}))))"""
     return F.expr(ordered)
 
 
