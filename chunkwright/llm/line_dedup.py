@@ -68,7 +68,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _keys() -> list[Column]:
-    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("k2")]
+    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
 
 
 def _tokens(table: str, p: LineDedup) -> Column:
