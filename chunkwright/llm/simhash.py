@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
     known = points.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    known = stage_table(known, "known")  # so that the join below has plain exchanges, which can be split at hot fingerprints
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
