@@ -23,7 +23,7 @@ class Sharding:
     shards: int = 8
     seed: int = 20_240_601
     #: Rows that a ranking bucket should hold.
-    bucket_rows: int = 8_192
+    bucket_rows: int = 2_048
 
 
 def _bits(rows: int, bucket_rows: int) -> int:
