@@ -51,6 +51,11 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now rather than at the driver's next collection."""
+    spark._jvm.System.gc()
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged so far, once nothing built on them is needed; returns how many there were."""
     n = 0
