@@ -56,6 +56,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def drop_table(spark: SparkSession, staged: DataFrame) -> None:
+    """Delete one staged table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables staged so far, once nothing built on them is needed; returns how many there were."""
     n = 0
