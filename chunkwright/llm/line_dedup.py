@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in built-in expressions.
 
 A line's tokens are its distinct lower-cased words, ordered by rarity: by the size class of the word's
-count over all documents, then by hash. Two lines are near when the Jaccard likeness of their token sets
+count over all distinct lines, then by hash. Two lines are near when the Jaccard likeness of their token sets
 is at least the threshold; a line is removed when any line before it, in doc_id and line order, is near.
 
 Lines alike in every character meet by hash first, so only distinct lines are joined. Two near lines share
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import drop_table, release_shuffles, stage_table
 
 
 @dataclass(frozen=True)
@@ -34,25 +34,30 @@ class LineDedup:
     member_bits: int = 22
 
 
-_BREAKS = "\t\x0b\x0c\r"
+def _words(text: str) -> str:
+    """SQL for the lower-cased words between ASCII white space."""
+    return f"array_remove(split(lower({text}), '[ \\\\x09-\\\\x0D]+'), '')"
 
 
-def _words(text: str) -> str:
-    return f"array_remove(split(translate(lower({text}), '{_BREAKS}\\n', '     '), ' '), '')"
+def _step(df: DataFrame, tag: str) -> DataFrame:
+    """Write a step's result; the step's shuffle files are then done with."""
+    out = stage_table(df, tag)
+    release_shuffles(df.sparkSession)
+    return out
 
 
 def _token_hash(word: str) -> str:
     return f"xxhash64({word})"
 
 
-def _rarity_table(docs: DataFrame, p: LineDedup) -> str:
-    """A foldable SQL literal: for each counter, the size class of the number of words that fell to it."""
+def _rarity_table(lines: DataFrame, p: LineDedup) -> str:
+    """A foldable SQL literal: for each counter, the size class of the number of lines with words that fell to it."""
     size = 1 << p.rarity_bits
-    words = docs.select(F.explode(F.expr(_words("text"))).alias("w"))
-    counts = words.groupBy(F.expr(f"cast({_token_hash('w')} & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    # Two size classes for each doubling; a class is one letter, so the whole table is `size` letters.
+    words = lines.select(F.explode("h").alias("w"))
+    counts = words.groupBy(F.expr(f"cast(w & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # Two size classes for each doubling.
     classed = counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2("n"))).cast("int").alias("c"))
-    rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.sort_array(F.collect_list(F.struct("slot", "c"))).alias("s"))
+    rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.struct("slot", "c")).alias("s"))
     packed = rows.select("block", F.expr("array_join(transform(s, x -> concat(x.slot % 4096, ':', x.c)), ',')").alias("s"))
     classes = [0] * size
     for r in packed.collect():  # at most `size` small numbers
@@ -71,13 +76,10 @@ def _keys() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
 
 
-def _tokens(table: str, p: LineDedup) -> Column:
-    """A line's distinct tokens by rarity: the class in the top bits, then the hash."""
+def _by_rarity(table: str, p: LineDedup) -> Column:
+    """A line's distinct words ``h`` by rarity: the class in the top bits, then the hash."""
     size = 1 << p.rarity_bits
-    hashes = f"transform({_words('line')}, w -> {_token_hash('w')})"
-    ordered = f"""sort_array(array_distinct(transform({hashes},
-        h -> shiftleft(cast(element_at({table}, cast(h & {size - 1} as int) + 1) as bigint), 56) | (h & {(1 << 56) - 1}))))"""
-    return F.expr(ordered)
+    return F.expr(f"sort_array(transform(h, x -> shiftleft(cast(element_at({table}, cast(x & {size - 1} as int) + 1) as bigint), 56) | (x & {(1 << 56) - 1})))")
 
 
 def _need(a: str, b: str, p: LineDedup) -> str:
@@ -89,33 +91,35 @@ def _need(a: str, b: str, p: LineDedup) -> str:
 def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
     """(firsts, removed): the first place (d, i) of each distinct line (k1, k2), and the k1, k2 of those to remove there."""
     num, den = p.near
-    table = _rarity_table(docs, p)
-    # One view of the table for all expressions: it is folded to an array literal once.
-    lines = _lines(docs).select("d", "i", "line", *_keys())
-    judged = lines.select("d", "i", "k1", "k2", _tokens(table, p).alias("t"))
-    judged = judged.select("d", "i", "k1", "k2", F.size("t").alias("n"), "t").where(F.col("n") >= p.min_tokens)
-    slim = judged.select(
+    spark = docs.sparkSession
+    hashed = F.expr(f"array_distinct(transform({_words('line')}, w -> {_token_hash('w')} & {(1 << 56) - 1}))")
+    judged = _lines(docs).select("d", "i", *_keys(), hashed.alias("h")).where(F.size("h") >= p.min_tokens)
+    firsts = judged.groupBy("k1", "k2").agg(F.min(F.struct("d", "i", "h")).alias("at")).select("k1", "k2", "at.*")
+    lines = _step(firsts, "lines")  # every distinct line once, with its words: the texts are read no more
+    table = _rarity_table(lines, p)
+    release_shuffles(spark)
+
+    ordered = lines.select("k1", F.size("h").alias("n"), _by_rarity(table, p).alias("t"))
+    slim = ordered.select(
         "k1",
-        "k2",
-        F.struct(
-            "d",
-            "i",
-            "n",
-            F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-            F.expr(f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)").alias("prefix"),
-        ).alias("at"),
+        "n",
+        F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
+        F.expr(f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)").alias("prefix"),
     )
-    firsts = stage_table(slim.groupBy("k1", "k2").agg(F.min("at").alias("at")).select("k1", "k2", "at.*"), "lines")
-
-    spread = firsts.select("k1", "k2", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
+    slim = _step(slim, "prefixes")
+    # Here k1 alone names a line: should two lines share it, both are looked at again below.
+    spread = slim.select("k1", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
     left, right = spread.alias("l"), spread.alias("r")
-    alike = f"""l.token = r.token AND (l.k1 <> r.k1 OR l.k2 <> r.k2)
+    alike = f"""l.token = r.token AND l.k1 <> r.k1
         AND l.n * {den} >= r.n * {num} AND r.n * {den} >= l.n * {num}
         AND least(l.n - l.pos, r.n - r.pos) >= {_need('l.n', 'r.n', p)}
         AND bit_count(l.sig ^ r.sig) <= l.n + r.n - 2 * {_need('l.n', 'r.n', p)}"""
-    maybe = stage_table(left.join(right, F.expr(alike), "left_semi").select("k1", "k2").distinct(), "maybe")
+    # (line, token) rows: only these tokens can lead to a neighbour
+    found = _step(left.join(right, F.expr(alike), "left_semi").select("k1", "pos", "token").distinct(), "found")
+    drop_table(spark, slim)
+    maybe = found.select("k1").distinct()
 
-    # The texts of those lines are read again; a bit table of bounded size keeps most others from the shuffle.
+    # The words of those lines only go on; a bit table of bounded size keeps most others from the shuffle.
     bits = 1 << p.member_bits
     words = maybe.groupBy(F.expr(f"cast((k1 & {bits - 1}) div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k1 & 63 as int)))").alias("b"))
     packed = words.groupBy(F.expr("w div 1024").alias("block")).agg(F.expr("array_join(transform(collect_list(struct(w, b)), x -> concat(x.w, ':', x.b)), ',')").alias("s"))
@@ -126,19 +130,19 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame,
             member[int(w)] = int(b)
     member_table = f"cast(split('{','.join(map(str, member))}', ',') as array<bigint>)"
     inside = f"shiftright(element_at({member_table}, cast((k1 & {bits - 1}) div 64 as int) + 1), cast(k1 & 63 as int)) & 1 = 1"
-    kept = firsts.join(maybe, ["k1", "k2"], "left_semi").select("k1", "k2", "d", "i")
-    again = lines.where(F.expr(inside)).join(kept, ["k1", "k2", "d", "i"]).dropDuplicates(["k1", "k2"])
-    whole = stage_table(again.select("k1", "k2", "d", "i", _tokens(table, p).alias("t")).withColumn("n", F.size("t")), "whole")
+    chosen = lines.where(F.expr(inside)).join(maybe, "k1", "left_semi")
+    whole = _step(chosen.select("k1", "k2", "d", "i", _by_rarity(table, p).alias("t")).withColumn("n", F.size("t")), "whole")
+    places = _step(lines.select("k1", "k2", "d", "i"), "places")
+    drop_table(spark, lines)
 
-    prefix = F.posexplode(F.expr(f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)")).alias("pos", "token")
-    exact = whole.select("k1", "k2", "d", "i", "n", "t", prefix)
+    exact = whole.join(found, "k1")
     left, right = exact.alias("l"), exact.alias("r")
     before = "(r.d < l.d OR r.d = l.d AND (r.i < l.i OR r.i = l.i AND (r.k1 < l.k1 OR r.k1 = l.k1 AND r.k2 < l.k2)))"
     verified = f"""l.token = r.token AND {before} AND l.n * {den} >= r.n * {num} AND r.n * {den} >= l.n * {num}
         AND least(l.n - l.pos, r.n - r.pos) >= {_need('l.n', 'r.n', p)}
         AND size(array_intersect(l.t, r.t)) >= {_need('l.n', 'r.n', p)}"""
-    removed = left.join(right, F.expr(verified), "left_semi").select("k1", "k2").distinct()
-    return firsts.select("k1", "k2", "d", "i"), removed
+    removed = _step(left.join(right, F.expr(verified), "left_semi").select("k1", "k2").distinct(), "removed")
+    return places, removed
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
