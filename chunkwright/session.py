@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,14 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now rather than at the driver's next collection."""
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now rather than at the driver's next collection.
+
+    A finished step stays reachable from events not yet handled, so those are waited for first.
+    """
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop_table(spark: SparkSession, staged: DataFrame) -> None:
