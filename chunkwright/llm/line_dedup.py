@@ -142,6 +142,8 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame,
         AND least(l.n - l.pos, r.n - r.pos) >= {_need('l.n', 'r.n', p)}
         AND size(array_intersect(l.t, r.t)) >= {_need('l.n', 'r.n', p)}"""
     removed = _step(left.join(right, F.expr(verified), "left_semi").select("k1", "k2").distinct(), "removed")
+    drop_table(spark, whole)
+    drop_table(spark, found)
     return places, removed
 
 
