@@ -6,6 +6,11 @@ of the documents' windows; around every hit the two texts are laid over each oth
 overlap is extended both ways to its best score (a match gains 1, a substitution costs 4, so any overlap
 kept has at least four of five tokens equal). Overlaps of ``min_overlap`` tokens or more count.
 
+The best score leaves substituted tokens at the ends out, and so may leave less than ``min_overlap``. With
+``untrimmed`` any stretch of that length around the hit counts that has four of five tokens equal, so all
+passages the masks promise to find are kept. Items shorter than ``min_overlap`` must then be met whole: such
+an item is cut into one piece more than it may have substitutions, so one of its pieces is met as it is.
+
 The benchmark goes to the workers in blocks of bounded size, as many as it needs; each block is compared
 with all documents in one pass without a shuffle.
 """
@@ -32,11 +37,17 @@ class SpacedSeeds:
     masks: tuple[str, ...] = ("11101011", "11001111")
     min_overlap: int = 13
     mismatch_cost: int = 4
+    #: Judge the stretch around a hit before its ends are trimmed, and look up short items whole.
+    untrimmed: bool = False
     #: Benchmark tokens sent to the workers at once.
     block_tokens: int = 400_000
     batch_rows: int = 256
 
 
+#: The whole job: what the query and the pipeline use.
+EVERY = SpacedSeeds(untrimmed=True)
+
+
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
@@ -61,22 +72,43 @@ class SeedIndex:
         self.p = p
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple] = []
-        per_mask: list[list[tuple[np.ndarray, int]]] = [[] for _ in p.masks]
+        seeds: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {mask: [] for mask in p.masks}
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], np.int64)
-            for m, mask in enumerate(p.masks):
-                per_mask[m].append((_hashes(ids.astype(np.uint64), mask), len(self.items)))
+            wide = ids.astype(np.uint64)
+            if p.untrimmed and len(ids) < p.min_overlap:
+                for at, mask in self._pieces(len(ids)):
+                    seeds.setdefault(mask, []).append((_hashes(wide[at : at + len(mask)], mask), np.array([at]), len(self.items)))
+            else:
+                for mask in p.masks:
+                    h = _hashes(wide, mask)
+                    seeds[mask].append((h, np.arange(len(h)), len(self.items)))
             self.items.append((item_id, ids))
         self.masks = []
-        for mask, found in zip(p.masks, per_mask):
-            key = np.concatenate([h for h, _ in found] or [np.empty(0, np.uint64)])
-            item = np.concatenate([np.full(len(h), i) for h, i in found] or [np.empty(0, int)])
-            at = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.empty(0, int)])
+        for mask, found in seeds.items():
+            key = np.concatenate([h for h, _, _ in found] or [np.empty(0, np.uint64)])
+            item = np.concatenate([np.full(len(h), i) for h, _, i in found] or [np.empty(0, int)])
+            at = np.concatenate([places for _, places, _ in found] or [np.empty(0, int)])
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << _FILTER_BITS, bool)
             maybe[key >> np.uint64(64 - _FILTER_BITS)] = True
             self.masks.append((mask, key[order], item[order], at[order], maybe))
 
+    def _pieces(self, n: int) -> list[tuple[int, str]]:
+        """(place, mask) of the pieces of a short item of n tokens, one more than the substitutions it may have."""
+        cuts = n // (self.p.mismatch_cost + 1) + 1
+        ends = [n * k // cuts for k in range(cuts + 1)]
+        return [(a, "1" * (b - a)) for a, b in zip(ends, ends[1:]) if b > a]
+
+    def _longest(self, same: np.ndarray, start: int, stop: int) -> tuple[int, int] | None:
+        """The longest stretch around the hit at [start, stop) with enough equal tokens, the first of equal length."""
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -self.p.mismatch_cost))])
+        beyond = np.maximum.accumulate(total[stop:][::-1])  # the best total at an end or after it, from the last end back
+        last = len(same) - np.searchsorted(beyond, total[: start + 1], "left")  # the last end that reaches each start's total
+        length = np.where(last >= stop, last - np.arange(start + 1), -1)
+        first = int(length.argmax())
+        return (first, int(last[first])) if length[first] > 0 else None
+
     def _extend(self, same: np.ndarray, start: int, stop: int) -> tuple[int, int]:
         """The best-scoring overlap around the hit at [start, stop)."""
         gain = np.where(same, 1, -self.p.mismatch_cost)
@@ -88,9 +120,14 @@ class SeedIndex:
             start -= int(left.argmax()) + 1
         return start, stop
 
+    def _enough(self, same: np.ndarray, start: int, stop: int, least: int | None = None) -> bool:
+        """Whether [start, stop) is ``least`` tokens (``min_overlap``) or more, enough of them equal."""
+        matches = int(same[start:stop].sum())
+        return stop - start >= (least or self.p.min_overlap) and matches >= self.p.mismatch_cost * (stop - start - matches)
+
     def overlaps(self, texts: list[str | None]) -> dict[int, dict[int, tuple]]:
         """By row and item position, the best (length, matches, -document token, -item token) overlap."""
-        get, gap = self.vocabulary.get, max(map(len, self.p.masks))
+        get, gap = self.vocabulary.get, max(len(mask) for mask, *_ in self.masks)
         ids, begins = [], []
         at = 0
         for text in texts:
@@ -124,13 +161,17 @@ class SeedIndex:
                     chosen = [hit + k for k, c in enumerate(mask) if c == "1"]
                     if not same[chosen].all():
                         continue  # equal hashes of other tokens
-                    start, stop = self._extend(same, hit, end)
+                    short = self.p.untrimmed and len(item_ids) < self.p.min_overlap
+                    if short and len(same) < len(item_ids):
+                        continue  # the document ends within the item
+                    start, stop = (0, len(same)) if short else self._extend(same, hit, end)
+                    if self.p.untrimmed and not short and not self._enough(same, start, stop):
+                        start, stop = self._longest(same, hit, end) or (start, stop)
                     if (row, item[j], diagonal, start, stop) in seen:
                         continue
                     seen.add((row, item[j], diagonal, start, stop))
-                    matches = int(same[start:stop].sum())
-                    if stop - start >= self.p.min_overlap and matches >= self.p.mismatch_cost * (stop - start - matches):
-                        found = (stop - start, matches, -(a + diagonal + start), -(a + start))
+                    if self._enough(same, start, stop, len(item_ids) if short else None):
+                        found = (stop - start, int(same[start:stop].sum()), -(a + diagonal + start), -(a + start))
                         rows = best.setdefault(row, {})
                         rows[int(item[j])] = max(found, rows.get(int(item[j]), found))
         return best
@@ -152,8 +193,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, params: SpacedSeeds = S
     """(doc_id, item_id, tokens, matches, doc_token, item_token, start, end): the longest overlap of each pair that has one.
 
     Token places count from 0; ``start`` and ``end`` are code points of the document's text, end exclusive
-    (of its lower-cased form where lower-casing changes its length). Null, empty and short texts and items
-    overlap nothing; an item's repeated rows or id are looked up one by one and give a row each if they
+    (of its lower-cased form where lower-casing changes its length). Of a passage whose trimmed overlap is too
+    short the longest sufficient stretch around a hit is given. Null and empty texts and items overlap nothing,
+    nor do items and texts of less than ``min_overlap`` tokens, but with ``untrimmed`` a shorter item is found
+    where it is met whole; an item's repeated rows or id are looked up one by one and give a row each if they
     differ in text; repeated documents give repeated rows; empty tables give no rows.
     """
     schema = "doc_id long, item_id long, tokens long, matches long, doc_token long, item_token long, start long, end long"

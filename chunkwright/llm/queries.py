@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from . import langid, pii, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
-from .decontaminate import find_overlaps
+from .decontaminate import EVERY, find_overlaps
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .sharding import stratified_shards
@@ -39,7 +39,7 @@ def op3_bottom_k_fingerprints(spark: SparkSession, base: str) -> DataFrame:
 
 
 def op5_spaced_seed_decontamination(spark: SparkSession, base: str) -> DataFrame:
-    return find_overlaps(table(spark, base, "documents"), table(spark, base, "benchmark"))
+    return find_overlaps(table(spark, base, "documents"), table(spark, base, "benchmark"), EVERY)
 
 
 def op6_line_similarity_dedup(spark: SparkSession, base: str) -> DataFrame:
