@@ -37,6 +37,9 @@ BASE = {
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
+# Where a phone number of fixed grouping may begin and end: beside another number, but not within one.
+_BEGIN, _END = r"(?<![0-9A-Za-z+,:])(?<![0-9][.-])(?<!(?:^|[^0-9])[./-])", r"(?![0-9A-Za-z])(?![.-][0-9])"
+
 #: (kind, pattern) of the generators.
 GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z+.,:/-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])"),
@@ -46,6 +49,12 @@ GENERATORS = (
     ("national_id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", r"(?<=[=:] {0,2}[\"']?)(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
+    # Fixed groupings, which may lie within a longer run of digit groups.
+    ("phone", rf"{_BEGIN}(?:\([0-9]{{3}}\)[ ./-]{{0,2}}|[0-9]{{3}}[ ./-]{{1,2}})[0-9]{{3}}[ ./-][0-9]{{4}}{_END}"),
+    ("phone", rf"{_BEGIN}[0-9]{{3}}[ ./-][0-9]{{3}}[ ./-][0-9]{{3}}{_END}"),
+    ("phone", rf"{_BEGIN}0[0-9](?:[ ./-][0-9]{{2}}){{4}}{_END}"),
+    ("phone", rf"{_BEGIN}\(?0[0-9]{{1,4}}\)?[ /-]{{1,2}}[0-9]{{5,8}}{_END}"),
+    ("phone", rf"{_BEGIN}\(?0[0-9]{{1,4}}\)?[ /-]{{1,2}}[0-9]{{3,4}}[ -][0-9]{{3,5}}{_END}"),
 )
 
 #: Words near a candidate, by what they speak for.
