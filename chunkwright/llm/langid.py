@@ -206,10 +206,11 @@ def keep_identified(docs: DataFrame, params: Profiles = Profiles()) -> DataFrame
 
     Languages are learned from the labelled rows that ``held_out`` leaves; a null ``lang`` is filled with the
     prediction. If no row is labelled, nothing is learned and only the presence of a letter counts. Columns
-    pass as they are; a lang_pred or score column of ``docs`` is not allowed.
+    pass as they are, those named lang_pred or score too.
     """
     prototypes = learn(docs.where(~held_out()), params)
-    said = predict(docs, prototypes, params, tuple(docs.columns))
+    own = {c: f"__own_{c}" if c.lower() in ("lang_pred", "score") else c for c in docs.columns}
+    said = predict(docs.withColumnsRenamed({c: n for c, n in own.items() if n != c}), prototypes, params, tuple(own.values()))
     told = F.col("lang_pred") != UNDETERMINED if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     lang = F.coalesce("lang", F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred")))
-    return said.where(told).select(*[lang.alias("lang") if c == "lang" else c for c in docs.columns])
+    return said.where(told).select(*[lang.alias("lang") if c == "lang" else F.col(n).alias(c) for c, n in own.items()])
