@@ -37,8 +37,9 @@ BASE = {
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
-# Where a phone number of fixed grouping may begin and end: beside another number, but not within one.
-_BEGIN, _END = r"(?<![0-9A-Za-z+,:])(?<![0-9][.-])(?<!(?:^|[^0-9])[./-])", r"(?![0-9A-Za-z])(?![.-][0-9])"
+# Where a phone number of fixed grouping may begin and end: beside another number, but not within one. The first
+# look ahead spares most places the looks behind.
+_BEGIN, _END = r"(?=[0-9(])(?<![0-9A-Za-z+,:])(?<![0-9][.-])(?<!(?:^|[^0-9])[./-])", r"(?![0-9A-Za-z])(?![.-][0-9])"
 
 #: (kind, pattern) of the generators.
 GENERATORS = (
