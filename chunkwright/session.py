@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import time
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/chunkwright"
 _STAGED: list[str] = []
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(app: str = "chunkwright", cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,9 +28,11 @@ def local_session(app: str = "chunkwright", cores: int = 8, shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, on one machine only, an own one where that is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = DEFAULT_SHARED_DIR
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -52,28 +55,42 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now rather than at the driver's next collection.
+def collect_garbage(spark: SparkSession) -> None:
+    """Suggest a collection to the driver: Spark deletes the shuffle files of finished plans that nothing refers to any more."""
+    spark._jvm.System.gc()
 
-    A finished step stays reachable from events not yet handled, so those are waited for first.
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, in rows and bytes, where the session leaves Spark's default: whole texts are long rows.
+
+    A batch lies in the executor's and in the Python worker's memory at once. The setting holds for the session,
+    since plans read it when they run.
     """
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "512")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def drop_table(spark: SparkSession, staged: DataFrame) -> None:
     """Delete one staged table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        _delete(spark, folder)
+
+
+def staged_tables() -> list[str]:
+    """Folders of the tables staged and not yet dropped, oldest first."""
+    return list(_STAGED)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables staged so far, once nothing built on them is needed; returns how many there were."""
+def drop_staged(spark: SparkSession, *keep: str) -> int:
+    """Delete the tables staged so far but for ``keep``, once nothing built on them is needed; returns how many there were."""
     n = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    for path in [p for p in _STAGED if p not in keep]:
+        _STAGED.remove(path)
+        n += _delete(spark, path)
     return n
