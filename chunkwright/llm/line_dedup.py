@@ -1,15 +1,16 @@
 """Line deduplication by an exact set-similarity join, in built-in expressions.
 
-A line's tokens are its distinct lower-cased words, ordered by rarity: by the size class of the word's
-count over all distinct lines, then by hash. Two lines are near when the Jaccard likeness of their token sets
-is at least the threshold; a line is removed when any line before it, in doc_id and line order, is near.
+A line's tokens are its distinct lower-cased words, ordered by rarity: by the size class of the word's count
+over all texts, then by hash. Two lines are near when the Jaccard likeness of their token sets is at least
+the threshold; a line is removed when any line before it, in document and line order, is near.
 
-Lines alike in every character meet by hash first, so only distinct lines are joined. Two near lines share
-a token among their rarest few (prefix filter), have like sizes (length filter), can still reach the needed
+Lines of equal token sets meet by a hash of the set, so only distinct sets are joined. Two near sets share a
+token among their rarest few (prefix filter), have like sizes (length filter), can still reach the needed
 overlap from the place of that token on (positional filter), and differ in few enough bits of a parity
-signature, a bound on their difference. A first semi join on these keeps the lines that may have a
-neighbour; only these carry their tokens into the second, which verifies Jaccard and the order. Semi joins
-stop at the first match, so a large group of like lines makes no pairs.
+signature, a bound on their difference. A semi join of narrow rows on these keeps the candidates. Each
+candidate is verified first against the earliest line it shares a prefix token with, which settles most; those
+left are verified against all candidates that share one. Semi joins stop at the first match, so a large group
+of like lines makes no pairs. Words are read again for candidates alone and carried once for each line.
 """
 
 from __future__ import annotations
@@ -19,42 +20,49 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_table, release_shuffles, stage_table
+from ..session import collect_garbage, drop_table, stage_table
+
+_FIRST = -(2**63)
 
 
 @dataclass(frozen=True)
 class LineDedup:
     #: Jaccard threshold, as a fraction of integers so that bounds are exact.
     near: tuple[int, int] = (4, 5)
-    #: Lines of fewer distinct tokens are too short to judge: they stay, and remove nothing.
-    min_tokens: int = 5
     #: Counters of the rarity table, a power of two. The table goes to every task.
     rarity_bits: int = 18
-    #: Bits of the table that tells which lines' texts the second join needs.
+    #: Bits of the table that tells which lines' words are read again.
     member_bits: int = 22
+    #: Lines of more tokens have a longer signature.
+    long_line: int = 64
+
+
+def _odd(text: str) -> str:
+    """SQL: whether a text has white space other than spaces and line ends."""
+    return "(" + " OR ".join(f"contains({text}, '{c}')" for c in ("\\t", "\\u000B", "\\f", "\\r")) + ")"
 
 
-def _words(text: str) -> str:
-    """SQL for the lower-cased words between ASCII white space."""
-    return f"array_remove(split(lower({text}), '[ \\\\x09-\\\\x0D]+'), '')"
+def _words(line: str) -> str:
+    """SQL for the lower-cased words of a line between ASCII white space, with empty ones. Lines of texts that are not ``odd`` split at spaces alone, which is faster."""
+    return f"if(odd, split(lower({line}), '[ \\\\x09-\\\\x0D]+'), split(lower({line}), ' '))"
 
 
-def _step(df: DataFrame, tag: str) -> DataFrame:
-    """Write a step's result; the step's shuffle files are then done with."""
-    out = stage_table(df, tag)
-    release_shuffles(df.sparkSession)
-    return out
+def _blank(text: str) -> str:
+    """SQL: whether a text has no word."""
+    return f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM {text}) = ''"
 
 
-def _token_hash(word: str) -> str:
-    return f"xxhash64({word})"
+def _literal(values: list[int], kind: str) -> str:
+    """SQL for a constant array."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
 
 
-def _rarity_table(lines: DataFrame, p: LineDedup) -> str:
-    """A foldable SQL literal: for each counter, the size class of the number of lines with words that fell to it."""
+def _rarity_table(docs: DataFrame, p: LineDedup) -> str:
+    """For each counter the size class of the number of words that fell to it."""
     size = 1 << p.rarity_bits
-    words = lines.select(F.explode("h").alias("w"))
-    counts = words.groupBy(F.expr(f"cast(w & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    split = "if(odd, split(text, '[ \\\\x09-\\\\x0D]+'), split(replace(text, '\\n', ' '), ' '))"
+    words = docs.select(F.explode(F.expr(split)).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(lower(w)), 8) & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # Two size classes for each doubling.
     classed = counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2("n"))).cast("int").alias("c"))
     rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.struct("slot", "c")).alias("s"))
@@ -64,22 +72,26 @@ def _rarity_table(lines: DataFrame, p: LineDedup) -> str:
         for item in r.s.split(","):
             slot, c = item.split(":")
             classes[r.block * 4096 + int(slot)] = int(c)
-    return f"cast(split('{','.join(map(str, classes))}', ',') as array<tinyint>)"
+    return _literal(classes, "tinyint")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(d, i, line): every line with the document's id and its own number; null ids come first."""
-    return docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-
+def _member_test(keys: DataFrame, key: str, p: LineDedup) -> str:
+    """SQL that is true for every ``key`` in ``keys`` and for few others: a bit table of fixed size."""
+    bits = 1 << p.member_bits
+    words = keys.groupBy(F.expr(f"cast(({key} & {bits - 1}) div 64 as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 as int)))").alias("b"))
+    packed = words.groupBy(F.expr("w div 1024").alias("block")).agg(F.expr("array_join(transform(collect_list(struct(w, b)), x -> concat(x.w, ':', x.b)), ',')").alias("s"))
+    member = [0] * (bits // 64)
+    for r in packed.collect():  # at most member_bits / 64 numbers
+        for item in r.s.split(","):
+            w, b = item.split(":")
+            member[int(w)] = int(b)
+    return f"shiftright({_literal(member, 'bigint')}[cast(({key} & {bits - 1}) div 64 as int)], cast({key} & 63 as int)) & 1 = 1"
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
 
-
-def _by_rarity(table: str, p: LineDedup) -> Column:
-    """A line's distinct words ``h`` by rarity: the class in the top bits, then the hash."""
-    size = 1 << p.rarity_bits
-    return F.expr(f"sort_array(transform(h, x -> shiftleft(cast(element_at({table}, cast(x & {size - 1} as int) + 1) as bigint), 56) | (x & {(1 << 56) - 1})))")
+def _tokens(line: str, p: LineDedup, table: str) -> str:
+    """SQL for a line's distinct word hashes by rarity: the class in the top bits, then the hash."""
+    hashed = f"array_remove(array_distinct(transform({_words(line)}, w -> shiftrightunsigned(xxhash64(w), 8))), shiftrightunsigned(xxhash64(''), 8))"
+    return f"sort_array(transform({hashed}, x -> shiftleft(cast({table}[cast(x & {(1 << p.rarity_bits) - 1} as int)] as bigint), 56) | x))"
 
 
 def _need(a: str, b: str, p: LineDedup) -> str:
@@ -88,88 +100,125 @@ def _need(a: str, b: str, p: LineDedup) -> str:
     return f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
 
-def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> tuple[DataFrame, DataFrame]:
-    """(firsts, removed): the first place (d, i) of each distinct line (k1, k2), and the k1, k2 of those to remove there."""
+def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
+    """Of ``docs`` (d, text), with ``d`` unique and not null, the places (d, i) of the lines that stay.
+
+    Lines without a word are not among them; of the lines of one token set only the first can be.
+    """
     num, den = p.near
-    spark = docs.sparkSession
-    hashed = F.expr(f"array_distinct(transform({_words('line')}, w -> {_token_hash('w')} & {(1 << 56) - 1}))")
-    judged = _lines(docs).select("d", "i", *_keys(), hashed.alias("h")).where(F.size("h") >= p.min_tokens)
-    firsts = judged.groupBy("k1", "k2").agg(F.min(F.struct("d", "i", "h")).alias("at")).select("k1", "k2", "at.*")
-    lines = _step(firsts, "lines")  # every distinct line once, with its words: the texts are read no more
-    table = _rarity_table(lines, p)
-    release_shuffles(spark)
-
-    ordered = lines.select("k1", F.size("h").alias("n"), _by_rarity(table, p).alias("t"))
-    slim = ordered.select(
-        "k1",
-        "n",
+    docs = docs.where("text IS NOT NULL").withColumn("odd", F.expr(_odd("text")))
+    table = _rarity_table(docs, p)
+    lines = docs.select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+    tokens = lines.where(f"NOT {_blank('line')}").select("d", "i", F.expr(_tokens("line", p, table)).alias("t"))
+    short = f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)"
+    keyed = tokens.select("d", "i", "t", F.size("t").alias("n")).select(
+        F.xxhash64("t").alias("k"),
         F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-        F.expr(f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)").alias("prefix"),
+        F.struct(
+            "d",
+            "i",
+            "n",
+            # the part of the signature that half of the tokens make: a long line is told by both parts
+            F.expr(f"if(n > {p.long_line}, aggregate(t, 0L, (a, x) -> if(x & 64 = 0L, a, a ^ shiftleft(1L, cast(x & 63 as int)))), 0L)").alias("part"),
+            F.expr(f"transform({short}, x -> cast((x & 4294967295) - 2147483648 as int))").alias("prefix"),
+        ).alias("at"),
+    )
+    # Every token set once, at its first place; k and sig together name it.
+    sets = stage_table(keyed.groupBy("k", "sig").agg(F.min("at").alias("at")).select("k", "sig", "at.*"), "lines")
+
+    # One row for each prefix token: (token, half of k), signature and part, (size, place).
+    spread = sets.select("k", "sig", "n", "part", F.posexplode("prefix").alias("pos", "token")).select(
+        F.expr("shiftleft(cast(token as bigint), 32) | (k & 4294967295)").alias("a"),
+        "sig",
+        "part",
+        F.expr("shiftleft(cast(n as bigint), 16) | least(pos, 65535)").alias("c"),
     )
-    slim = _step(slim, "prefixes")
-    # Here k1 alone names a line: should two lines share it, both are looked at again below.
-    spread = slim.select("k1", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
     left, right = spread.alias("l"), spread.alias("r")
-    alike = f"""l.token = r.token AND l.k1 <> r.k1
-        AND l.n * {den} >= r.n * {num} AND r.n * {den} >= l.n * {num}
-        AND least(l.n - l.pos, r.n - r.pos) >= {_need('l.n', 'r.n', p)}
-        AND bit_count(l.sig ^ r.sig) <= l.n + r.n - 2 * {_need('l.n', 'r.n', p)}"""
-    # (line, token) rows: only these tokens can lead to a neighbour
-    found = _step(left.join(right, F.expr(alike), "left_semi").select("k1", "pos", "token").distinct(), "found")
-    drop_table(spark, slim)
-    maybe = found.select("k1").distinct()
-
-    # The words of those lines only go on; a bit table of bounded size keeps most others from the shuffle.
-    bits = 1 << p.member_bits
-    words = maybe.groupBy(F.expr(f"cast((k1 & {bits - 1}) div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k1 & 63 as int)))").alias("b"))
-    packed = words.groupBy(F.expr("w div 1024").alias("block")).agg(F.expr("array_join(transform(collect_list(struct(w, b)), x -> concat(x.w, ':', x.b)), ',')").alias("s"))
-    member = [0] * (bits // 64)
-    for r in packed.collect():  # at most member_bits / 64 numbers
-        for item in r.s.split(","):
-            w, b = item.split(":")
-            member[int(w)] = int(b)
-    member_table = f"cast(split('{','.join(map(str, member))}', ',') as array<bigint>)"
-    inside = f"shiftright(element_at({member_table}, cast((k1 & {bits - 1}) div 64 as int) + 1), cast(k1 & 63 as int)) & 1 = 1"
-    chosen = lines.where(F.expr(inside)).join(maybe, "k1", "left_semi")
-    whole = _step(chosen.select("k1", "k2", "d", "i", _by_rarity(table, p).alias("t")).withColumn("n", F.size("t")), "whole")
-    places = _step(lines.select("k1", "k2", "d", "i"), "places")
-    drop_table(spark, lines)
-
-    exact = whole.join(found, "k1")
-    left, right = exact.alias("l"), exact.alias("r")
-    before = "(r.d < l.d OR r.d = l.d AND (r.i < l.i OR r.i = l.i AND (r.k1 < l.k1 OR r.k1 = l.k1 AND r.k2 < l.k2)))"
-    verified = f"""l.token = r.token AND {before} AND l.n * {den} >= r.n * {num} AND r.n * {den} >= l.n * {num}
-        AND least(l.n - l.pos, r.n - r.pos) >= {_need('l.n', 'r.n', p)}
-        AND size(array_intersect(l.t, r.t)) >= {_need('l.n', 'r.n', p)}"""
-    removed = _step(left.join(right, F.expr(verified), "left_semi").select("k1", "k2").distinct(), "removed")
-    drop_table(spark, whole)
-    drop_table(spark, found)
-    return places, removed
+    ln, rn, lp, rp = "shiftright(l.c, 16)", "shiftright(r.c, 16)", "(l.c & 65535)", "(r.c & 65535)"
+    bits = f"""if({ln} > {p.long_line} AND {rn} > {p.long_line}, bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part), bit_count(l.sig ^ r.sig))"""
+    alike = f"""shiftright(l.a, 32) = shiftright(r.a, 32) AND (l.a <> r.a OR l.sig <> r.sig)
+        AND {ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num}
+        AND least({ln} - {lp}, {rn} - {rp}) >= {_need(ln, rn, p)}
+        AND {bits} <= {ln} + {rn} - 2 * {_need(ln, rn, p)}"""
+    found = stage_table(left.join(right, F.expr(alike), "left_semi").select("a", "sig"), "found")
+
+    collect_garbage(docs.sparkSession)
+
+    # The candidates' places, and from the texts their words.
+    half = F.expr("k & 4294967295")
+    which = found.select(F.expr("a & 4294967295").alias("half"), "sig").distinct()
+    chosen = sets.select("k", "sig", "d", "i", half.alias("half")).join(which, ["half", "sig"], "left_semi").select("k", "sig", "d", "i")
+    places = stage_table(sets.select("k", "sig", "d", "i"), "places")
+    candidates = stage_table(chosen, "candidates")
+    drop_table(docs.sparkSession, sets)
+    inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
+    here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_tokens("line", p, table)).alias("t"))
+    whole = stage_table(texts.join(candidates, ["d", "i"]).select("k", "sig", "d", "i", "t"), "whole")
+    drop_table(docs.sparkSession, candidates)
+
+    # (set, prefix token) rows with the set's place.
+    token = F.expr("shiftright(a, 32)").alias("token")
+    named = whole.select("k", "sig", "d", "i", half.alias("half"))
+    rows = stage_table(found.select(token, F.expr("a & 4294967295").alias("half"), "sig").join(named, ["half", "sig"]).select("token", "k", "sig", F.struct("d", "i").alias("at")), "tokens")
+    drop_table(docs.sparkSession, found)
+    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "k", "sig")).alias("w"))
+    pairs = rows.join(earliest, "token").where("w.at < at").select("k", "sig", F.col("w.k").alias("wk"), F.col("w.sig").alias("wsig")).distinct()
+    sized = whole.select("k", "sig", "t")
+    enough = lambda a, b: f"size(array_intersect({a}, {b})) >= {_need(f'size({a})', f'size({b})', p)}"
+    checked = pairs.join(sized, ["k", "sig"]).join(sized.select(F.col("k").alias("wk"), F.col("sig").alias("wsig"), F.col("t").alias("wt")), ["wk", "wsig"])
+    settled = stage_table(checked.where(F.expr(enough("t", "wt"))).select("k", "sig").distinct(), "settled")
+
+    # The rest, but for lines that are the earliest of all their tokens, against all candidates of their tokens.
+    open_ = rows.join(earliest.select("token", F.col("w.at").alias("w")), "token").where("w < at").select("token", "k", "sig", "at").join(settled, ["k", "sig"], "left_anti")
+    open_ = stage_table(open_, "open")
+    others = rows.join(open_.groupBy("token").agg(F.max("at").alias("last")), "token").where("at < last").select("token", "k", "sig", "at")
+    left = open_.join(sized, ["k", "sig"]).alias("l")
+    right = others.join(sized, ["k", "sig"]).alias("r")
+    verified = f"""l.token = r.token AND r.at < l.at AND size(l.t) * {den} >= size(r.t) * {num} AND size(r.t) * {den} >= size(l.t) * {num}
+        AND {enough('l.t', 'r.t')}"""
+    more = stage_table(left.join(right, F.expr(verified), "left_semi").select("k", "sig").distinct(), "more")
+    for used in (whole, rows, open_):
+        drop_table(docs.sparkSession, used)
+    collect_garbage(docs.sparkSession)  # before the texts are shuffled
+    removed = settled.unionByName(more)
+    return places.join(removed, ["k", "sig"], "left_anti").select("d", "i")
+
+
+def _with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` (c0, c1, ..., id, text) with ``d``, unique and in order: the id, or with repeated ids (id, hash of the text, row)."""
+    least = F.coalesce(F.col("id").cast("long"), F.lit(_FIRST))
+    most = docs.groupBy(least.alias("d")).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= 1:
+        return docs.withColumn("d", least)
+    rows = stage_table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
+    return rows.withColumn("d", F.struct(least.alias("id"), F.xxhash64("text").alias("h"), "row")).drop("row")
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """``docs`` with near repeats of earlier lines taken out of ``text``, and ``n_lines`` and ``n_removed``.
 
-    All lines of all documents are compared, those of one document too. Lines of fewer than ``min_tokens``
-    distinct words, and so blank lines, always stay. A null text stays null and has 0 lines; a document
-    may end with an empty text. Null doc_ids come first; rows that share a doc_id have their lines at the
-    same places, so equal rows stay equal and a line at one place in several rows does not remove itself.
-    Other columns pass; ``n_lines`` and ``n_removed`` of ``docs`` are replaced.
+    All lines of all documents are compared, those of one document too, whatever their length. Lines without
+    a word always stay. A null text stays null and has 0 lines; a document may end with an empty text. Null
+    doc_ids come first; rows that share a doc_id (or have none) are ordered by a hash of their texts and are
+    documents of their own, so a repeated row loses all lines with words. An empty table gives no rows. Very
+    long texts and lines are read whole. Other columns pass under any name; ``n_lines`` and ``n_removed`` of
+    ``docs`` are replaced.
     """
-    firsts, removed = near_lines(docs, p)
-    kept = firsts.join(removed, ["k1", "k2"], "left_anti")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{at}") for at, c in enumerate(names)], F.col("doc_id").alias("id"), "text")
+    own = _with_places(own)
+    kept = near_lines(own.select("d", "text"), p)
     words = kept.groupBy("d", F.expr("i div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, i % 64))").alias("b"))
-    by_doc = words.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("__words"))
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    joined = keyed.join(by_doc.withColumnRenamed("d", "__d"), "__d", "left")
-    joined = joined.withColumn("__lines", F.split("text", "\n"))
-    dense = "transform(sequence(0, (size(__lines) - 1) div 64), w -> coalesce(try_element_at(__words, w), 0L))"
-    joined = joined.withColumn("__kept", F.expr(f"if(__lines IS NULL, NULL, coalesce({dense}, transform(sequence(0, (size(__lines) - 1) div 64), w -> 0L)))"))
-    short = f"size(array_distinct({_words('l')})) < {p.min_tokens}"
-    left = f"filter(__lines, (l, i) -> shiftright(__kept[i div 64], i % 64) & 1 = 1 OR {short})"
-    out = joined.withColumn("__left", F.expr(left))
-    return out.select(
-        *[F.array_join("__left", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.expr("if(__lines IS NULL, 0, size(__lines))").alias("n_lines"),
-        F.expr("if(__lines IS NULL, 0, size(__lines) - size(__left))").alias("n_removed"),
+    bits = words.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("bits"))
+    joined = own.join(bits, "d", "left").withColumn("lines", F.split("text", "\n"))
+    dense = "transform(sequence(0, (size(lines) - 1) div 64), w -> coalesce(try_element_at(bits, w), 0L))"
+    joined = joined.withColumn("kept", F.expr(f"if(lines IS NULL, NULL, {dense})"))
+    stays = f"shiftright(kept[i div 64], i % 64) & 1 = 1 OR {_blank('l')}"
+    joined = joined.withColumn("left", F.expr(f"filter(lines, (l, i) -> {stays})"))
+    return joined.select(
+        *[F.array_join("left", "\n").alias(c) if c == "text" else F.col(f"c{at}").alias(c) for at, c in enumerate(names)],
+        F.expr("if(lines IS NULL, 0, size(lines))").alias("n_lines"),
+        F.expr("if(lines IS NULL, 0, size(lines) - size(left))").alias("n_removed"),
     )

@@ -58,7 +58,7 @@ lines AS (
   FROM (SELECT DISTINCT line FROM lines)
 ), firsts AS (
   SELECT line, t, len(t) AS n, arg_min(d, (d, i)) AS d, arg_min(i, (d, i)) AS i
-  FROM lines JOIN tokens USING (line) WHERE len(t) >= 5 GROUP BY line, t
+  FROM lines JOIN tokens USING (line) WHERE len(t) > 0 GROUP BY line, t
 ), words AS (SELECT line, n, d, i, t, unnest(t) AS w FROM firsts
 ), counted AS (SELECT w, count(*) AS c FROM words GROUP BY w
 ), ranked AS (
@@ -70,7 +70,7 @@ lines AS (
     AND len(list_intersect(l.t, r.t)) * 9 >= 4 * (l.n + r.n)
 ), kept AS (SELECT d, i FROM firsts WHERE line NOT IN (SELECT line FROM near)
 ), flagged AS (
-  SELECT d, i, line, len(t) < 5 OR EXISTS (SELECT 1 FROM kept k WHERE k.d = lines.d AND k.i = lines.i) AS stays
+  SELECT d, i, line, len(t) = 0 OR EXISTS (SELECT 1 FROM kept k WHERE k.d = lines.d AND k.i = lines.i) AS stays
   FROM lines JOIN tokens USING (line)
 ), deduped AS (
   SELECT d, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed

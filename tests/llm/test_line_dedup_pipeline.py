@@ -3,6 +3,8 @@
 import random
 import re
 
+import xxhash
+
 import corpus_pipeline
 from chunkwright.llm.decontaminate import SpacedSeeds, tokens
 from chunkwright.llm.line_dedup import LineDedup, dedup_lines
@@ -17,21 +19,23 @@ def token_set(line):
 
 
 def plain_dedup(rows):
-    """[(doc_id, text)] to their deduped texts, all pairs of lines."""
+    """[(doc_id, text)] to their deduped texts, all pairs of lines; rows of one id are ordered by a hash of their texts."""
     least = -(2**63)
-    places = sorted({(least if d is None else d, i, line) for d, t in rows if t is not None for i, line in enumerate(t.split("\n"))})
+    order = lambda r, d, t: (least if d is None else d, xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63 & 2**64 - 1, r)
+    places = sorted((*order(r, d, t), i, token_set(x)) for r, (d, t) in enumerate(rows) if t is not None for i, x in enumerate(t.split("\n")))
     first = {}
-    for d, i, line in places:
-        first.setdefault(line, (d, i))
-    judged = [(p, line, token_set(line)) for line, p in first.items() if len(token_set(line)) >= 5]
-    gone = {line for p, line, s in judged if any(q < p and len(s & o) * 9 >= 4 * (len(s) + len(o)) for q, other, o in judged if other != line)}
+    for *place, s in places:
+        first.setdefault(s, tuple(place))
+    sets = list(first.items())
+    gone = {s for s, p in sets if any(q < p and len(s & o) * 9 >= 4 * (len(s) + len(o)) for o, q in sets if o != s)}
     out = []
-    for d, t in rows:
+    for r, (d, t) in enumerate(rows):
         if t is None:
             out.append((d, None, 0, 0))
             continue
         lines = t.split("\n")
-        left = [x for i, x in enumerate(lines) if len(token_set(x)) < 5 or first[x] == (least if d is None else d, i) and x not in gone]
+        stays = lambda i, s: not s or first[s] == (*order(r, d, t), i) and s not in gone
+        left = [x for i, x in enumerate(lines) if stays(i, token_set(x))]
         out.append((d, "\n".join(left), len(lines), len(lines) - len(left)))
     return out
 
@@ -60,6 +64,29 @@ def test_line_dedup_against_all_pairs(spark):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str) == sorted(plain_dedup(rows), key=str)
 
 
+def dedup_and_compare(spark, rows):
+    got = dedup_lines(spark.createDataFrame([(*r, 9, 9) for r in rows], SCHEMA), SMALL).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == sorted(plain_dedup(rows), key=str)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = "first line of text here\nLes.", "other words that come second\nles.", "a third that is like none of them"
+    dedup_and_compare(spark, [(1, a), (5, b), (5, a)])
+    dedup_and_compare(spark, [(None, a), (None, b), (None, a), (7, c), (7, c), (7, None), (-(2**63), b), (None, "")])
+    dedup_and_compare(spark, [(5, t) for _, t in corpus(40, 5)] + [(5, a), (5, a), (5, a)])
+
+
+def test_lines_of_few_words(spark):
+    dedup_and_compare(spark, [(1, "Les."), (2, "les.\nLes.  \n\nles. a"), (3, "a b c d\na b c d e\na b c"), (4, " \t\n\x0b\x0c\r\n"), (5, "é\nÉ\nx\ty")])
+
+
+def test_columns_of_any_name(spark):
+    odd = spark.createDataFrame([(1, "one two three\none two three", 1, 2, 3, 4)], "doc_id long, text string, d long, lines long, `kept.x` long, c0 long")
+    got = dedup_lines(odd, SMALL)
+    assert got.columns == [*odd.columns, "n_lines", "n_removed"]
+    assert [tuple(r) for r in got.collect()] == [(1, "one two three", 1, 2, 3, 4, 2, 1)]
+
+
 def test_line_dedup_of_a_large_group_and_of_nothing(spark):
     words = [f"t{i}" for i in range(40)]
     rows = [(i, " ".join(words[:36] + [f"v{i}", f"z{i}"])) for i in range(300)]
