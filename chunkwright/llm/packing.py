@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .tokens import encoder
 
 #: Sequences of one partition have ids from ``partition << SEQUENCE_BITS``.
@@ -71,7 +72,7 @@ def cut(length: int, p: Packing) -> list[tuple[int, int, int]]:
 
 
 class BinFiller:
-    """Fills one worker's bins; ``rows`` collects finished (doc, start, length, sequence, offset) pieces."""
+    """Fills one worker's bins; ``rows`` collects finished (piece, start, length, sequence, offset), a piece being (doc_id, its document's ids, own ids)."""
 
     def __init__(self, p: Packing, first_sequence: int):
         self.p, self.next, self.rows = p, first_sequence, []
@@ -106,7 +107,9 @@ class BinFiller:
         for doc, start, length in rest:
             while length:
                 take = min(length, free)
-                bin_.append((doc, start, take))
+                doc_id, n, ids = doc
+                bin_.append(((doc_id, n, ids[: 4 * take]), start, take))
+                doc = doc_id, n, ids[4 * take :]
                 start, length, free = start + take, length - take, free - take
                 if not free:
                     self._close(bin_)
@@ -115,9 +118,8 @@ class BinFiller:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = [[], [], [], [], [], [], []]
-    for (doc_id, ids), start, length, sequence, offset in rows:
-        crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-        for col, v in zip(cols, (doc_id, start, length, crc, len(ids) // 4, sequence, offset)):
+    for (doc_id, n, ids), start, length, sequence, offset in rows:
+        for col, v in zip(cols, (doc_id, start, length, zlib.crc32(ids), n, sequence, offset)):
             col.append(v)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=PIECE_SCHEMA.fieldNames())
 
@@ -142,7 +144,7 @@ def pack_documents(docs: DataFrame, params: Packing = Packing(), with_ids: bool
                 rows, filler.rows = filler.rows, []
                 batch = _batch(rows)
                 if with_ids:
-                    flat = [np.frombuffer(ids, "<u4")[s : s + n].astype(np.int32) for (_, ids), s, n, _, _ in rows]
+                    flat = [np.frombuffer(ids, "<u4").astype(np.int32) for (_, _, ids), *_ in rows]
                     offsets = np.cumsum([0, *(len(x) for x in flat)])
                     arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
                     batch = pa.RecordBatch.from_arrays([*batch.columns, arr], names=schema.fieldNames())
@@ -154,11 +156,13 @@ def pack_documents(docs: DataFrame, params: Packing = Packing(), with_ids: bool
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, packed in zip(ids, enc.encode(texts)):
-                    doc = (doc_id, packed + end)
-                    for start, length, k in cut(len(doc[1]) // 4, params):
-                        filler.add(doc, start, length, k)
+                    packed += end
+                    n = len(packed) // 4
+                    for start, length, k in cut(n, params):  # an open piece holds its own ids alone
+                        filler.add((doc_id, n, packed[4 * start : 4 * (start + length)]), start, length, k)
                 yield from finished()
         filler.finish()
         yield from finished()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(fill, schema)

@@ -3,7 +3,8 @@
 Both public tokenizers split a text at white space before any merge is applied, so the ids of a text
 are the ids of its chunks in order: ``\\S+`` for the lower-casing word BPE (white space is dropped),
 ``\\s*\\S+`` and a final ``\\s+`` for the byte-level BPE. A bounded per-process cache from chunk to
-packed ids then spares most calls of the library; the cache changes no id.
+packed ids then spares most calls of the library; the cache changes no id. Texts that may hold the string of
+a special token go to the library whole, which gives them that token's id.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ import re
 
 import numpy as np
 
+from . import workers
+
 #: Unicode white space, as the tokenizers see it.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CHUNK_LOOSE = re.compile(f"[^{WHITE}]+")
 _CHUNK_BYTES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Chunks kept per process; about 200 bytes each.
-CACHE_CHUNKS = 1_000_000
+#: Chunks kept per process in each of two generations; about 170 bytes each.
+CACHE_CHUNKS = 600_000
+#: Characters of texts whose unknown chunks are looked up together.
+BATCH_CHARS = 1_000_000
 #: Longer chunks go to the library each time.
 CACHE_CHUNK_CHARS = 32
 #: Behind a letter, a run of these is a piece of its own to both tokenizers.
@@ -45,11 +50,18 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True  # a special token's string inside a text is plain text
-        kind = self._kind()
-        self.split = {"loose": self._loose, "bytes": _CHUNK_BYTES.findall}.get(kind)
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What every special token's string begins with; the empty string if that says nothing.
+        self.special = os.path.commonprefix(contents) if contents else None
+        self.kind = self._kind()
+        self.split = {"loose": self._loose, "bytes": _CHUNK_BYTES.findall}.get(self.kind)
+        # By id: whether a piece ends (begins) with this token.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.kind == "bytes" else t.endswith("</w>"))]] = True
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _kind(self) -> str | None:
         """Which chunking leaves the ids unchanged; None: whole texts go to the library."""
@@ -68,42 +80,89 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, chunks: list[str]) -> list[bytes] | None:
+        """Ids of chunks of one piece each, encoded as one text, which costs less; None if the pieces cannot be told apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.kind == "bytes" else " ").join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(chunks):
+            return None
+        starts = at if self.kind == "bytes" else np.concatenate([[0], at[:-1] + 1])
+        raw, starts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [raw[x:y] for x, y in zip(starts, starts[1:])]
+
+    def _unknown(self, chunks: list[str]) -> dict[str, bytes]:
+        plain = (lambda c: c[0] == " " and c[1:].isalpha()) if self.kind == "bytes" else str.isalpha
+        simple, rest = [], []
+        for c in chunks:
+            (simple if len(c) <= CACHE_CHUNK_CHARS and plain(c) else rest).append(c)
+        out = {}
+        for at in range(0, len(simple), 1000):
+            part = simple[at : at + 1000]
+            out.update(zip(part, self._joined(part) or self._library(part)))
+        out.update(zip(rest, self._library(rest)))
+        return out
+
     def _missing(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the cache lacks; a word and the marks behind it are looked up apart."""
-        stems, need = {}, set()
+        """Ids of chunks that the younger cache lacks; a word and the marks behind it are looked up apart."""
+        young, old, new, stems, need = self.cache.get, self.older.get, {}, [], set()
         for c in chunks:
+            if (ids := old(c)) is not None:
+                new[c] = ids
+                continue
             stem = c.rstrip(MARKS)
             if stem and len(stem) < len(c) and stem[-1].isalpha():
-                stems[c] = stem
-                need.add(stem)
-                need.add(c[len(stem) :])
+                stems.append((c, stem, c[len(stem) :]))
+                need.update(stems[-1][1:])
             else:
                 need.add(c)
-        new = {c: ids for c in need if (ids := self.cache.get(c)) is not None}
-        unknown = [c for c in need if c not in new]
-        fresh = dict(zip(unknown, self._library(unknown)))
-        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
-            self.cache.clear()
-        self.cache.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHE_CHUNK_CHARS)
-        new |= fresh
-        return new | {c: new[stem] + new[c[len(stem) :]] for c, stem in stems.items()}
+        parts = {c: ids for c in need if (ids := young(c) or old(c)) is not None}
+        parts |= self._unknown([c for c in need if c not in parts])
+        new |= parts
+        new.update([(c, parts[stem] + parts[marks]) for c, stem, marks in stems])
+        if len(self.cache) > CACHE_CHUNKS:
+            self.older, self.cache = self.cache, {}
+        self.cache.update([(c, ids) for c, ids in new.items() if len(c) <= CACHE_CHUNK_CHARS])
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self._library(texts)
-        out = []
+        out: list[bytes] = []
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        need: set[str] = set()
+        held = 0
+
+        def settle() -> None:
+            new = self._missing(need)
+            for at, chunks, found in waiting:
+                out[at] = b"".join([new[c] if ids is None else ids for c, ids in zip(chunks, found)])
+            waiting.clear()
+            need.clear()
+
         for text in texts:
+            if self.special is not None and self.special in text.lower():
+                out += self._library([text])
+                continue
             chunks = self.split(text)
             found = list(map(self.cache.get, chunks))
             if None in found:
-                new = self._missing({c for c, ids in zip(chunks, found) if ids is None})
-                found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
-            out.append(b"".join(found))
+                need.update([c for c, ids in zip(chunks, found) if ids is None])
+                waiting.append((len(out), chunks, found))
+                out.append(b"")
+                held += len(text)
+                if held > BATCH_CHARS:
+                    settle()
+                    held = 0
+            else:
+                out.append(b"".join(found))
+        if waiting:
+            settle()
         return out
 
 
 def encoder(name: str) -> ChunkEncoder:
     """One encoder per process and file: worker reuse keeps its cache warm across tasks."""
+    workers.enter("tokens", _ENCODERS.clear)
     if name not in _ENCODERS:
         _ENCODERS[name] = ChunkEncoder(name)
     return _ENCODERS[name]
