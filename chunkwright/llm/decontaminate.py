@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+from . import workers
+
 _TOKEN = re.compile(r"\w+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
@@ -199,6 +202,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, params: SpacedSeeds = S
     where it is met whole; an item's repeated rows or id are looked up one by one and give a row each if they
     differ in text; repeated documents give repeated rows; empty tables give no rows.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, tokens long, matches long, doc_token long, item_token long, start long, end long"
     spark, out = docs.sparkSession, None
     source = docs.select(F.col("doc_id").cast("long"), "text")
@@ -206,6 +210,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, params: SpacedSeeds = S
         shared = spark.sparkContext.broadcast(index)  # at most block_tokens tokens
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            workers.enter("decontaminate")
             for batch in batches:
                 for at in range(0, batch.num_rows, params.batch_rows):
                     part = batch.slice(at, params.batch_rows)
@@ -226,11 +231,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, params: SpacedSeeds = S
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: SpacedSeeds = SpacedSeeds()) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; all columns and other rows stay as they are."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for index in _indexes(benchmark.select(F.col("item_id").cast("long"), "text").distinct(), params):
         shared = docs.sparkSession.sparkContext.broadcast(index)  # at most block_tokens tokens
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            workers.enter("decontaminate")
             for batch in batches:
                 for first in range(0, batch.num_rows, params.batch_rows):
                     part = batch.slice(first, params.batch_rows)

@@ -18,9 +18,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+from . import workers
+
 UNDETERMINED = "und"
 #: n-grams multiplied at once.
-GRAM_BLOCK = 8192
+GRAM_BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class Profiles:
     batch_rows: int = 128
     batch_chars: int = 600_000
     #: n-gram vectors kept per process, one byte a dimension.
-    cached_grams: int = 30_000
+    cached_grams: int = 16_384
 
 
 _LETTERS: np.ndarray | None = None
@@ -119,7 +122,7 @@ class Encoder:
             half = len(texts) // 2
             return tuple(np.concatenate(x) for x in zip(self.bundle(texts[:half]), self.bundle(texts[half:])))
         grams, table, n_letters = self.counts(texts)
-        if len(texts) > 1 and len(grams) > 4 * GRAM_BLOCK:
+        if len(texts) > 1 and len(grams) > 16 * GRAM_BLOCK:
             half = len(texts) // 2
             return tuple(np.concatenate(x) for x in zip(self.bundle(texts[:half]), self.bundle(texts[half:])))
         out = np.zeros((len(texts), self.p.dimensions), np.float32)
@@ -132,6 +135,7 @@ _ENCODERS: dict[Profiles, Encoder] = {}
 
 
 def encoder(p: Profiles) -> Encoder:
+    workers.enter("langid", _ENCODERS.clear)
     return _ENCODERS.setdefault(p, Encoder(p))
 
 
@@ -156,6 +160,7 @@ def learn(docs: DataFrame, params: Profiles = Profiles()) -> dict[str, list[floa
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
+    small_batches(docs.sparkSession)
     known = docs.select(F.col("lang").cast("string"), "text").where("lang IS NOT NULL AND text IS NOT NULL")
     parts = known.mapInArrow(run, "lang string, v array<double>")
     sums = parts.groupBy("lang").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("lang", vector_to_array("v").alias("v"))
@@ -171,6 +176,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], params: Profile
     ``und`` with score 0 if the text is null, has no letter, or there is nothing learned. Equal cosines go
     to the first language by name. Only ``text`` decides; every row gives one row.
     """
+    small_batches(docs.sparkSession)
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), params.dimensions)
     matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1, keepdims=True))
@@ -205,12 +211,12 @@ def keep_identified(docs: DataFrame, params: Profiles = Profiles()) -> DataFrame
     """``docs`` without the rows whose language cannot be told: null texts and texts without a letter.
 
     Languages are learned from the labelled rows that ``held_out`` leaves; a null ``lang`` is filled with the
-    prediction. If no row is labelled, nothing is learned and only the presence of a letter counts. Columns
-    pass as they are, those named lang_pred or score too.
+    prediction. If no row is labelled, nothing is learned and only the presence of a letter counts. An empty
+    table gives no rows. Columns pass as they are, under any name.
     """
     prototypes = learn(docs.where(~held_out()), params)
-    own = {c: f"__own_{c}" if c.lower() in ("lang_pred", "score") else c for c in docs.columns}
-    said = predict(docs.withColumnsRenamed({c: n for c, n in own.items() if n != c}), prototypes, params, tuple(own.values()))
+    inner = {c: c if c == "text" else f"c{at}" for at, c in enumerate(docs.columns)}
+    said = predict(docs.toDF(*inner.values()), prototypes, params, tuple(inner.values()))
     told = F.col("lang_pred") != UNDETERMINED if prototypes else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    lang = F.coalesce("lang", F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred")))
-    return said.where(told).select(*[lang.alias("lang") if c == "lang" else F.col(n).alias(c) for c, n in own.items()])
+    guess = F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred"))
+    return said.where(told).select(*[(F.coalesce(n, guess) if c == "lang" else F.col(n)).alias(c) for c, n in inner.items()])

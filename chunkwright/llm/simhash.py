@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import small_batches, stage_table
+from . import workers
 from .components import star_forest
 
 
@@ -30,7 +31,7 @@ class SimHash:
     seed: int = 42
     max_distance: int = 3
     #: Distinct fingerprints a shard should hold.
-    shard_points: int = 16_000
+    shard_points: int = 64_000
     #: Sampled fingerprints per shard from which the driver builds the top tree, and their upper bound.
     sample_per_shard: int = 64
     max_sample: int = 200_000
@@ -66,12 +67,14 @@ def fingerprints(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
     """(doc_id, fp): one row per document, repeated rows included. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("simhash")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 fps = [fingerprint(t, params) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -232,14 +235,22 @@ def near_duplicates(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
-    """``docs`` with one document left of each component: the one with the least doc_id.
+    """``docs`` with one row left of each component: the one with the least doc_id.
 
-    Rows that repeat a kept doc_id fall too. Rows with a null doc_id cannot be told apart and stay.
+    Rows that share a doc_id are documents of their own; of these the one with the least hash of its text
+    counts as first, then any. Rows with a null doc_id come after all others of their component. An empty
+    table gives no rows. Columns pass as they are, under any name.
     """
-    found = stage_table(near_duplicates(docs, params), "components")
-    kept = found.where("doc_id = component_id").select("doc_id")
-    repeated = kept.count() > kept.distinct().count()
-    out = docs.join(kept.distinct() if repeated else kept, "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    seen = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if (seen.most or 0) <= 1 and not seen.nulls:
+        kept = stage_table(near_duplicates(docs, params).where("doc_id = component_id").select("doc_id"), "kept")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    inner = [f"c{at}" for at in range(len(docs.columns))]
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    rows = stage_table(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), text.alias("text")), params).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(doc_id.isNull().alias("a"), doc_id.cast("long").alias("b"), F.xxhash64(text).alias("c"), "row")
+    first = found.join(rows.select("row", order.alias("at")), "row").groupBy("component_id").agg(F.min("at").alias("at"))
+    kept = stage_table(first.select("at.row"), "kept")
+    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_shared_path
+from ..session import new_shared_path, small_batches
 from .tokens import encoder
 
 
@@ -42,6 +42,7 @@ def filesystem(uri: str):
     """(filesystem, path) of a URI or a local path."""
     from pyarrow import fs
 
+    uri = uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri  # the name that Hadoop uses
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -103,7 +104,7 @@ def write_token_files(docs: DataFrame, base: str | None = None, params: TokenFil
 
     One row per range: ``shard`` (ascending with doc_id), ``path``, counts, ``first``: ids of all ranges
     before it. Null texts are empty (their end id alone); rows with a null doc_id sort first; repeated
-    doc_ids stay together in one range, ordered by text; an empty table gives an empty manifest.
+    doc_ids are ordered by a hash of their texts and may lie in several ranges; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     base = base or new_shared_path(spark, "tokens")
@@ -124,7 +125,10 @@ def write_token_files(docs: DataFrame, base: str | None = None, params: TokenFil
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["shard", "lo", "hi", "n_docs", "n_ids", "path"])
 
     order = F.col("doc_id").asc_nulls_first()
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n_parts, order).sortWithinPartitions(order, "text")
+    # Rows that share an id are dealt by a hash of their texts, equal rows by their place in the scan: no key is hot.
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ranged = keys.repartitionByRange(n_parts, order, "h", "row").sortWithinPartitions(order, "h", "row").select("doc_id", "text")
+    small_batches(spark)
     # The manifest is written, so later reads see one set of files and never write them again.
     manifest_path = new_shared_path(spark, "manifest")
     ranged.mapInArrow(run, MANIFEST_SCHEMA).write.parquet(manifest_path)

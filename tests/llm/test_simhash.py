@@ -99,5 +99,16 @@ def test_near_duplicates_against_all_pairs(spark):
     kept = keep_one(docs, params)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted({v for v in least.values() if v is not None})
-    assert kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is null").count() == 1  # the one that is near no other
+
+
+def test_one_row_of_each_component_is_kept_whatever_the_ids(spark):
+    a, b = "words of one text that repeats here", "quite another text than that one before"
+    cases = [[(3, b), (5, a), (5, b)], [(1, a), (1, a), (1, a)], [(None, a), (None, a), (None, b)], [(None, a), (7, a)], [(2, None), (2, ""), (None, " ")]]
+    for rows in cases:
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+        kept = sorted(((r.text or "").strip() for r in keep_one(docs).collect()))
+        assert kept == sorted({(t or "").strip() for _, t in rows})
+    assert [r.doc_id for r in keep_one(spark.createDataFrame([(None, a, "x", 1), (7, a, "y", 2), (9, a, "z", 3)], SCHEMA)).collect()] == [7]
+    assert keep_one(docs.limit(0)).count() == 0
     assert near_duplicates(docs.limit(0)).count() == 0
