@@ -15,7 +15,7 @@ from chunkwright.llm import langid, simhash
 from chunkwright.llm.decontaminate import EVERY, drop_contaminated
 from chunkwright.llm.line_dedup import dedup_lines
 from chunkwright.llm.packing import pack_documents
-from chunkwright.session import stage_table
+from chunkwright.session import drop_staged, stage_table, staged_tables
 from chunkwright.sources.tables import table
 
 
@@ -59,7 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole of ``documents``; what a stage has staged goes when its result is written.
+
+    Null and empty texts fall at the first stage. Rows that share a doc_id, or have none, are documents of their
+    own. Texts of any length are read whole; other columns pass under any name up to packing. An empty
+    ``documents`` gives no rows, an empty ``benchmark`` drops nothing.
+    """
+    docs, before = table(spark, sf_dir, "documents"), staged_tables()
     for name, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir), name)
+        drop_staged(spark, *before, staged_tables()[-1])
     return docs
