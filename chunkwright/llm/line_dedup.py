@@ -8,9 +8,10 @@ Lines of equal token sets meet by a hash of the set, so only distinct sets are j
 token among their rarest few (prefix filter), have like sizes (length filter), can still reach the needed
 overlap from the place of that token on (positional filter), and differ in few enough bits of a parity
 signature, a bound on their difference. A semi join of narrow rows on these keeps the candidates. Each
-candidate is verified first against the earliest line it shares a prefix token with, which settles most; those
+candidate is verified first against the earliest lines it shares a prefix token with, which settles most; those
 left are verified against all candidates that share one. Semi joins stop at the first match, so a large group
-of like lines makes no pairs. Words are read again for candidates alone and carried once for each line.
+of like lines makes no pairs. Words are read again for candidates alone, and only met where sizes and
+signatures allow.
 """
 
 from __future__ import annotations
@@ -100,6 +101,13 @@ def _need(a: str, b: str, p: LineDedup) -> str:
     return f"(({num} * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
 
+def _maybe_near(ln: str, rn: str, p: LineDedup) -> str:
+    """SQL of the length filter and of the signatures' bound on the difference, for sets l and r of sizes ln and rn."""
+    num, den = p.near
+    bits = f"if({ln} > {p.long_line} AND {rn} > {p.long_line}, bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part), bit_count(l.sig ^ r.sig))"
+    return f"{ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num} AND {bits} <= {ln} + {rn} - 2 * {_need(ln, rn, p)}"
+
+
 def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """Of ``docs`` (d, text), with ``d`` unique and not null, the places (d, i) of the lines that stay.
 
@@ -136,49 +144,46 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     )
     left, right = spread.alias("l"), spread.alias("r")
     ln, rn, lp, rp = "shiftright(l.c, 16)", "shiftright(r.c, 16)", "(l.c & 65535)", "(r.c & 65535)"
-    bits = f"""if({ln} > {p.long_line} AND {rn} > {p.long_line}, bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part), bit_count(l.sig ^ r.sig))"""
     alike = f"""shiftright(l.a, 32) = shiftright(r.a, 32) AND (l.a <> r.a OR l.sig <> r.sig)
-        AND {ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num}
-        AND least({ln} - {lp}, {rn} - {rp}) >= {_need(ln, rn, p)}
-        AND {bits} <= {ln} + {rn} - 2 * {_need(ln, rn, p)}"""
+        AND {_maybe_near(ln, rn, p)} AND least({ln} - {lp}, {rn} - {rp}) >= {_need(ln, rn, p)}"""
     found = stage_table(left.join(right, F.expr(alike), "left_semi").select("a", "sig"), "found")
 
     collect_garbage(docs.sparkSession)
 
     # The candidates' places, and from the texts their words.
-    half = F.expr("k & 4294967295")
+    spark, half = docs.sparkSession, F.expr("k & 4294967295").alias("half")
     which = found.select(F.expr("a & 4294967295").alias("half"), "sig").distinct()
-    chosen = sets.select("k", "sig", "d", "i", half.alias("half")).join(which, ["half", "sig"], "left_semi").select("k", "sig", "d", "i")
+    chosen = sets.select("k", "sig", "part", "n", "d", "i", half).join(which, ["half", "sig"], "left_semi").drop("half")
     places = stage_table(sets.select("k", "sig", "d", "i"), "places")
     candidates = stage_table(chosen, "candidates")
-    drop_table(docs.sparkSession, sets)
+    drop_table(spark, sets)
     inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
     here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_tokens("line", p, table)).alias("t"))
-    whole = stage_table(texts.join(candidates, ["d", "i"]).select("k", "sig", "d", "i", "t"), "whole")
-    drop_table(docs.sparkSession, candidates)
-
-    # (set, prefix token) rows with the set's place.
-    token = F.expr("shiftright(a, 32)").alias("token")
-    named = whole.select("k", "sig", "d", "i", half.alias("half"))
-    rows = stage_table(found.select(token, F.expr("a & 4294967295").alias("half"), "sig").join(named, ["half", "sig"]).select("token", "k", "sig", F.struct("d", "i").alias("at")), "tokens")
-    drop_table(docs.sparkSession, found)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "k", "sig")).alias("w"))
-    pairs = rows.join(earliest, "token").where("w.at < at").select("k", "sig", F.col("w.k").alias("wk"), F.col("w.sig").alias("wsig")).distinct()
-    sized = whole.select("k", "sig", "t")
-    enough = lambda a, b: f"size(array_intersect({a}, {b})) >= {_need(f'size({a})', f'size({b})', p)}"
-    checked = pairs.join(sized, ["k", "sig"]).join(sized.select(F.col("k").alias("wk"), F.col("sig").alias("wsig"), F.col("t").alias("wt")), ["wk", "wsig"])
-    settled = stage_table(checked.where(F.expr(enough("t", "wt"))).select("k", "sig").distinct(), "settled")
-
-    # The rest, but for lines that are the earliest of all their tokens, against all candidates of their tokens.
-    open_ = rows.join(earliest.select("token", F.col("w.at").alias("w")), "token").where("w < at").select("token", "k", "sig", "at").join(settled, ["k", "sig"], "left_anti")
-    open_ = stage_table(open_, "open")
-    others = rows.join(open_.groupBy("token").agg(F.max("at").alias("last")), "token").where("at < last").select("token", "k", "sig", "at")
-    left = open_.join(sized, ["k", "sig"]).alias("l")
-    right = others.join(sized, ["k", "sig"]).alias("r")
-    verified = f"""l.token = r.token AND r.at < l.at AND size(l.t) * {den} >= size(r.t) * {num} AND size(r.t) * {den} >= size(l.t) * {num}
-        AND {enough('l.t', 'r.t')}"""
-    more = stage_table(left.join(right, F.expr(verified), "left_semi").select("k", "sig").distinct(), "more")
+    whole = stage_table(texts.join(candidates.select("k", "sig", "d", "i"), ["d", "i"]).select("k", "sig", "t"), "whole")
+
+    # (set, prefix token) rows of the candidates, narrow still.
+    named = candidates.select("k", "sig", "part", "n", F.struct("d", "i").alias("at"), half)
+    rows = found.select(F.expr("shiftright(a, 32)").alias("token"), F.expr("a & 4294967295").alias("half"), "sig").join(named, ["half", "sig"]).drop("half")
+    rows = stage_table(rows, "tokens")
+    drop_table(spark, found)
+    drop_table(spark, candidates)
+    before = f"l.token = r.token AND r.at < l.at AND {_maybe_near('l.n', 'r.n', p)}"
+    near = lambda a, b: f"size(array_intersect({a}, {b})) >= {_need(f'size({a})', f'size({b})', p)}"
+
+    # Against the earliest set of each token.
+    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "k", "sig", "part", "n")).alias("w")).select("token", "w.*")
+    pairs = rows.alias("l").join(earliest.alias("r"), F.expr(before)).select("l.k", "l.sig", F.col("r.k").alias("wk"), F.col("r.sig").alias("wsig")).distinct()
+    other = whole.select(F.col("k").alias("wk"), F.col("sig").alias("wsig"), F.col("t").alias("wt"))
+    checked = pairs.join(whole, ["k", "sig"]).join(other, ["wk", "wsig"])
+    settled = stage_table(checked.where(F.expr(near("t", "wt"))).select("k", "sig").distinct(), "settled")
+
+    # The rest that may have an earlier neighbour, against all that may be one.
+    left = rows.join(settled, ["k", "sig"], "left_anti").alias("l")
+    open_ = stage_table(left.join(rows.alias("r"), F.expr(before), "left_semi"), "open")
+    others = rows.alias("r").join(open_.alias("l"), F.expr(before), "left_semi")
+    left, right = open_.join(whole, ["k", "sig"]).alias("l"), others.join(whole, ["k", "sig"]).alias("r")
+    more = stage_table(left.join(right, F.expr(f"{before} AND {near('l.t', 'r.t')}"), "left_semi").select("k", "sig").distinct(), "more")
     for used in (whole, rows, open_):
         drop_table(docs.sparkSession, used)
     collect_garbage(docs.sparkSession)  # before the texts are shuffled
@@ -217,8 +222,7 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     joined = joined.withColumn("kept", F.expr(f"if(lines IS NULL, NULL, {dense})"))
     stays = f"shiftright(kept[i div 64], i % 64) & 1 = 1 OR {_blank('l')}"
     joined = joined.withColumn("left", F.expr(f"filter(lines, (l, i) -> {stays})"))
-    return joined.select(
-        *[F.array_join("left", "\n").alias(c) if c == "text" else F.col(f"c{at}").alias(c) for at, c in enumerate(names)],
-        F.expr("if(lines IS NULL, 0, size(lines))").alias("n_lines"),
-        F.expr("if(lines IS NULL, 0, size(lines) - size(left))").alias("n_removed"),
-    )
+    # made once in a generator, which no later filter or projection is pushed through to make it again
+    made = F.struct(F.array_join("left", "\n").alias("text"), F.expr("if(lines IS NULL, 0, size(lines))").alias("n_lines"), F.expr("if(lines IS NULL, 0, size(lines) - size(left))").alias("n_removed"))
+    out = joined.select(*[f"c{at}" for at, c in enumerate(names) if c != "text"], F.inline(F.array(made)).alias("text", "n_lines", "n_removed"))
+    return out.select(*[F.col("text" if c == "text" else f"c{at}").alias(c) for at, c in enumerate(names)], "n_lines", "n_removed")

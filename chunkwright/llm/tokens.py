@@ -22,7 +22,7 @@ _CHUNK_LOOSE = re.compile(f"[^{WHITE}]+")
 _CHUNK_BYTES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks kept per process in each of two generations; about 170 bytes each.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 500_000
 #: Characters of texts whose unknown chunks are looked up together.
 BATCH_CHARS = 1_000_000
 #: Longer chunks go to the library each time.
