@@ -1,0 +1,52 @@
+"""The parser-based representation: hand-made expectations."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from chunkwright.functions import represent
+from chunkwright.functions.cparse import Parser, data_flow, parsed_data_flow, tokenize
+
+CASES = {
+    # declared names first: functions f#, variables and parameters v#
+    "int f(int a, int b) { int c; c = a; return c; }": ["v2 = v0"],
+    # other binary operations make temporaries; what an operand needs comes before all statements
+    "int f(int a) { int b; b = a + 1; return b; }": ["t0 = v0 + 1", "v1 = t0"],
+    "void f(int a) { if (a > 3) { a = 4; } else a = 5; }": ["BRANCH_IF", "t0 = v0 > 3", "v0 = 4", "v0 = 5"],
+    "void f(int n) { for (int i = 0; i < n; i++) { while (n) n = n - 1; } }": ["t1 = v0 - 1", "LOOP_START_DEPTH_1", "t0 = v1 < v0", "LOOP_START_DEPTH_2", "v0 = t1", "LOOP_END_DEPTH_2", "LOOP_END_DEPTH_1"],
+    "void g(int x); void f(char *p) { g(3); memset(p, 0, 8); do { g(*p); } while (p); }": ["CALL f0(3)", "CALL memset(0, 8)", "LOOP_START_DEPTH_1", "CALL f0(v2)", "LOOP_END_DEPTH_1"],
+    # compound assignments say nothing themselves; strings are STR; the first listed operator of the range counts
+    'void f(int a, int *q) { a += 2; q[a + 1] = "x"; }': ["t0 = v0 + 1", "t1 = t0 + v2"],
+    # the first word of a call's line stands for it
+    "int k(int); int f(int a) { a = k(a); }": ["CALL f0()", "v0 = v1"],
+    "struct s { int m; }; int f(struct s *p) { p->m = 0x1F; return (int) p->m ^ 7; }": ["v0 = 0x1F", "t0 = v0 ^ 7"],
+    "": [],
+}
+
+
+@pytest.mark.parametrize("code", CASES)
+def test_data_flow(code):
+    assert data_flow(code).split("\n") == (CASES[code] or [""])
+
+
+def test_more_syntax_is_read():
+    for code in (
+        "#include <x.h>\n#define A(x) \\\n  (x)\nstatic const unsigned char S[4] = {0x63, 0x7c, 1, 2};\nuint32_t r(uint32_t a) { return (a << 3) | (a >> 29); }",
+        "namespace n { class C : public B { public: C() : x(1) {} ~C(); virtual int m() const { return x; } private: int x; }; }",
+        "template <typename T> T mx(T a, T b) { return a > b ? a : b; }\nint main() { std::vector<int> v; for (auto x : v) { x = x * 2; } switch (1) { case 1: break; default: ; } goto e; e: return 0; }",
+        "typedef struct { int a; } t; t *g; enum e { X, Y = 2 }; int (*cb)(int); extern \"C\" { int h(void); }",
+        "int f(){ int a[3] = {1,2,3}; a[0]++; --a[1]; char c = 'x'; double d = 1.5e3; return sizeof(int) + sizeof a; }",
+    ):
+        assert data_flow(code) is not None, code
+
+
+def test_what_cannot_be_read_gives_null():
+    assert data_flow("int f( {") is None and data_flow("@ @") is None and data_flow("(" * 100_000) is None
+    assert [t for _, t in tokenize('a->b <<= 0x1Fu; "s\\"t"')] == ["a", "->", "b", "<<=", "0x1Fu", ";", '"s\\"t"']
+    assert Parser("int x;").unit().children[0].text == "x"
+
+
+def test_parsed_representation_falls_back(spark):
+    rows = [("int f(int a) { a = 1; } // c", "c"), ("int f( { x = 1;", "c"), (None, "c"), ("", "cpp")]
+    df = spark.createDataFrame(rows, "code string, lang string")
+    got = df.select(represent.represent("graph", F.col("code"), F.col("lang"), parsed_data_flow).alias("g"), represent.data_flow_text(F.col("code"), F.col("lang")).alias("r")).collect()
+    assert got[0].g == "v0 = 1" and got[1].g == got[1].r and got[2].g is None and got[3].g == ""
