@@ -20,8 +20,11 @@ KEPT_WORDS = (
     "if else for while do switch case default break continue return goto register volatile inline restrict "
     "true false NULL include define ifdef ifndef endif memcpy memset malloc free printf scanf"
 ).split()
+# Type words that a line loses.
 DROPPED_TYPES = "int|char|float|double|short|long|unsigned|signed|void|const|static"
 
+#: White space at the ends of lines, as a pattern's class.
+WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 Representation = Callable[[Column, Column], Column]
 
 
@@ -47,11 +50,11 @@ def symbol_map(code: Column) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, "^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$", "")
+    return F.regexp_replace(line, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def code_lines(code: Column) -> Column:
-    return F.filter(F.transform(F.split(code, "\r\n|\n|\r|\f|\x0b"), trimmed), lambda x: x != "")
+    return F.filter(F.transform(F.split(code, "\r\n|[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]"), trimmed), lambda x: x != "")
 
 
 def opens_loop(line: Column) -> Column:

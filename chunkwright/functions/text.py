@@ -39,7 +39,25 @@ def tokens(text: Column) -> Column:
 
 
 def identifiers(code: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(code, F.lit("(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    """Words of ASCII letters, digits and underscores that begin with no digit; a word with other letters is none."""
+    words = F.regexp_extract_all(code, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(F.array_distinct(words), lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$"))
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is a whole decimal or hexadecimal literal."""
+    return text.rlike("^(0x[0-9a-fA-F]+|[0-9]+)$")
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below ``root``; a path elsewhere is returned as it is."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
+def detokenize(tokens: Column, *special: str) -> Column:
+    """The text of tokens, without the special ones."""
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*special)) if special else tokens, " ")
 
 
 def model_tag(model: Column) -> Column:

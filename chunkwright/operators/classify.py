@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FOREST, LINEAR
+from ..sources.store import exists
 
 #: The library's deepest tree; stands for an unbounded depth.
 MAX_DEPTH = 30
@@ -36,19 +35,26 @@ class Classifier:
         out = self.model.transform(vectors.withColumn("features", array_to_vector("embedding")))
         return out.select(*vectors.columns, vector_to_array("probability")[1].alias("probability"))
 
+    def score_both(self, vectors: DataFrame) -> DataFrame:
+        """``score`` with ``complement``, the probability of label 0."""
+        return self.score(vectors).withColumn("complement", 1 - F.col("probability"))
+
+    def losses(self) -> list[float]:
+        """The training loss after each pass over the data; empty for models that are not fitted by passes."""
+        if self.model is None:
+            raise NotTrainedError("the classifier has not been trained")
+        return list(self.model.summary.objectiveHistory) if getattr(self.model, "hasSummary", False) and hasattr(self.model.summary, "objectiveHistory") else []
+
     def save(self, path: str) -> None:
         if self.model is None:
             raise NotTrainedError("the classifier has not been trained")
         PipelineModel([self.model]).write().overwrite().save(path)
 
     def load(self, path: str) -> bool:
-        """Whether there was a model at ``path``."""
-        try:
-            self.model = PipelineModel.load(path).stages[0]
-        except Exception as e:
-            if "does not exist" in str(e) or not os.path.exists(path):
-                return False
-            raise
+        """Whether there was a model at ``path``, in whatever store; one that cannot be read is an error."""
+        if not exists(SparkSession.active(), path):
+            return False
+        self.model = PipelineModel.load(path).stages[0]
         return True
 
 
@@ -56,8 +62,10 @@ def forest(n_estimators: int = 200, max_depth: int | None = None, min_samples_le
     return Classifier(RandomForestClassifier(numTrees=n_estimators, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH), minInstancesPerNode=min_samples_leaf, seed=seed))
 
 
-def linear(max_iter: int = 100, reg: float = 1e-3, **_: object) -> Classifier:
-    return Classifier(LogisticRegression(maxIter=max_iter, regParam=reg))
+def linear(epochs: int = 100, reg: float = 1e-3, learning_rate: float | None = None, batch_size: int | None = None) -> Classifier:
+    """``epochs`` bounds the passes over the data. The solver chooses its own steps over all rows at once, so
+    ``learning_rate`` and ``batch_size`` are accepted, for settings written for mini-batches, and have no effect."""
+    return Classifier(LogisticRegression(maxIter=epochs, regParam=reg))
 
 
 REGISTRY = {FOREST: forest, LINEAR: linear}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import read_text, write_text
+
 
 class Embedder(Protocol):
     def embed(self, chunks: DataFrame) -> DataFrame:
@@ -23,6 +26,16 @@ class HashingEmbedder:
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write what makes this embedder, for ``load``."""
+        write_text(spark, f"{path}/embedder.json", json.dumps({"dimensions": self.dimensions}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> HashingEmbedder | None:
+        """The embedder saved at ``path``; None if there is none."""
+        saved = read_text(spark, f"{path}/embedder.json")
+        return cls(**json.loads(saved)) if saved else None
+
     def vector(self, tokens: Column) -> Column:
         d = self.dimensions
         slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(d)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import traceback
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def _values(spark: SparkSession, name: str, kind: str, values: list) -> DataFram
 
 def forest_grid(spark: SparkSession) -> DataFrame:
     """27 settings: trees x depth (0: unbounded) x leaf size."""
-    n, d, m = _values(spark, "n_estimators", "int", [100, 300, 500]), _values(spark, "max_depth", "int", [10, 20, 0]), _values(spark, "min_samples_leaf", "int", [1, 2, 4])
+    n, d, m = _values(spark, "n_estimators", "int", [100, 300, 500]), _values(spark, "max_depth", "int", [10, 20, 0]), _values(spark, "min_samples_leaf", "int", [1, 2, 5])
     return n.join(d, F.lit(True)).join(m, F.lit(True))  # fixed, tiny sides
 
 
@@ -90,6 +91,22 @@ def export_columns(runs: DataFrame) -> DataFrame:
     return runs.withColumns(rates | {"runtime_sec": F.format_string("%.2f", F.col("runtime_sec"))})
 
 
+def union_rows(frames: list[DataFrame]) -> DataFrame:
+    """Rows of runs of different kinds under one header: all columns in order of first appearance, nulls where a kind has none."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def last_written(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with one key the one written last."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
+def summaries(runs: DataFrame) -> dict[str, DataFrame]:
+    """The three summary tables: metrics of every run, the ranking with its parameters as text, the best of each classifier."""
+    detailed = runs.withColumn("param_details", parameter_text(runs))
+    return {"metrics": export_columns(runs), "ranking": export_columns(ranking(detailed)), "best_models": export_columns(best_per_classifier(detailed))}
+
+
 def execute(settings: list[dict], run: Callable[[dict], dict]) -> list[dict]:
     """Run each setting; a failure is a row with status ``failed`` and its trace, and the rest go on."""
     rows = []

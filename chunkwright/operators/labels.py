@@ -41,9 +41,10 @@ def lookup_labels_by_substring(files: DataFrame, inventory: DataFrame, max_inven
     """
     if inventory.limit(max_inventory + 1).count() > max_inventory:
         raise ValueError(f"an inventory of more than {max_inventory} paths needs lookup_labels")
+    numbered = files.withColumn("__row", F.monotonically_increasing_id())  # repeated rows stay apart
     inv = inventory.select("ord", F.col("path").alias("inv_path"), *FLAGS)
-    pairs = files.join(F.broadcast(inv), F.col("inv_path").contains(F.col("file_key")), "left")
-    return pairs.groupBy(*files.columns).agg(*[F.coalesce(F.min_by(f, "ord"), F.lit(False)).alias(f) for f in FLAGS])
+    pairs = numbered.join(F.broadcast(inv), F.col("inv_path").contains(F.col("file_key")), "left")
+    return pairs.groupBy("__row", *files.columns).agg(*[F.coalesce(F.min_by(f, "ord"), F.lit(False)).alias(f) for f in FLAGS]).drop("__row")
 
 
 def is_training_positive() -> Column:
@@ -59,6 +60,19 @@ def evaluation_group() -> Column:
     return F.when(F.col("evaluation"), F.when(F.col("crypto"), POSITIVE).when(F.col("non_crypto"), UNRELATED).when(F.col("discarded"), DISCARDED))
 
 
+# The folders of an evaluated code base, and the group that each stands for.
+CODE_BASE_GROUPS = {
+    "data/evaluation/novel_crypto": POSITIVE,
+    "data/evaluation/non_crypto/non_crypto_dataset": UNRELATED,
+    "data/evaluation/non_crypto/discarded_dataset": DISCARDED,
+}
+
+
+def code_base_groups(path: Column) -> Column:
+    """All groups whose folder the path contains: each is looked for by itself, so a file may have several or none."""
+    return F.filter(F.array(*[F.when(path.contains(folder), group) for folder, group in CODE_BASE_GROUPS.items()]), lambda g: g.isNotNull())
+
+
 def group_from_labels() -> Column:
     """The group of a labelled document: toxic, else by quality."""
     return F.when(F.col("toxic") == 1, POSITIVE).when(F.col("quality") == 1, UNRELATED).when(F.col("quality") == 0, DISCARDED)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import represent as R
 from ..functions import text as X
+from ..functions.cparse import parsed_data_flow
 from ..operators import chunking, classify, embed, evaluate, experiments, labels, mining, report
 from ..sources.tables import table
 from . import golden
@@ -77,12 +78,17 @@ def label_flags(spark, base):
     return files(spark, base).select("path", *labels.label_flags(F.col("path")))
 
 
-@query(f"""WITH {FILES}, flagged AS (SELECT {TAIL} AS file_key, path, {FLAGS_SQL} FROM files)
-SELECT f.path, f.training, f.evaluation, f.crypto, f.discarded, f.non_crypto FROM flagged f""")
+# Every file is listed where it lies, and every third one in a training folder too, under the same key.
+@query(f"""WITH {FILES}, listed AS (SELECT path FROM files UNION ALL SELECT 'data/training/crypto/' || {TAIL} FROM files WHERE doc_id % 3 = 0),
+inventory AS (SELECT {TAIL} AS file_key, path, {FLAGS_SQL} FROM listed),
+firsts AS (SELECT file_key, {', '.join(f'arg_min({f}, path) AS {f}' for f in labels.FLAGS)} FROM inventory GROUP BY file_key)
+SELECT f.path, {', '.join(f'coalesce({f}, false) AS {f}' for f in labels.FLAGS)} FROM files f LEFT JOIN firsts ON file_key = {TAIL.replace('path', 'f.path')}""")
 def label_lookup(spark, base):
-    f = files(spark, base).select("path", X.path_tail(F.col("path")).alias("file_key"))
-    inventory = f.select("path", "file_key", *labels.label_flags(F.col("path")))
-    return labels.lookup_labels(f, inventory).drop("file_key")
+    f = files(spark, base).select("doc_id", "path", X.path_tail(F.col("path")).alias("file_key"))
+    again = f.where("doc_id % 3 = 0").select(F.concat(F.lit("data/training/crypto/"), "file_key").alias("path"))
+    listed = f.select("path").unionByName(again).select("path", X.path_tail(F.col("path")).alias("file_key"))
+    inventory = listed.select("path", "file_key", *labels.label_flags(F.col("path")))
+    return labels.lookup_labels(f.select("path", "file_key"), inventory).drop("file_key")
 
 
 # The inventory of the substring lookup is a fixed list of folders and names, as a directory listing is.
@@ -91,11 +97,12 @@ KEYS = ("a/x.c", "b/y.c", "c/z.h", "d/none.c")
 
 
 @query(f"""WITH inv AS (SELECT path, ord FROM (SELECT unnest({_list(INVENTORY)}) AS path, generate_subscripts({_list(INVENTORY)}, 1) AS ord)),
-keys AS (SELECT unnest({_list(KEYS)}) AS file_key), flagged AS (SELECT ord, path AS inv_path, {FLAGS_SQL} FROM inv)
+{FILES}, keys AS (SELECT unnest({_list(KEYS)}) AS file_key UNION ALL SELECT {TAIL} FROM files), flagged AS (SELECT ord, path AS inv_path, {FLAGS_SQL} FROM inv)
 SELECT file_key, {', '.join(f'coalesce(arg_min({f}, ord), false) AS {f}' for f in labels.FLAGS)} FROM keys LEFT JOIN flagged ON contains(inv_path, file_key) GROUP BY file_key""")
 def label_join_first_match(spark, base):
     inv = spark.createDataFrame(list(enumerate(INVENTORY, 1)), "ord int, path string").select("ord", "path", *labels.label_flags(F.col("path")))
-    return labels.lookup_labels_by_substring(spark.createDataFrame([(k,) for k in KEYS], "file_key string"), inv)
+    keys = spark.createDataFrame([(k,) for k in KEYS], "file_key string").unionByName(files(spark, base).select(X.path_tail(F.col("path")).alias("file_key")))
+    return labels.lookup_labels_by_substring(keys, inv)
 
 
 @query(f"""WITH {FILES}, flagged AS (SELECT path, {FLAGS_SQL} FROM files), routed AS (SELECT path, CASE WHEN evaluation AND crypto THEN 'novel_crypto'
@@ -115,19 +122,19 @@ def training_rows(spark, base):
 
 
 def grouped_documents(spark: SparkSession, base: str) -> DataFrame:
-    """(doc_id, file, text, grp) of labelled documents."""
+    """(doc_id, file, text, grp) of all documents; the group of those without a label is null."""
     docs, marks = table(spark, base, "documents").select("doc_id", "text"), table(spark, base, "labels").select("doc_id", labels.group_from_labels().alias("grp"))
-    return docs.join(marks, "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("file"), "text", "grp")
+    return docs.join(marks, "doc_id", "left").select("doc_id", F.col("doc_id").cast("string").alias("file"), "text", "grp")
 
 
 GROUP_SQL = "CASE WHEN toxic = 1 THEN 'novel_crypto' WHEN quality = 1 THEN 'non_crypto_unrelated' WHEN quality = 0 THEN 'non_crypto_discarded' END"
-GROUPED = f"grouped AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS file, text, {GROUP_SQL} AS grp FROM documents JOIN labels USING (doc_id))"
+GROUPED = f"grouped AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS file, text, {GROUP_SQL} AS grp FROM documents LEFT JOIN labels USING (doc_id))"
 
 
-@query(f"""WITH {GROUPED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('{SEED}|' || doc_id), doc_id) AS r FROM grouped)
+@query(f"""WITH {GROUPED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('{SEED}|' || doc_id), doc_id) AS r FROM grouped WHERE grp IS NOT NULL)
 SELECT doc_id, grp, CASE WHEN r <= 50 THEN 'evaluation' ELSE 'training' END AS split FROM ranked""")
 def split_exact_n(spark, base):
-    return labels.exact_split(grouped_documents(spark, base).select("doc_id", "grp"), "grp", "doc_id", 50, SEED).select("doc_id", "grp", "split")
+    return labels.exact_split(grouped_documents(spark, base).where("grp IS NOT NULL").select("doc_id", "grp"), "grp", "doc_id", 50, SEED).select("doc_id", "grp", "split")
 
 
 @query("SELECT md5('20240601|' || doc_id) AS ord_key, doc_id FROM documents")
@@ -143,7 +150,7 @@ chunks AS (SELECT file, grp, i AS chunk_index, t[i * {STRIDE} + 1 : i * {STRIDE}
   FROM (SELECT file, grp, t, unnest(range(CAST(ceil(len(t) / {STRIDE}.0) AS BIGINT))) AS i FROM tok))"""
 SCORES = f"""{GROUPED}, {CHUNKS}, scores AS (SELECT file, grp, CAST(chunk_index AS INTEGER) AS chunk_index, array_to_string(tokens, ' ') AS clear_text,
   round(1 / (1 + exp(-((length(array_to_string(tokens, ' ')) * 7 % 101) / 20.0::DOUBLE - 2.0::DOUBLE))), 6) AS probability FROM chunks),
-file_scores AS (SELECT g.file, g.grp, coalesce(max(probability), 0.0) AS max_score FROM grouped g LEFT JOIN scores s ON s.file = g.file GROUP BY g.file, g.grp)"""
+file_scores AS (SELECT g.file, g.grp, coalesce(max(probability), 0.0) AS max_score FROM grouped g LEFT JOIN scores s ON s.file = g.file WHERE g.grp IS NOT NULL GROUP BY g.file, g.grp)"""
 
 
 def chunks_of(spark: SparkSession, base: str) -> DataFrame:
@@ -161,7 +168,8 @@ def scores_of(spark: SparkSession, base: str) -> DataFrame:
 
 
 def file_scores_of(spark: SparkSession, base: str) -> DataFrame:
-    return evaluate.file_max_score(scores_of(spark, base), grouped_documents(spark, base))
+    """Of the files that have a group."""
+    return evaluate.file_max_score(scores_of(spark, base).where("grp IS NOT NULL"), grouped_documents(spark, base).where("grp IS NOT NULL"))
 
 
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens FROM documents")
@@ -406,7 +414,7 @@ def metrics_recompute(spark, base):
     return experiments.export_columns(runs(spark)).select("experiment_id", "val_precision", "val_recall", "val_f1", "val_accuracy", "runtime_sec")
 
 
-@query("SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (4)) c(m)")
+@query("SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (5)) c(m)")
 def grid_rf(spark, base):
     return experiments.forest_grid(spark)
 
@@ -416,10 +424,10 @@ def grid_nn(spark, base):
     return experiments.linear_grid(spark)
 
 
-@query("""SELECT n_estimators, max_depth, min_samples_leaf FROM (SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (4)) c(m))
+@query("""SELECT n_estimators, max_depth, min_samples_leaf FROM (SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (5)) c(m))
 WHERE NOT (n_estimators = 100 AND max_depth = 10)""")
 def resume_anti_join(spark, base):
-    done = [(100, 10, m, True, True) for m in (1, 2, 4)] + [(300, 10, 1, True, False), (300, 10, 2, False, True)]
+    done = [(100, 10, m, True, True) for m in (1, 2, 5)] + [(300, 10, 1, True, False), (300, 10, 2, False, True)]
     return experiments.still_to_run(experiments.forest_grid(spark), spark.createDataFrame(done, "n_estimators int, max_depth int, min_samples_leaf int, has_config boolean, has_evaluation boolean"), "n_estimators", "max_depth", "min_samples_leaf")
 
 
@@ -485,52 +493,48 @@ def run_tags(spark, base):
     return runs(spark).select("experiment_id", X.model_tag(F.col("embedding_model")).alias("model_tag"), X.overlap_tag(F.col("overlap_proportion")).alias("overlap_tag"))
 
 
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # Code ---------------------------------------------------------------------------------------------------------
 
-CODE = {
-    "a.c": "int x = 1; // one\n/* two\nlines */ int y = x + 2;\nfor (int i = 0; i < y; i++) {\n  x = x * i;\n}\n",
-    "b.cpp": "static const int LONGNAME = 4;\nwhile (before) {\n  for (;;) { q = LONGNAME ^ ABCD;\n  }\n}\n}\nreturn memcpy(p, q, 3);",
-    "c.h": "// only a comment",
-    "d.py": "x = 1 // 2 /* kept */",
-    "e.c": "",
-}
+# Every document stands for a source file, of the language that its path says.
 
 
-def code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CODE.items()), "path string, code string").withColumn("lang", X.language(F.col("path")))
+def code(spark: SparkSession, base: str) -> DataFrame:
+    return files(spark, base).select("path", F.coalesce("text", F.lit("")).alias("code"), X.language(F.col("path")).alias("lang"))
 
 
-CODE_SQL = "code AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(p, c.replace("'", "''")) for p, c in CODE.items()) + f") t(path, code)), langs AS (SELECT path, code, {LANG} AS lang FROM code), " + """
+CODE_SQL = f"{FILES}, langs AS (SELECT path, coalesce(text, '') AS code, {LANG} AS lang FROM files), " + """
 bare AS (SELECT path, CASE WHEN lang IS NOT NULL THEN regexp_replace(regexp_replace(code, '//[^\\n]*', '', 'g'), '/\\*.*?\\*/', '', 'gs') ELSE code END AS b FROM langs)"""
-IDENT_SQL = f"""{CODE_SQL}, ident AS (SELECT path, list_sort(list_filter(list_distinct(regexp_extract_all(b, '\\b[A-Za-z_][A-Za-z0-9_]*\\b')),
-  lambda w: NOT list_contains({_list(tuple(R.KEPT_WORDS))}, w))) AS ids FROM bare)"""
+IDENT_SQL = f"""{CODE_SQL}, ident AS (SELECT path, list_sort(list_filter(list_distinct(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+')),
+  lambda w: regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') AND NOT list_contains({_list(tuple(R.KEPT_WORDS))}, w))) AS ids FROM bare)"""
 
 
 @query(f"WITH {CODE_SQL} SELECT path, b AS bare FROM bare")
 def comment_strip(spark, base):
-    return code(spark).select("path", X.strip_comments(F.col("code"), F.col("lang")).alias("bare"))
+    return code(spark, base).select("path", X.strip_comments(F.col("code"), F.col("lang")).alias("bare"))
 
 
 @query(f"WITH {IDENT_SQL} SELECT path, array_to_string(ids, ' ') AS ids FROM ident")
 def identifier_set(spark, base):
-    return code(spark).select("path", F.array_join(R.user_identifiers(X.strip_comments(F.col("code"), F.col("lang"))), " ").alias("ids"))
+    return code(spark, base).select("path", F.array_join(R.user_identifiers(X.strip_comments(F.col("code"), F.col("lang"))), " ").alias("ids"))
 
 
 @query(f"""WITH {IDENT_SQL}, one AS (SELECT path, unnest(ids) AS name FROM ident),
 m AS (SELECT *, upper(name) = name AND regexp_matches(name, '[A-Z]') AND length(name) > 4 AS macro FROM one)
 SELECT path, name, CASE WHEN macro THEN 'CONST_' || name ELSE 'v' || (row_number() OVER (PARTITION BY path, macro ORDER BY name) - 1) END AS symbol FROM m""")
 def symbol_numbering(spark, base):
-    named = code(spark).select("path", F.explode(R.symbol_map(X.strip_comments(F.col("code"), F.col("lang")))).alias("name", "symbol"))
+    named = code(spark, base).select("path", F.explode(R.symbol_map(X.strip_comments(F.col("code"), F.col("lang")))).alias("name", "symbol"))
     return named
 
 
-@query(f"""WITH {CODE_SQL}, line AS (SELECT path, trim(l, ' ' || chr(9)) AS l, n FROM (SELECT path, unnest(string_split(b, chr(10))) AS l, generate_subscripts(string_split(b, chr(10)), 1) AS n FROM bare)),
+@query(f"""WITH {CODE_SQL}, line AS (SELECT path, trim(l, '{WHITE_CHARS}') AS l, n FROM (SELECT path, unnest(string_split(b, chr(10))) AS l, generate_subscripts(string_split(b, chr(10)), 1) AS n FROM bare)),
 step AS (SELECT path, n, CASE WHEN (contains(l, 'for') OR contains(l, 'while')) AND (contains(l, '{{') OR suffix(l, ')')) THEN 1 WHEN contains(l, '}}') THEN -1 ELSE 0 END AS d FROM line WHERE l <> ''),
 run AS (SELECT path, n, sum(d) OVER (PARTITION BY path ORDER BY n) AS s FROM step)
 SELECT path, n, CAST(s - least(0, min(s) OVER (PARTITION BY path ORDER BY n)) AS BIGINT) AS depth FROM run""")
 def loop_depth(spark, base):
     """Depth after each line: the running sum, less its least value so far if that is negative."""
-    bare = code(spark).select("path", F.posexplode(F.split(X.strip_comments(F.col("code"), F.col("lang")), "\n")).alias("n", "l")).select("path", (F.col("n") + 1).cast("long").alias("n"), R.trimmed(F.col("l")).alias("l")).where("l <> ''")
+    bare = code(spark, base).select("path", F.posexplode(F.split(X.strip_comments(F.col("code"), F.col("lang")), "\n")).alias("n", "l")).select("path", (F.col("n") + 1).cast("long").alias("n"), R.trimmed(F.col("l")).alias("l")).where("l <> ''")
     w = Window.partitionBy("path").orderBy("n")
     d = bare.withColumn("d", F.when(R.opens_loop(F.col("l")), 1).when(F.col("l").contains("}"), -1).otherwise(0)).withColumn("s", F.sum("d").over(w))
     return d.select("path", "n", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).cast("long").alias("depth"))
@@ -538,4 +542,59 @@ def loop_depth(spark, base):
 
 @query()
 def fallback_dfg(spark, base):
-    return code(spark).select("path", R.data_flow_text(F.col("code"), F.col("lang")).alias("representation"))
+    return code(spark, base).select("path", R.data_flow_text(F.col("code"), F.col("lang")).alias("representation"))
+
+
+@query()
+def parsed_dfg(spark, base):
+    return code(spark, base).select("path", parsed_data_flow(F.col("code"), F.col("lang")).alias("representation"))
+
+
+# Paths and rows -----------------------------------------------------------------------------------------------
+
+BASE_GROUPS = " || ".join(f"CASE WHEN contains(path, '{folder}') THEN ',{group}' ELSE '' END" for folder, group in labels.CODE_BASE_GROUPS.items())
+
+
+@query(f"""WITH {FILES}, moved AS (SELECT replace(path, 'evaluation/non_crypto_dataset', 'evaluation/non_crypto/non_crypto_dataset') AS path FROM files)
+SELECT path, {BASE_GROUPS} AS groups FROM moved""")
+def code_base_routing(spark, base):
+    path = F.replace("path", F.lit("evaluation/non_crypto_dataset"), F.lit("evaluation/non_crypto/non_crypto_dataset"))
+    moved = files(spark, base).select(path.alias("path"))
+    return moved.select("path", F.array_join(F.transform(labels.code_base_groups(F.col("path")), lambda g: F.concat(F.lit(","), g)), "").alias("groups"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN starts_with(path, 'data/evaluation/') THEN substr(path, length('data/evaluation/') + 1) ELSE path END AS relative FROM files")
+def relative_path(spark, base):
+    return files(spark, base).select("path", X.relative_path(F.col("path"), "data/evaluation").alias("relative"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) SELECT doc_id, count(*) AS n FROM t WHERE regexp_full_match(w, '0x[0-9a-fA-F]+|[0-9]+') GROUP BY doc_id")
+def numeric_literals(spark, base):
+    words = table(spark, base, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w"))
+    return words.where(X.is_number(F.col("w"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({TOKENS}, lambda w: w NOT IN ('the', 'of')), ' ') AS text FROM documents WHERE text IS NOT NULL")
+def detokenized(spark, base):
+    return table(spark, base, "documents").where("text IS NOT NULL").select("doc_id", X.detokenize(X.tokens(F.col("text")), "the", "of").alias("text"))
+
+
+@query("""SELECT item AS conv_id, arg_max(text, turn) AS text FROM (SELECT conv_id AS item, turn, text FROM conversations) GROUP BY item""")
+def last_written(spark, base):
+    return experiments.last_written(table(spark, base, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "text")
+
+
+@query("SELECT doc_id, source, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
+def union_header(spark, base):
+    return experiments.union_rows([table(spark, base, "documents").select("doc_id", "source"), table(spark, base, "pages").select(F.col("page_id").alias("doc_id"), "url")])
+
+
+@query(f"WITH {SCORES} SELECT file, chunk_index, round(1 - probability, 6) AS complement FROM scores")
+def complement_probability(spark, base):
+    return scores_of(spark, base).select("file", "chunk_index", F.round(1 - F.col("probability"), 6).alias("complement"))
+
+
+@query()
+def training_losses(spark, base):
+    fitted = classify.get_classifier(golden.LINEAR, epochs=20).fit(_labelled_vectors(spark, base))
+    return spark.createDataFrame(list(enumerate(fitted.losses())), "epoch int, loss double")

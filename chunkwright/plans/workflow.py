@@ -10,16 +10,16 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FOREST, LINEAR, Params
 from ..functions.represent import Representation, data_flow_text, represent
 from ..functions.text import tokens
 from ..operators import chunking, classify, embed, evaluate, experiments, labels, mining
+from ..sources.store import exists, read_text, write_text
 
 
 @dataclass(frozen=True)
@@ -29,16 +29,19 @@ class Artifacts:
     root: str
 
     def table(self, name: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+        """The stored table, made first unless a finished one is there; what a crashed writer left is written anew."""
         digest = hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
-        path = f"{self.root}/{name}/{digest}"
-        made = make()
-        try:
-            return made.sparkSession.read.schema(made.schema).parquet(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        made.write.parquet(path)
-        return made.sparkSession.read.schema(made.schema).parquet(path)
+        path, made = f"{self.root}/{name}/{digest}", make()
+        spark = made.sparkSession
+        if not exists(spark, f"{path}/_SUCCESS"):
+            made.write.mode("overwrite").parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+
+
+def fingerprint(files: DataFrame) -> list:
+    """What tells one set of files from another: how many there are, and a hash of paths and contents in any order."""
+    h = F.xxhash64("file", "content")
+    return [str(x) for x in files.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()]
 
 
 def chunk_files(files: DataFrame, p: Params, graph: Representation = data_flow_text) -> DataFrame:
@@ -47,10 +50,20 @@ def chunk_files(files: DataFrame, p: Params, graph: Representation = data_flow_t
     return chunking.chunk(shown.withColumn("tokens", tokens(F.col("text"))), p.chunk_size, p.stride)
 
 
-def embed_files(files: DataFrame, embedder: embed.Embedder, p: Params, store: Artifacts | None = None, name: str = "embedded") -> DataFrame:
+def embed_files(files: DataFrame, embedder: embed.Embedder, p: Params, store: Artifacts | None = None) -> DataFrame:
+    """Embedded chunks; stored ones are used for the very same files only."""
     make = lambda: embedder.embed(chunk_files(files, p))
-    key = {"representation": p.representation, "size": p.chunk_size, "stride": p.stride, "model": p.model_tag, "files": name}
-    return store.table("embedded", key, make) if store else make()
+    if store is None:
+        return make()
+    key = {"representation": p.representation, "size": p.chunk_size, "stride": p.stride, "model": p.model, "embedder": type(embedder).__name__, "files": fingerprint(files)}
+    return store.table("embedded", key, make)
+
+
+def some(chunks: DataFrame) -> DataFrame:
+    """``chunks``, of which there must be any."""
+    if chunks.isEmpty():
+        raise ValueError("there are no chunks to work on")
+    return chunks
 
 
 def train(embedded: DataFrame, flags: DataFrame, p: Params) -> classify.Classifier:
@@ -85,7 +98,7 @@ def evaluate_scores(scores: DataFrame, files: DataFrame | None = None) -> Evalua
 
 
 def train_and_evaluate(files: DataFrame, flags: DataFrame, embedder: embed.Embedder, p: Params, store: Artifacts | None = None) -> Evaluation:
-    embedded = embed_files(files, embedder, p, store)
+    embedded = some(embed_files(files, embedder, p, store))
     model = train(embedded, flags, p)
     known = flags.select("file", labels.evaluation_group().alias("grp")).where("grp IS NOT NULL")
     return evaluate_scores(score_groups(embedded, flags, model), known)
@@ -100,29 +113,64 @@ def mine_triplets(embedded: DataFrame, flags: DataFrame, model: classify.Classif
 
 def scan_code_base(files: DataFrame, embedder: embed.Embedder, model: classify.Classifier, p: Params, store: Artifacts | None = None) -> DataFrame:
     """Every file of a code base with its greatest chunk probability and the decision at the threshold."""
-    scored = model.score(embed_files(files, embedder, p, store, "scan")).withColumn("grp", F.lit("scanned"))
+    scored = model.score(embed_files(files, embedder, p, store)).withColumn("grp", F.lit("scanned"))
     whole = evaluate.file_max_score(scored, files.select("file", F.lit("scanned").alias("grp")))
     return whole.select("file", "max_score", (F.col("max_score") >= p.threshold).alias("flagged"))
 
 
+def evaluate_code_base(files: DataFrame, embedder: embed.Embedder, model: classify.Classifier, p: Params, store: Artifacts | None = None) -> Evaluation:
+    """The evaluation of a code base whose paths tell the groups; a file in several groups counts in each, one in none in no."""
+    scored = model.score(some(embed_files(files, embedder, p, store)))
+    groups = files.select("file", F.explode(labels.code_base_groups(F.col("file"))).alias("grp"))
+    named = scored.join(groups, "file").select("file", "grp", "chunk_index", "probability", F.array_join("tokens", " ").alias("clear_text"))
+    return evaluate_scores(named, groups)
+
+
 def run_row(p: Params, e: Evaluation) -> dict:
     """A run's counts at its best F1, as the summary tables need them."""
     b = e.points["best_f1"]
     return {"tp": b["tp"], "fn": b["fn"], "fp": b["unrelated_fp"] + b["discarded_fp"], "tn": b["unrelated_tn"] + b["discarded_tn"], "f1": b["f1"], "threshold": b["threshold"], "chunk_size": p.chunk_size, "overlap": p.overlap}
 
 
-def search(files: DataFrame, flags: DataFrame, embedders: dict[str, embed.Embedder], base: Params, forest: list[dict], linear: list[dict], overlaps: tuple[float, ...] = (0.25, 0.125, 0.5), store: Artifacts | None = None) -> list[dict]:
+def _recorded(spark: SparkSession, results: str, setting: dict, run: Callable[[dict], dict]) -> dict:
+    """One run with its files, or what its files say of it."""
+    at = f"{results}/{hashlib.sha256(json.dumps(setting, sort_keys=True).encode()).hexdigest()[:16]}"
+    config, evaluation = (read_text(spark, f"{at}/{name}.json") for name in ("config", "evaluation"))
+    if config and evaluation:
+        try:
+            return json.loads(config) | json.loads(evaluation)
+        except ValueError:
+            pass  # a broken file: the run is done again
+    row = experiments.execute([setting], run)[0]
+    if row["status"] == "success":
+        write_text(spark, f"{at}/evaluation.json", json.dumps({k: v for k, v in row.items() if k in ("tp", "fn", "fp", "tn", "f1", "threshold")}))
+    else:
+        write_text(spark, f"{at}/error.log", row["error"])
+    write_text(spark, f"{at}/config.json", json.dumps(row, indent=2))
+    return row
+
+
+#: Settings of the first two phases.
+STANDARD = {FOREST: {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1}, LINEAR: {"learning_rate": 1e-3, "batch_size": 32, "epochs": 100}}
+
+
+def search(files: DataFrame, flags: DataFrame, embedders: dict[str, embed.Embedder], base: Params, forest: list[dict], linear: list[dict], overlaps: tuple[float, ...] = (0.25, 0.125, 0.5), standard: dict[str, dict] = STANDARD, store: Artifacts | None = None, results: str | None = None) -> list[dict]:
     """Phased search: the model by its mean F1 over both classifiers, then the overlap, then each grid.
 
-    The driver only loops over settings; embedded chunks are shared by all runs of a model and overlap.
+    The driver only loops over settings; embedded chunks are shared by all runs of a model and overlap. Below
+    ``results`` each run leaves config.json and evaluation.json, or error.log; a run that left both is not run again.
     """
+    spark = files.sparkSession
 
     def run(setting: dict) -> dict:
         p = replace(base, model=setting["embedding_model"], overlap_proportion=setting["overlap_proportion"], classifier=setting["classifier_type"], hyperparameters=setting["hyperparameters"])
         return run_row(p, train_and_evaluate(files, flags, embedders[p.model], p, store))
 
+    def execute(settings: list[dict]) -> list[dict]:
+        return experiments.execute(settings, run) if results is None else [_recorded(spark, results, s, run) for s in settings]
+
     def both(model: str, overlap: float) -> list[dict]:
-        return [{"embedding_model": model, "overlap_proportion": overlap, "classifier_type": c, "hyperparameters": {}} for c in (FOREST, LINEAR)]
+        return [{"embedding_model": model, "overlap_proportion": overlap, "classifier_type": c, "hyperparameters": standard[c]} for c in (FOREST, LINEAR)]
 
     def best(rows: list[dict], key: str, default):
         means: dict = {}
@@ -131,14 +179,10 @@ def search(files: DataFrame, flags: DataFrame, embedders: dict[str, embed.Embedd
                 means.setdefault(r[key], []).append(r["f1"])
         return max(means, key=lambda k: sum(means[k]) / len(means[k])) if means else default
 
-    rows = experiments.execute([s for m in embedders for s in both(m, overlaps[0])], run)
+    rows = execute([s for m in embedders for s in both(m, overlaps[0])])
     model = best(rows, "embedding_model", base.model)
-    rows += experiments.execute([s for o in overlaps[1:] for s in both(model, o)], run)
+    rows += execute([s for o in overlaps[1:] for s in both(model, o)])
     overlap = best([r for r in rows if r["embedding_model"] == model], "overlap_proportion", base.overlap_proportion)
     settings = [{"embedding_model": model, "overlap_proportion": overlap, "classifier_type": c, "hyperparameters": h} for c, grid in ((FOREST, forest), (LINEAR, linear)) for h in grid]
-    rows += experiments.execute(settings, run)
+    rows += execute(settings)
     return [row | {"experiment_id": i} for i, row in enumerate(rows, 1)]
-
-
-def params_key(p: Params) -> str:
-    return hashlib.sha256(json.dumps(asdict(p), sort_keys=True).encode()).hexdigest()

@@ -16,6 +16,17 @@ def write_group_json(scores: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").partitionBy("grp").json(path)
 
 
+def write_representations(shown: DataFrame, path: str) -> None:
+    """(file, text) as one folder for each file, holding its text."""
+    shown.select("text", "file").write.mode("overwrite").partitionBy("file").text(path)
+
+
+def write_summaries(tables: dict[str, DataFrame], path: str) -> None:
+    """The summary tables of a search, each as a CSV below ``path``."""
+    for name, table in tables.items():
+        write_csv(table, f"{path}/{name}.csv")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A summary of a few rows as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -238,7 +238,7 @@ def test_workflow_end_to_end(spark, tmp_path):
     scanned = workflow.scan_code_base(files, embed.HashingEmbedder(16), model, p).collect()
     assert len(scanned) == 60
     assert workflow.mine_triplets(embedded, marks, model, Params(size=16, threshold=0.5)).count() > 10
-    found = workflow.search(files, marks, {"m": embed.HashingEmbedder(16)}, Params(model="m", size=16), [{"n_estimators": 3}], [{"max_iter": 5}, {"bad": 1, "max_iter": "x"}], overlaps=(0.25,), store=store)
+    found = workflow.search(files, marks, {"m": embed.HashingEmbedder(16)}, Params(model="m", size=16), [{"n_estimators": 3}], [{"epochs": 5}, {"bad": 1}], overlaps=(0.25,), store=store)
     assert [r["status"] for r in found] == ["success"] * 4 + ["failed"] and "experiment_id" in found[0]
 
 

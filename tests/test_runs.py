@@ -1,0 +1,177 @@
+"""Stored artefacts, resumed searches, run folders and the command line."""
+
+import base64
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from chunkwright import cli, session
+from chunkwright.config import DISCARDED, FOREST, LINEAR, POSITIVE, UNRELATED, Params
+from chunkwright.functions import represent as R
+from chunkwright.functions import text as X
+from chunkwright.operators import classify, embed, experiments, labels
+from chunkwright.plans import workflow
+from chunkwright.sources import files as sources
+from chunkwright.sources import sinks, store
+
+
+def code_files(spark, names, body="int x = 1 ;"):
+    return spark.createDataFrame([(n, "c", f"{body} {n}") for n in names], "file string, lang string, content string")
+
+
+def test_stored_chunks_belong_to_their_files(spark, tmp_path):
+    kept, p, e = workflow.Artifacts(str(tmp_path)), Params(size=8), embed.HashingEmbedder(4)
+    files = lambda df: {r.file for r in workflow.embed_files(df, e, p, kept).collect()}
+    assert files(code_files(spark, ["a.c"])) == {"a.c"} and files(code_files(spark, ["b.c"])) == {"b.c"} and files(code_files(spark, ["a.c"])) == {"a.c"}
+    assert len(os.listdir(tmp_path / "embedded")) == 2
+
+
+def test_an_unfinished_folder_is_written_anew(spark, tmp_path):
+    kept, df = workflow.Artifacts(str(tmp_path)), spark.range(100)
+    assert kept.table("t", {"a": 1}, lambda: df).count() == 100
+    folder = tmp_path / "t" / os.listdir(tmp_path / "t")[0]
+    for name in os.listdir(folder):  # as a killed writer leaves it
+        if "part-00000" in name or "_SUCCESS" in name:
+            os.remove(folder / name)
+    assert kept.table("t", {"a": 1}, lambda: df).count() == 100
+
+
+def test_no_chunks_are_an_error(spark):
+    none = code_files(spark, ["a.c"]).limit(0)
+    flags = spark.createDataFrame([], "file string, training boolean, evaluation boolean, crypto boolean, discarded boolean, non_crypto boolean")
+    with pytest.raises(ValueError, match="no chunks"):
+        workflow.train_and_evaluate(none, flags, embed.HashingEmbedder(4), Params(size=8))
+
+
+def labelled(spark):
+    names = [f"{part}/{kind}/{i}.c" for part in ("training", "evaluation") for kind in ("crypto", "plain") for i in range(4)]
+    files = spark.createDataFrame([(n, "c", ("sha aes xor rotl " if "/crypto" in n else "list node free map ") * 5 + n) for n in names], "file string, lang string, content string")
+    flags = spark.createDataFrame([(n, "training" in n, "evaluation" in n, "/crypto" in n, False, "/plain" in n) for n in names], "file string, training boolean, evaluation boolean, crypto boolean, discarded boolean, non_crypto boolean")
+    return files, flags
+
+
+def test_a_search_is_resumed_from_its_run_folders(spark, tmp_path):
+    files, flags = labelled(spark)
+    args = (files, flags, {"m": embed.HashingEmbedder(8)}, Params(model="m", size=16), [{"n_estimators": 3}], [{"epochs": 5}, {"no_such": 1}])
+    standard = {FOREST: {"n_estimators": 4, "max_depth": None, "min_samples_leaf": 1}, LINEAR: {"learning_rate": 1e-3, "batch_size": 32, "epochs": 9}}
+    first = workflow.search(*args, overlaps=(0.25,), standard=standard, results=str(tmp_path))
+    assert [r["status"] for r in first] == ["success"] * 4 + ["failed"]
+    runs = {d: sorted(os.listdir(tmp_path / d)) for d in os.listdir(tmp_path)}
+    assert sorted(sum(runs.values(), [])).count("evaluation.json") == 4 and sum("error.log" in x for x in runs.values()) == 1
+    done = next(d for d, x in runs.items() if "evaluation.json" in x)
+    saved = json.loads((tmp_path / done / "config.json").read_text())
+    store.write_text(spark, str(tmp_path / done / "config.json"), json.dumps(saved | {"runtime_sec": -1.0}))
+    again = workflow.search(*args, overlaps=(0.25,), standard=standard, results=str(tmp_path))
+    assert [r["f1"] for r in again[:4]] == [r["f1"] for r in first[:4]] and sum(r["runtime_sec"] == -1.0 for r in again) == 1
+    assert workflow.STANDARD[FOREST]["n_estimators"] == 100
+
+
+def test_code_base_groups_come_from_paths(spark):
+    base = "data/evaluation/"
+    paths = [base + "novel_crypto/a.c", base + "non_crypto/non_crypto_dataset/b.c", base + "non_crypto/discarded_dataset/c.c", "other/d.c", base + "novel_crypto/" + base + "non_crypto/discarded_dataset/e.c"]
+    got = [r.g for r in spark.createDataFrame([(p,) for p in paths], "p string").select(labels.code_base_groups(F.col("p")).alias("g")).collect()]
+    assert got == [[POSITIVE], [UNRELATED], [DISCARDED], [], [POSITIVE, DISCARDED]]
+    files, flags = labelled(spark)
+    model = workflow.train(workflow.embed_files(files, embed.HashingEmbedder(8), Params(size=16)), flags, Params(classifier=LINEAR))
+    e = workflow.evaluate_code_base(code_files(spark, paths), embed.HashingEmbedder(8), model, Params(size=16))
+    assert sorted(r.grp for r in e.file_scores.collect()) == sorted([POSITIVE, POSITIVE, UNRELATED, DISCARDED, DISCARDED])
+
+
+def test_classifier_settings_losses_and_models(spark, tmp_path):
+    with pytest.raises(TypeError):
+        classify.get_classifier(LINEAR, max_iterations=3)
+    rows = spark.createDataFrame([([float(i), 1.0], float(i > 4)) for i in range(10)], "embedding array<double>, label double")
+    c = classify.get_classifier(LINEAR, learning_rate=1e-3, batch_size=32, epochs=7)
+    assert not c.load(str(tmp_path / "none")) and c.estimator.getMaxIter() == 7
+    losses = c.fit(rows).losses()
+    assert 2 <= len(losses) <= 8 and losses[-1] < losses[0]
+    assert all(abs(r.probability + r.complement - 1) < 1e-12 for r in c.score_both(rows).collect())
+    c.save(str(tmp_path / "m"))
+    assert classify.get_classifier(LINEAR).load(f"file://{tmp_path}/m")
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception):  # noqa: B017  there is something, but no model
+        classify.get_classifier(LINEAR).load(str(tmp_path / "broken"))
+
+
+def report(path, stats, element="dashboard-payload"):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    data = base64.b64encode(json.dumps({"stats": stats}).encode()).decode()
+    with open(path, "w") as f:
+        f.write(f'<html><script id="{element}" type="application/json">\n  {data[:20]}\n{data[20:]}  </script></html>')
+
+
+def test_reports_of_run_folders(spark, tmp_path, capsys):
+    name = "text_random_forest_classifier_evaluation_"
+    figures = lambda tp, fn, fp: {"novel_crypto_tp": tp, "novel_crypto_fn": fn, "non_crypto_unrelated_fp": fp, "non_crypto_discarded_fp": 1}
+    report(f"{tmp_path}/{name}2/evaluation_report.html", {"best_f1_threshold": 0.5, "best_f1_metrics": figures(8, 2, 1)})
+    report(f"{tmp_path}/{name}1/evaluation_report.html", {"best_f1_threshold": 0.25, "best_f1_metrics": figures(1, 9, 0)}, "payload-data")
+    report(f"{tmp_path}/{name}3/evaluation_report.html", {})
+    report(f"{tmp_path}/{name}x/evaluation_report.html", {})
+    report(f"{tmp_path}/x{name}4/evaluation_report.html", {})
+    report(f"{tmp_path}/{name}5/other.html", {})
+    os.makedirs(f"{tmp_path}/{name}6")
+    (tmp_path / f"{name}6" / "evaluation_report.html").write_text("nothing here")
+    got = [(r.folder, r.threshold, round(r.f1, 6)) for r in sources.scan_reports(spark, str(tmp_path)).collect()]
+    assert got == [(name + "3", None, 0.0), (name + "1", 0.25, round(2 / 12, 6)), (name + "2", 0.5, 0.8)]
+    assert cli.main(["scan-reports", str(tmp_path)], spark) == 0 and f"{name}2: threshold 0.500, F1 0.800000" in capsys.readouterr().out
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    for i in range(6):
+        (tmp_path / "src" / f"{i}.c").write_bytes(b"int f(int a) { a = %d; } // \xff\xfe" % i)
+    assert cli.main(["represent", str(tmp_path / "src")], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == ["v0 = 0", "v0 = 1"]
+    assert cli.main(["represent", str(tmp_path / "src"), "--out", str(tmp_path / "shown")], spark) == 0
+    assert len([d for d in os.listdir(tmp_path / "shown") if d.startswith("file=")]) == 6
+    assert cli.main(["split", str(tmp_path / "src"), "--out", str(tmp_path / "split"), "--n", "2"], spark) == 0
+    assert sorted(r.split for r in spark.read.parquet(str(tmp_path / "split")).collect()) == ["evaluation"] * 2 + ["training"] * 4
+    with pytest.raises(SystemExit):
+        cli.main(["no-such"], spark)
+    assert all("�" not in r.content for r in sources.read_sources(spark, str(tmp_path / "src"), drop_bad=True).collect())
+
+
+def test_summaries_and_small_files(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "id int, p string"), spark.createDataFrame([(2, 0.5)], "id int, q double")
+    both = experiments.union_rows([a, b])
+    assert both.columns == ["id", "p", "q"] and sorted(map(tuple, both.collect())) == [(1, "x", None), (2, None, 0.5)]
+    again = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, None)], "file string, at int, v string")
+    assert {(r.file, r.v) for r in experiments.last_written(again, "file", "at").collect()} == {("f", "new"), ("g", None)}
+    runs = spark.createDataFrame([(1, "rf", "success", 0.5, 0.5, 0.5, 0.5, 1.0, 3), (2, "rf", "success", 0.9, 0.9, 0.9, 0.9, 1.0, None), (3, "nn", "failed", 0.0, 0.0, 0.0, 0.0, 1.0, 5)], "experiment_id int, classifier_type string, status string, val_precision double, val_recall double, val_f1 double, val_accuracy double, runtime_sec double, param_depth int")
+    sinks.write_summaries(experiments.summaries(runs), str(tmp_path))
+    ranked = spark.read.option("header", True).csv(str(tmp_path / "ranking.csv")).collect()
+    assert {(r.experiment_id, r["rank"], r.param_details) for r in ranked} == {("2", "1", "depth="), ("1", "2", "depth=3"), ("3", "N/A", "depth=5")}
+    assert [r.experiment_id for r in spark.read.option("header", True).csv(str(tmp_path / "best_models.csv")).collect()] == ["2"]
+    e = embed.HashingEmbedder(12)
+    e.save(spark, str(tmp_path / "enc"))
+    assert embed.HashingEmbedder.load(spark, str(tmp_path / "enc")).dimensions == 12 and embed.HashingEmbedder.load(spark, str(tmp_path / "no")) is None
+    store.write_text(spark, str(tmp_path / "t"), "é\nb")
+    assert store.read_text(spark, str(tmp_path / "t")) == "é\nb" and store.delete(spark, str(tmp_path / "t")) and store.read_text(spark, str(tmp_path / "t")) is None
+
+
+def test_text_functions(spark):
+    row = spark.createDataFrame([("a\x1cb  c\x85 d \r\ne", "abcé éabc abc 1x _y9")], "code string, words string")
+    assert row.select(R.code_lines(F.col("code"))).first()[0] == ["a", "b", "c", "d", "e"]
+    assert row.select(X.identifiers(F.col("words"))).first()[0] == ["abc", "_y9"]
+    vals = spark.createDataFrame([("12",), ("0x1F",), ("0x",), ("1a",), ("",)], "t string").select(X.is_number(F.col("t")).alias("n")).collect()
+    assert [v.n for v in vals] == [True, True, False, False, False]
+    paths = spark.createDataFrame([("/a/b/c.c",), ("/ab/c.c",)], "p string").select(X.relative_path(F.col("p"), "/a/").alias("r")).collect()
+    assert [p.r for p in paths] == ["b/c.c", "/ab/c.c"]
+    same = spark.createDataFrame([("k",), ("k",)], "file_key string")
+    inventory = spark.createDataFrame([(1, "training/k"), (2, "evaluation/k")], "ord int, path string").select("ord", "path", *labels.label_flags(F.col("path")))
+    assert [(r.training, r.evaluation) for r in labels.lookup_labels_by_substring(same, inventory).collect()] == [(True, False)] * 2
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
