@@ -50,11 +50,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        contents = [t.content for t in added]
+        self.folded = any(t.normalized for t in added)
         #: What every special token's string begins with; the empty string if that says nothing.
         self.special = os.path.commonprefix(contents) if contents else None
         self.kind = self._kind()
-        self.split = {"loose": self._loose, "bytes": _CHUNK_BYTES.findall}.get(self.kind)
+        self.split = {"loose": self._loose, "bytes": self._spaced}.get(self.kind)
         # By id: whether a piece ends (begins) with this token.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -77,12 +79,28 @@ class ChunkEncoder:
         # str.split also splits at U+001C to U+001F, which are no white space to the tokenizer.
         return _CHUNK_LOOSE.findall(text) if _ODD.search(text) else text.split()
 
+    @staticmethod
+    def _spaced(text: str) -> list[str]:
+        """Chunks without the space before them; those without one begin with a null character instead.
+
+        A single space begins a chunk wherever it stands, so most texts are split there.
+        """
+        if "  " not in text and text[:1] != " " and text[-1:] != " ":
+            chunks = text.split(" ")
+            chunks[0] = "\0" + chunks[0]
+            return chunks if text else []
+        return [c[1:] if c[0] == " " else "\0" + c for c in _CHUNK_BYTES.findall(text)]
+
+    def _texts(self, chunks: list[str]) -> list[str]:
+        """The pieces of text that chunks stand for."""
+        return [c[1:] if c[:1] == "\0" else " " + c for c in chunks] if self.kind == "bytes" else chunks
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, chunks: list[str]) -> list[bytes] | None:
         """Ids of chunks of one piece each, encoded as one text, which costs less; None if the pieces cannot be told apart."""
-        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.kind == "bytes" else " ").join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(["", *chunks] if self.kind == "bytes" else chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.flatnonzero(self.edge[ids])
         if len(at) != len(chunks):
             return None
@@ -90,35 +108,32 @@ class ChunkEncoder:
         raw, starts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
         return [raw[x:y] for x, y in zip(starts, starts[1:])]
 
-    def _unknown(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = (lambda c: c[0] == " " and c[1:].isalpha()) if self.kind == "bytes" else str.isalpha
-        simple, rest = [], []
-        for c in chunks:
-            (simple if len(c) <= CACHE_CHUNK_CHARS and plain(c) else rest).append(c)
-        out = {}
+    def _unknown(self, chunks: set[str]) -> dict[str, bytes]:
+        simple = [c for c in chunks if len(c) <= CACHE_CHUNK_CHARS and c.isalpha()]
+        out: dict[str, bytes] = {}
         for at in range(0, len(simple), 1000):
             part = simple[at : at + 1000]
-            out.update(zip(part, self._joined(part) or self._library(part)))
-        out.update(zip(rest, self._library(rest)))
+            out.update(zip(part, self._joined(part) or self._library(self._texts(part))))
+        rest = list(chunks.difference(simple))
+        out.update(zip(rest, self._library(self._texts(rest))))
         return out
 
+    def _known(self, chunks: set[str]) -> dict[str, bytes]:
+        young, older = self.cache, self.older
+        return {c: older[c] for c in chunks & older.keys()} | {c: young[c] for c in chunks & young.keys()}
+
     def _missing(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the younger cache lacks; a word and the marks behind it are looked up apart."""
-        young, old, new, stems, need = self.cache.get, self.older.get, {}, [], set()
-        for c in chunks:
-            if (ids := old(c)) is not None:
-                new[c] = ids
-                continue
-            stem = c.rstrip(MARKS)
-            if stem and len(stem) < len(c) and stem[-1].isalpha():
-                stems.append((c, stem, c[len(stem) :]))
-                need.update(stems[-1][1:])
-            else:
-                need.add(c)
-        parts = {c: ids for c in need if (ids := young(c) or old(c)) is not None}
-        parts |= self._unknown([c for c in need if c not in parts])
+        new = {c: self.older[c] for c in chunks & self.older.keys()}
+        left = list(chunks - new.keys()) if new else list(chunks)
+        bare = "\0" if self.kind == "bytes" else ""
+        marked = [(c, stem, bare + c[len(stem) :]) for c, stem in zip(left, [c.rstrip(MARKS) for c in left]) if stem != c and stem[-1:].isalpha()]
+        need = set(left).difference([c for c, _, _ in marked])
+        need.update([stem for _, stem, _ in marked], [marks for _, _, marks in marked])
+        parts = self._known(need)
+        parts |= self._unknown(need - parts.keys())
         new |= parts
-        new.update([(c, parts[stem] + parts[marks]) for c, stem, marks in stems])
+        new.update([(c, parts[stem] + parts[marks]) for c, stem, marks in marked])
         if len(self.cache) > CACHE_CHUNKS:
             self.older, self.cache = self.cache, {}
         self.cache.update([(c, ids) for c, ids in new.items() if len(c) <= CACHE_CHUNK_CHARS])
@@ -140,7 +155,7 @@ class ChunkEncoder:
             need.clear()
 
         for text in texts:
-            if self.special is not None and self.special in text.lower():
+            if self.special is not None and self.special in (text.lower() if self.folded else text):
                 out += self._library([text])
                 continue
             chunks = self.split(text)
