@@ -1,29 +1,31 @@
 """Exact, fast token ids from the public tokenizer files.
 
-Both public tokenizers split a text at white space before any merge is applied, so the ids of a text
-are the ids of its chunks in order: ``\\S+`` for the lower-casing word BPE (white space is dropped),
-``\\s*\\S+`` and a final ``\\s+`` for the byte-level BPE. A bounded per-process cache from chunk to
-packed ids then spares most calls of the library; the cache changes no id. Texts that may hold the string of
-a special token go to the library whole, which gives them that token's id.
+Both public tokenizers split a text at white space before any merge is applied, so the ids of a text are the
+ids of its chunks in order. A batch of texts is split and its chunks numbered in Arrow, so Python sees each
+distinct chunk of a batch once; a bounded per-process cache from chunk to packed ids then spares most calls of
+the library. The cache changes no id. The word BPE drops white space, so its chunks are what lies between spaces
+and line ends; the byte-level BPE's are ``\\s*\\S+`` and a final ``\\s+``, split at spaces alone where no two
+meet. Texts that may hold the string of a special token go to the library whole, which gives them that token's id.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import workers
 
 #: Unicode white space, as the tokenizers see it.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_CHUNK_LOOSE = re.compile(f"[^{WHITE}]+")
 _CHUNK_BYTES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_ODD = re.compile("[\x1c-\x1f]")
 #: Chunks kept per process in each of two generations; about 170 bytes each.
 CACHE_CHUNKS = 500_000
-#: Characters of texts whose unknown chunks are looked up together.
+#: Characters of texts that are split and looked up together.
 BATCH_CHARS = 1_000_000
 #: Longer chunks go to the library each time.
 CACHE_CHUNK_CHARS = 32
@@ -56,7 +58,9 @@ class ChunkEncoder:
         #: What every special token's string begins with; the empty string if that says nothing.
         self.special = os.path.commonprefix(contents) if contents else None
         self.kind = self._kind()
-        self.split = {"loose": self._loose, "bytes": self._spaced}.get(self.kind)
+        #: The model's own call for one piece, and what stands for the space before it.
+        self.piece, self.space = self.tokenizer.model.tokenize, "Ġ" if self.kind == "bytes" else ""
+        self.split = self._split if self.kind else None
         # By id: whether a piece ends (begins) with this token.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -74,22 +78,16 @@ class ChunkEncoder:
             return "bytes"
         return None
 
-    @staticmethod
-    def _loose(text: str) -> list[str]:
-        # str.split also splits at U+001C to U+001F, which are no white space to the tokenizer.
-        return _CHUNK_LOOSE.findall(text) if _ODD.search(text) else text.split()
-
-    @staticmethod
-    def _spaced(text: str) -> list[str]:
-        """Chunks without the space before them; those without one begin with a null character instead.
-
-        A single space begins a chunk wherever it stands, so most texts are split there.
-        """
-        if "  " not in text and text[:1] != " " and text[-1:] != " ":
-            chunks = text.split(" ")
-            chunks[0] = "\0" + chunks[0]
-            return chunks if text else []
-        return [c[1:] if c[0] == " " else "\0" + c for c in _CHUNK_BYTES.findall(text)]
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        """Chunks without the space before them; of the byte-level BPE, those without one begin with a null character instead."""
+        if self.kind == "loose":
+            array = pa.array(texts, pa.string())
+            for white in "\n\r\t":
+                array = pc.replace_substring(array, white, " ")
+            return pc.split_pattern(array, " ")
+        if all("  " not in t and t[:1] != " " and t[-1:] != " " for t in texts):
+            return pc.split_pattern(pa.array(["\0" + t for t in texts], pa.string()), " ")
+        return pa.array([[c[1:] if c[0] == " " else "\0" + c for c in _CHUNK_BYTES.findall(t)] for t in texts], pa.list_(pa.string()))
 
     def _texts(self, chunks: list[str]) -> list[str]:
         """The pieces of text that chunks stand for."""
@@ -108,68 +106,93 @@ class ChunkEncoder:
         raw, starts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
         return [raw[x:y] for x, y in zip(starts, starts[1:])]
 
-    def _unknown(self, chunks: set[str]) -> dict[str, bytes]:
-        simple = [c for c in chunks if len(c) <= CACHE_CHUNK_CHARS and c.isalpha()]
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of ASCII letters: one piece, which no normalization but the case changes."""
+        ids = [t.id for t in self.piece(word.lower() if self.kind == "loose" else word[1:] if word[0] == "\0" else self.space + word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _unknown(self, chunks: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        for at in range(0, len(simple), 1000):
-            part = simple[at : at + 1000]
+        accented, rest = [], []
+        for c in chunks:
+            if len(c) > CACHE_CHUNK_CHARS:
+                rest.append(c)
+            elif c.isascii() and (c.isalpha() or c[:1] == "\0" and c[1:].isalpha()):
+                out[c] = self._word(c)
+            else:
+                (accented if c.isalpha() else rest).append(c)
+        for at in range(0, len(accented), 1000):
+            part = accented[at : at + 1000]
             out.update(zip(part, self._joined(part) or self._library(self._texts(part))))
-        rest = list(chunks.difference(simple))
         out.update(zip(rest, self._library(self._texts(rest))))
         return out
 
-    def _known(self, chunks: set[str]) -> dict[str, bytes]:
-        young, older = self.cache, self.older
-        return {c: older[c] for c in chunks & older.keys()} | {c: young[c] for c in chunks & young.keys()}
-
-    def _missing(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the younger cache lacks; a word and the marks behind it are looked up apart."""
-        new = {c: self.older[c] for c in chunks & self.older.keys()}
-        left = list(chunks - new.keys()) if new else list(chunks)
+    def _parts(self, chunk: str) -> list[str]:
+        """Chunks whose ids in a row are those of ``chunk``: a word and the marks behind it are looked up apart, lines too."""
         bare = "\0" if self.kind == "bytes" else ""
-        marked = [(c, stem, bare + c[len(stem) :]) for c, stem in zip(left, [c.rstrip(MARKS) for c in left]) if stem != c and stem[-1:].isalpha()]
-        need = set(left).difference([c for c, _, _ in marked])
-        need.update([stem for _, stem, _ in marked], [marks for _, _, marks in marked])
-        parts = self._known(need)
-        parts |= self._unknown(need - parts.keys())
-        new |= parts
-        new.update([(c, parts[stem] + parts[marks]) for c, stem, marks in marked])
-        if len(self.cache) > CACHE_CHUNKS:
-            self.older, self.cache = self.cache, {}
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            # Only single line ends between words; then each is a piece of its own.
+            if chunk.split() != lines or lines[0] == bare:
+                return [chunk]
+            parts = self._parts(lines[0])
+            for line in lines[1:]:
+                parts += [bare + "\n", *self._parts(bare + line)]
+            return parts
+        stem = chunk.rstrip(MARKS)
+        return [stem, bare + chunk[len(stem) :]] if len(stem) < len(chunk) and stem[-1:].lower().isalpha() else [chunk]
+
+    def _missing(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks that the younger cache lacks."""
+        cache, older = self.cache, self.older
+        new = {c: older[c] for c in chunks if c in older} if older else {}
+        left = [c for c in chunks if c not in new] if new else chunks
+        split = {c: parts for c, parts in zip(left, map(self._parts, left)) if len(parts) > 1}
+        pieces = {part for parts in split.values() for part in parts}
+        known = {c: ids for c in pieces if (ids := cache.get(c) or older.get(c)) is not None}
+        known |= self._unknown([*(pieces - known.keys()), *[c for c in left if c not in split and c not in pieces]])
+        new |= known
+        for c, parts in split.items():
+            new[c] = b"".join([known[part] for part in parts])
+        if len(cache) > CACHE_CHUNKS:
+            self.older, self.cache = cache, {}
         self.cache.update([(c, ids) for c, ids in new.items() if len(c) <= CACHE_CHUNK_CHARS])
-        return new
+        return [new[c] for c in chunks]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        lists = self.split(texts)
+        numbered = lists.values.dictionary_encode()
+        which, ends = numbered.indices.to_numpy(), lists.offsets.to_numpy().tolist()
+        chunks = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, chunks))
+        unknown = [at for at, ids in enumerate(found) if ids is None]
+        if unknown:
+            for at, ids in zip(unknown, self._missing([chunks[at] for at in unknown])):
+                found[at] = ids
+        return [b"".join(map(found.__getitem__, which[x:y].tolist())) for x, y in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.split is None:
             return self._library(texts)
-        out: list[bytes] = []
-        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
-        need: set[str] = set()
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[int] = []
         held = 0
 
         def settle() -> None:
-            new = self._missing(need)
-            for at, chunks, found in waiting:
-                out[at] = b"".join([new[c] if ids is None else ids for c, ids in zip(chunks, found)])
+            for at, ids in zip(waiting, self._encode([texts[at] for at in waiting])):
+                out[at] = ids
             waiting.clear()
-            need.clear()
 
-        for text in texts:
-            if self.special is not None and self.special in (text.lower() if self.folded else text):
-                out += self._library([text])
+        for at, text in enumerate(texts):
+            # A null character has a meaning of its own in chunks.
+            if "\0" in text or self.special is not None and self.special in (text.lower() if self.folded else text):
+                out[at] = self._library([text])[0]
                 continue
-            chunks = self.split(text)
-            found = list(map(self.cache.get, chunks))
-            if None in found:
-                need.update([c for c, ids in zip(chunks, found) if ids is None])
-                waiting.append((len(out), chunks, found))
-                out.append(b"")
-                held += len(text)
-                if held > BATCH_CHARS:
-                    settle()
-                    held = 0
-            else:
-                out.append(b"".join(found))
+            waiting.append(at)
+            held += len(text)
+            if held > BATCH_CHARS:
+                settle()
+                held = 0
         if waiting:
             settle()
         return out
