@@ -243,11 +243,6 @@ def metrics_at_threshold(spark, base):
 
 @query(f"{SWEPT} SELECT {SWEEP_COLUMNS} FROM sweep")
 def threshold_sweep(spark, base):
-    return _shown(evaluate.sweep_by_grid(file_scores_of(spark, base)))
-
-
-@query(f"{SWEPT} SELECT {SWEEP_COLUMNS} FROM sweep")
-def threshold_sweep_bucketed(spark, base):
     return _shown(evaluate.threshold_sweep(file_scores_of(spark, base)))
 
 
