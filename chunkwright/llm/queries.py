@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, pii, sketch
+from . import infill, langid, pii, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
 from .decontaminate import EVERY, find_overlaps
 from .line_dedup import dedup_lines
@@ -136,6 +136,31 @@ def op10_arrow_token_files(spark: SparkSession, base: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, base, "documents")))
 
 
+def op13_fill_in_middle(spark: SparkSession, base: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, base, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+#: Lines are lists here, and a cut is the sum of the first lengths.
+OP13_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), sized AS (
+  SELECT doc_id, text, list_transform(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), lambda x: length(x)) AS sizes,
+    CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2, CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM drawn
+), cuts AS (
+  SELECT *, len(sizes) AS n, least(h1 % (len(sizes) + 1), h2 % (len(sizes) + 1)) AS a, greatest(h1 % (len(sizes) + 1), h2 % (len(sizes) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM sized
+), placed AS (
+  SELECT *, CAST(coalesce(list_sum(sizes[1:a]), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(sizes[1:b]), 0) AS BIGINT) AS q FROM cuts
+), parts AS (SELECT *, substr(text, 1, p) AS prefix, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS suffix FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_pii": op1_boosted_pii,
     "op3_bottom_k_fingerprints": op3_bottom_k_fingerprints,
@@ -147,9 +172,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target_chat": op9_prefix_target_chat,
     "op8_simhash_vptree": op8_simhash_vptree,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_similarity_dedup": OP6_SQL,
     "op9_prefix_target_chat": OP9_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
