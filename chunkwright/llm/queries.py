@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import infill, langid, pii, sketch
+from . import infill, langid, pii, repair, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
 from .decontaminate import EVERY, find_overlaps
 from .line_dedup import dedup_lines
@@ -136,6 +136,10 @@ def op10_arrow_token_files(spark: SparkSession, base: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, base, "documents")))
 
 
+def op12_determinised_repair(spark: SparkSession, base: str) -> DataFrame:
+    return repair.summary(repair.repair_conversations(repair.damage(table(spark, base, "conversations"))))
+
+
 def op13_fill_in_middle(spark: SparkSession, base: str) -> DataFrame:
     cut = infill.fill_in_middle(table(spark, base, "documents").select("doc_id", "text"))
     restored = infill.restore(F.col("output"), F.col("form"))
@@ -172,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target_chat": op9_prefix_target_chat,
     "op8_simhash_vptree": op8_simhash_vptree,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op12_determinised_repair": op12_determinised_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
