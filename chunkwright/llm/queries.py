@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import infill, langid, pii, repair, sketch
+from . import hmm, infill, langid, pii, repair, sketch
 from .chat import CLOSE, MIDDLE, OPEN, prefix_examples, read_back
 from .decontaminate import EVERY, find_overlaps
 from .line_dedup import dedup_lines
@@ -136,6 +136,11 @@ def op10_arrow_token_files(spark: SparkSession, base: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, base, "documents")))
 
 
+def op11_hidden_markov_model(spark: SparkSession, base: str) -> DataFrame:
+    scored, lm = hmm.train_and_score(table(spark, base, "documents"), hmm.held_out(F.col("doc_id")), hmm.Hmm(), "doc_id")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lm.classes.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_determinised_repair(spark: SparkSession, base: str) -> DataFrame:
     return repair.summary(repair.repair_conversations(repair.damage(table(spark, base, "conversations"))))
 
@@ -176,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target_chat": op9_prefix_target_chat,
     "op8_simhash_vptree": op8_simhash_vptree,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op11_hidden_markov_model": op11_hidden_markov_model,
     "op12_determinised_repair": op12_determinised_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
