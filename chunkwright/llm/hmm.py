@@ -133,7 +133,7 @@ def encode(docs: DataFrame, known: Classes, p: Hmm) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                codes, rare = [], []
+                codes, rare, times, upto = [], [], [], [0]
                 for text in part.column(len(carried)):
                     words = words_of(text.as_py())
                     try:
@@ -144,12 +144,16 @@ def encode(docs: DataFrame, known: Classes, p: Hmm) -> DataFrame:
                                 seen[w] = own_words + int.from_bytes(w[-suffix:], "big") % buckets
                         code = [seen[w] for w in words]
                     code.append(end)
-                    few = Counter([w for w, c in zip(words, code) if c >= own_words])
-                    codes.append(np.array(code, "<u2").tobytes())
-                    rare.append([{"word": w, "n": n} for w, n in few.items()])
+                    code = np.array(code, "<u2")
+                    few = Counter([words[i] for i in np.flatnonzero(code[:-1] >= own_words).tolist()])
+                    codes.append(code.tobytes())
+                    rare += few
+                    times += few.values()
+                    upto.append(len(rare))
                     if len(seen) > len(of) + most:
                         seen = dict(of)
-                made = [pa.array(range(at, at + part.num_rows), pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))]
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "n"])
+                made = [pa.array(range(at, at + part.num_rows), pa.int64()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pairs)]
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *made], names=[*carried, "id", "codes", "rare"])
 
@@ -164,6 +168,9 @@ class Model:
     moves: np.ndarray
     emits: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.by_class = np.ascontiguousarray(self.emits.T)  # a token's emissions lie side by side
+
 
 def overall(known: Classes, p: Hmm) -> np.ndarray:
     """How likely each class is, of all tokens; those never seen get a little."""
@@ -211,14 +218,15 @@ def blocks(sequences: list[np.ndarray], most: int) -> Iterator[Block]:
 
 def forward(block: Block, m: Model, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scaled forward vectors, emissions, scales) by place in the block; without ``keep`` the first two are not filled."""
-    emitted = m.emits.T[block.codes]
+    emitted = m.by_class[block.codes]
     scales = np.empty(len(block.codes))
-    alphas, last = np.empty_like(emitted) if keep else emitted, None
+    alphas, last, ones = np.empty_like(emitted) if keep else emitted, None, np.ones(emitted.shape[1])
     for a, b in zip(block.starts[:-1], block.starts[1:]):
         v = (m.first if last is None else last[: b - a] @ m.moves) * emitted[a:b]
-        scale = v.sum(axis=1)
+        scale = v @ ones
         scales[a:b] = scale
-        last = v / scale[:, None]
+        v *= (1 / scale)[:, None]
+        last = v
         if keep:
             alphas[a:b] = last
     return alphas, emitted, scales
@@ -251,23 +259,20 @@ class Expected:
         for block in blocks(sequences, most):
             alphas, weights, scales = forward(block, m)
             self.log10 += float(np.log10(scales).sum())
-            starts, beta = block.starts, None
+            starts, beta, moved, back = block.starts, None, np.zeros_like(m.moves), np.ascontiguousarray(m.moves.T)
             for a, b in zip(starts[-2::-1], starts[:0:-1]):
-                later = 0 if beta is None else len(beta)
                 here = np.ones((b - a, alphas.shape[1]))
-                if later:
-                    here[:later] = beta @ m.moves.T
-                weights[a:b] *= here / scales[a:b, None]  # emission, future and scale of this place
-                if a:
-                    beta = weights[a:b]
+                if beta is not None:
+                    here[: len(beta)] = beta @ back
+                    moved += alphas[a : a + len(beta)].T @ beta
+                beta = weights[a:b]  # emission, future and scale of this place
+                beta *= here
+                beta *= (1 / scales[a:b])[:, None]
                 # A place's share of each state: its forward vector times its future.
-                here *= alphas[a:b]
-                if a:
-                    before = starts[np.searchsorted(starts, a) - 1]
-                    self.moves += (alphas[before : before + b - a].T @ weights[a:b]) * m.moves
-                else:
-                    self.first += here.sum(axis=0)
-                alphas[a:b] = here
+                alphas[a:b] *= here
+                if not a:
+                    self.first += alphas[:b].sum(axis=0)
+            self.moves += moved * m.moves
             for k in range(alphas.shape[1]):
                 self.emits[k] += np.bincount(block.codes, weights=alphas[:, k], minlength=self.emits.shape[1])
 
