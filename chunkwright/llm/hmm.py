@@ -44,8 +44,8 @@ class Hmm:
     smoothing: float = 3000.0
     #: Distinct words counted in a worker before it passes them on, and tokens worked on together.
     counted_words: int = 400_000
-    block_tokens: int = 1_000_000
-    buffer_tokens: int = 8_000_000
+    block_tokens: int = 500_000
+    buffer_tokens: int = 6_000_000
 
     @property
     def classes(self) -> int:
