@@ -53,6 +53,11 @@ def _blank(text: str) -> str:
     return f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM {text}) = ''"
 
 
+def without_words(text: Column) -> Column:
+    """Whether a text is white space alone."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def _literal(values: list[int], kind: str) -> str:
     """SQL for a constant array."""
     return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
