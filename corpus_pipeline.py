@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.llm import langid, simhash
 from chunkwright.llm.decontaminate import EVERY, drop_contaminated
-from chunkwright.llm.line_dedup import dedup_lines
+from chunkwright.llm.line_dedup import dedup_lines, without_words
 from chunkwright.llm.packing import pack_documents
 from chunkwright.session import drop_staged, stage_table, staged_tables
 from chunkwright.sources.tables import table
@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near repeats of earlier lines; those that consist of nothing else go."""
+    """Documents without near repeats of earlier lines; those of which no word is left go."""
     done = dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
+    emptied = (F.col("n_removed") > 0) & without_words(F.col("text"))
     return done.where(~F.coalesce(emptied, F.lit(False))).select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
