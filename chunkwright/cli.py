@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.cparse import parsed_data_flow
-from .functions.represent import data_flow_text, represent
+from .functions.represent import represent
 from .operators import labels
 from .sources import files as sources
 from .sources import sinks
@@ -26,7 +25,6 @@ def parser() -> argparse.ArgumentParser:
     shown = commands.add_parser("represent", help="write the anonymised data flow of a source tree, or print it")
     shown.add_argument("root")
     shown.add_argument("--out")
-    shown.add_argument("--pattern-based", action="store_true", help="regular expressions instead of the parser")
     scan = commands.add_parser("scan-reports", help="list the reports of run folders by F1")
     scan.add_argument("root")
     return out
@@ -45,8 +43,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         folder = F.regexp_replace("path", "/[^/]*$", "")
         sinks.write_table(labels.exact_split(read.select("path", folder.alias("folder")), "folder", "path", args.n, args.seed), args.out)
         return 0
-    graph = data_flow_text if args.pattern_based else parsed_data_flow
-    text = read.select(F.col("path").alias("file"), represent("graph", F.col("content"), F.col("lang"), graph).alias("text"))
+    text = read.select(F.col("path").alias("file"), represent("graph", F.col("content"), F.col("lang")).alias("text"))
     if args.out:
         sinks.write_representations(text, args.out)
     else:

@@ -19,6 +19,11 @@ class NotTrainedError(RuntimeError):
     pass
 
 
+def with_complement(scores: DataFrame) -> DataFrame:
+    """``scores`` with ``complement``, the probability of label 0."""
+    return scores.withColumn("complement", 1 - F.col("probability"))
+
+
 class Classifier:
     """Fits on (embedding, label 0/1) rows and adds ``probability`` of label 1."""
 
@@ -37,7 +42,7 @@ class Classifier:
 
     def score_both(self, vectors: DataFrame) -> DataFrame:
         """``score`` with ``complement``, the probability of label 0."""
-        return self.score(vectors).withColumn("complement", 1 - F.col("probability"))
+        return with_complement(self.score(vectors))
 
     def losses(self) -> list[float]:
         """The training loss after each pass over the data; empty for models that are not fitted by passes."""

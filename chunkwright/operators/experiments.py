@@ -97,8 +97,9 @@ def union_rows(frames: list[DataFrame]) -> DataFrame:
 
 
 def last_written(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key the one written last."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+    """Of rows with one key the one written last; of several written at once the greatest by its other columns, in their order."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__at"), *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def summaries(runs: DataFrame) -> dict[str, DataFrame]:

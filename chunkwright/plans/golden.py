@@ -1,8 +1,11 @@
-"""Published runs whose summaries the ranking queries must reproduce."""
+"""Published runs whose summaries the experiment functions must reproduce."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..config import FOREST, LINEAR
+from ..operators import experiments
 
 _BERT, _T5, _QWEN = "microsoft/codebert-base", "Salesforce/codet5-small", "Qwen/Qwen2.5-7B-Instruct"
 
@@ -29,6 +32,5 @@ def rows() -> list[tuple]:
     return [(*r, "success") for r in RUNS] + [(*FAILED, "failed")]
 
 
-def values_sql() -> str:
-    literal = lambda v: "NULL" if v is None else repr(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows()) + ") AS runs(" + ", ".join(c.split()[0] for c in COLUMNS.split(", ")) + ")"
+def runs(spark: SparkSession) -> DataFrame:
+    return experiments.with_metrics(spark.createDataFrame(rows(), COLUMNS))

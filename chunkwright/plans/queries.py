@@ -1,7 +1,6 @@
 """Every operator as a query over the given tables, with its DuckDB equivalent where SQL can express it.
 
-Documents stand in for files, labels for their groups, embeddings for embedded chunks; runs and code
-samples are inline. A chunk's score is the sigmoid of a closed form of its text, so both engines agree.
+Documents stand in for files, labels for their groups, embeddings for embedded chunks. A chunk's score is the sigmoid of a closed form of its text, so both engines agree.
 """
 
 from __future__ import annotations
@@ -11,12 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import FOREST, LINEAR
 from ..functions import represent as R
 from ..functions import text as X
-from ..functions.cparse import parsed_data_flow
 from ..operators import chunking, classify, embed, evaluate, experiments, labels, mining, report
 from ..sources.tables import table
-from . import golden
 
 SIZE, STRIDE, SEED = 128, 96, 20240601
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,20 +352,20 @@ def _labelled_vectors(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def rf_train_score(spark, base):
     rows = _labelled_vectors(spark, base)
-    model = classify.get_classifier(golden.FOREST, n_estimators=20, max_depth=5, seed=1).fit(rows)
+    model = classify.get_classifier(FOREST, n_estimators=20, max_depth=5, seed=1).fit(rows)
     return model.score(rows).select("vec_id", "label", "probability")
 
 
 @query()
 def lr_train_score(spark, base):
     rows = _labelled_vectors(spark, base)
-    return classify.get_classifier(golden.LINEAR).fit(rows).score(rows).select("vec_id", "label", "probability")
+    return classify.get_classifier(LINEAR).fit(rows).score(rows).select("vec_id", "label", "probability")
 
 
 @query()
 def cv_accuracy(spark, base):
     rows = _labelled_vectors(spark, base)
-    return classify.cv_summary(classify.cross_validate(rows, lambda: classify.get_classifier(golden.LINEAR), "vec_id"))
+    return classify.cv_summary(classify.cross_validate(rows, lambda: classify.get_classifier(LINEAR), "vec_id"))
 
 
 @query("""SELECT vec_id, CASE WHEN label < 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
@@ -390,104 +388,6 @@ def triplet_assembly(spark, base):
     return mining.triplets(marks.where("toxic = 1"), marks.where("toxic = 0"), "doc_id", SEED)
 
 
-# Experiments --------------------------------------------------------------------------------------------------
-
-
-def runs(spark: SparkSession) -> DataFrame:
-    return experiments.with_metrics(spark.createDataFrame(golden.rows(), golden.COLUMNS))
-
-
-RUNS = f"""runs0 AS (SELECT * FROM {golden.values_sql()}),
-runs1 AS (SELECT *, CASE WHEN status = 'success' AND tp + fp > 0 THEN tp::DOUBLE / (tp + fp)::DOUBLE ELSE 0.0::DOUBLE END AS val_precision,
-  CASE WHEN status = 'success' AND tp + fn > 0 THEN tp::DOUBLE / (tp + fn)::DOUBLE ELSE 0.0::DOUBLE END AS val_recall,
-  CASE WHEN status = 'success' THEN (tp + tn)::DOUBLE / (tp + tn + fp + fn)::DOUBLE ELSE 0.0::DOUBLE END AS val_accuracy FROM runs0),
-runs AS (SELECT *, CASE WHEN val_precision + val_recall > 0 THEN 2 * val_precision * val_recall / (val_precision + val_recall) ELSE 0.0::DOUBLE END AS val_f1 FROM runs1)"""
-
-
-@query(f"WITH {RUNS} SELECT experiment_id, printf('%.4f', val_precision) AS val_precision, printf('%.4f', val_recall) AS val_recall, printf('%.4f', val_f1) AS val_f1, printf('%.4f', val_accuracy) AS val_accuracy, printf('%.2f', runtime_sec) AS runtime_sec FROM runs")
-def metrics_recompute(spark, base):
-    return experiments.export_columns(runs(spark)).select("experiment_id", "val_precision", "val_recall", "val_f1", "val_accuracy", "runtime_sec")
-
-
-@query("SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (5)) c(m)")
-def grid_rf(spark, base):
-    return experiments.forest_grid(spark)
-
-
-@query("SELECT r::DOUBLE AS learning_rate, b AS batch_size, e AS epochs FROM (VALUES (0.0001), (0.0005), (0.001), (0.005)) a(r), (VALUES (16), (32), (64)) b(b), (VALUES (50), (100), (200), (500)) c(e)")
-def grid_nn(spark, base):
-    return experiments.linear_grid(spark)
-
-
-@query("""SELECT n_estimators, max_depth, min_samples_leaf FROM (SELECT n AS n_estimators, d AS max_depth, m AS min_samples_leaf FROM (VALUES (100), (300), (500)) a(n), (VALUES (10), (20), (0)) b(d), (VALUES (1), (2), (5)) c(m))
-WHERE NOT (n_estimators = 100 AND max_depth = 10)""")
-def resume_anti_join(spark, base):
-    done = [(100, 10, m, True, True) for m in (1, 2, 5)] + [(300, 10, 1, True, False), (300, 10, 2, False, True)]
-    return experiments.still_to_run(experiments.forest_grid(spark), spark.createDataFrame(done, "n_estimators int, max_depth int, min_samples_leaf int, has_config boolean, has_evaluation boolean"), "n_estimators", "max_depth", "min_samples_leaf")
-
-
-@query(f"WITH {RUNS} SELECT embedding_model, round(avg(val_f1), 6) AS mean_f1 FROM runs WHERE status = 'success' GROUP BY embedding_model")
-def model_avg_f1(spark, base):
-    return experiments.mean_f1(runs(spark), "embedding_model").select("embedding_model", F.round("mean_f1", 6).alias("mean_f1"))
-
-
-PHASE1 = "status = 'success' AND experiment_id <= 6"
-
-
-@query(f"WITH {RUNS} SELECT embedding_model FROM (SELECT embedding_model, avg(val_f1) AS a, min(experiment_id) AS i FROM runs WHERE {PHASE1} GROUP BY embedding_model ORDER BY a DESC, i LIMIT 1)")
-def best_model(spark, base):
-    return experiments.choose(experiments.mean_f1(runs(spark).where(PHASE1), "embedding_model"), "embedding_model", "microsoft/codebert-base")
-
-
-PHASE2 = "status = 'success' AND experiment_id BETWEEN 5 AND 10"
-
-
-@query(f"WITH {RUNS} SELECT overlap_proportion FROM (SELECT overlap_proportion, avg(val_f1) AS a, min(experiment_id) AS i FROM runs WHERE {PHASE2} GROUP BY overlap_proportion ORDER BY a DESC, i LIMIT 1)")
-def best_overlap(spark, base):
-    return experiments.choose(experiments.mean_f1(runs(spark).where(PHASE2), "overlap_proportion"), "overlap_proportion", 0.25)
-
-
-RANKED = "ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY round(val_f1, 4) DESC, experiment_id) AS VARCHAR) AS rank FROM runs WHERE status = 'success')"
-
-
-@query(f"WITH {RUNS}, {RANKED} SELECT rank, experiment_id, round(val_f1, 4) AS val_f1 FROM ranked")
-def ranking(spark, base):
-    return experiments.ranking(runs(spark)).where("status = 'success'").select("rank", "experiment_id", F.round("val_f1", 4).alias("val_f1"))
-
-
-@query(f"WITH {RUNS}, {RANKED} SELECT rank, experiment_id, status FROM ranked UNION ALL SELECT 'N/A', experiment_id, status FROM runs WHERE status <> 'success'")
-def ranking_with_failed(spark, base):
-    return experiments.ranking(runs(spark)).select("rank", "experiment_id", "status")
-
-
-@query(f"""WITH {RUNS}, best AS (SELECT *, row_number() OVER (PARTITION BY classifier_type ORDER BY round(val_f1, 4) DESC, experiment_id) AS r FROM runs WHERE status = 'success')
-SELECT row_number() OVER (ORDER BY round(val_f1, 4) DESC, experiment_id) AS rank, classifier_type, experiment_id FROM best WHERE r = 1""")
-def best_per_classifier(spark, base):
-    return experiments.best_per_classifier(runs(spark)).select(F.col("rank").cast("long").alias("rank"), "classifier_type", "experiment_id")
-
-
-@query(f"WITH {RUNS} SELECT experiment_id FROM runs WHERE status = 'success' ORDER BY val_f1, experiment_id LIMIT 1")
-def min_f1_run(spark, base):
-    return runs(spark).where("status = 'success'").agg(F.min_by("experiment_id", F.struct("val_f1", "experiment_id")).alias("experiment_id"))
-
-
-@query(f"WITH {RUNS}, {RANKED} SELECT rank, experiment_id FROM ranked ORDER BY CAST(rank AS INTEGER) LIMIT 5")
-def top5_runs(spark, base):
-    ranked = experiments.ranking(runs(spark)).where("status = 'success'")
-    return ranked.orderBy(F.col("rank").cast("int")).limit(5).select("rank", "experiment_id")
-
-
-@query(f"WITH {RUNS} SELECT count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status <> 'success') AS failed FROM runs")
-def run_totals(spark, base):
-    return runs(spark).agg(F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") != "success").alias("failed"))
-
-
-@query(f"""WITH {RUNS} SELECT experiment_id, replace(replace(list_extract(string_split(embedding_model, '/'), -1), '-', '_'), '.', '_') AS model_tag,
-  CASE WHEN overlap_proportion > 0 THEN 'overlap_1_' || CAST(floor(1 / overlap_proportion) AS BIGINT) ELSE 'overlap_none' END AS overlap_tag FROM runs""")
-def run_tags(spark, base):
-    return runs(spark).select("experiment_id", X.model_tag(F.col("embedding_model")).alias("model_tag"), X.overlap_tag(F.col("overlap_proportion")).alias("overlap_tag"))
-
-
 WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Code ---------------------------------------------------------------------------------------------------------
@@ -540,11 +440,6 @@ def fallback_dfg(spark, base):
     return code(spark, base).select("path", R.data_flow_text(F.col("code"), F.col("lang")).alias("representation"))
 
 
-@query()
-def parsed_dfg(spark, base):
-    return code(spark, base).select("path", parsed_data_flow(F.col("code"), F.col("lang")).alias("representation"))
-
-
 # Paths and rows -----------------------------------------------------------------------------------------------
 
 BASE_GROUPS = " || ".join(f"CASE WHEN contains(path, '{folder}') THEN ',{group}' ELSE '' END" for folder, group in labels.CODE_BASE_GROUPS.items())
@@ -586,10 +481,10 @@ def union_header(spark, base):
 
 @query(f"WITH {SCORES} SELECT file, chunk_index, round(1 - probability, 6) AS complement FROM scores")
 def complement_probability(spark, base):
-    return scores_of(spark, base).select("file", "chunk_index", F.round(1 - F.col("probability"), 6).alias("complement"))
+    return classify.with_complement(scores_of(spark, base)).select("file", "chunk_index", F.round("complement", 6).alias("complement"))
 
 
 @query()
 def training_losses(spark, base):
-    fitted = classify.get_classifier(golden.LINEAR, epochs=20).fit(_labelled_vectors(spark, base))
+    fitted = classify.get_classifier(LINEAR, epochs=20).fit(_labelled_vectors(spark, base))
     return spark.createDataFrame(list(enumerate(fitted.losses())), "epoch int, loss double")

@@ -23,12 +23,15 @@ def read_sources(spark: SparkSession, root: str, strict: bool = False, drop_bad:
     """(path, lang, content) of the recognised source files below ``root``.
 
     Only suffixes of known languages are opened. Bad bytes become U+FFFD; ``strict`` raises instead,
-    ``drop_bad`` drops them, and any U+FFFD with them.
+    ``drop_bad`` drops them and them alone: a U+FFFD that stands in a file stays.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{c,h,cpp,hpp,hh,cc}").load(root)
     content = F.decode("content", F.lit("UTF-8")) if strict else F.col("content").cast("string")
     if drop_bad:
-        content = F.replace(F.make_valid_utf8(content), F.lit("\uFFFD"), F.lit(""))
+        # Genuine ones step aside while the bad bytes' replacements go; the mark is doubled where it stands for itself.
+        hidden = F.replace(F.replace(content, F.lit("\x01"), F.lit("\x01a")), F.lit("\uFFFD"), F.lit("\x01b"))
+        bare = F.replace(F.make_valid_utf8(hidden), F.lit("\uFFFD"), F.lit(""))
+        content = F.replace(F.replace(bare, F.lit("\x01b"), F.lit("\uFFFD")), F.lit("\x01a"), F.lit("\x01"))
     return raw.select("path", language(F.col("path")).alias("lang"), content.alias("content")).where("lang IS NOT NULL")
 
 

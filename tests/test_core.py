@@ -137,7 +137,7 @@ def test_representation(spark):
 
 
 def test_golden_ranking(spark):
-    runs = queries.runs(spark)
+    runs = golden.runs(spark)
     shown = {r.experiment_id: r for r in experiments.export_columns(runs).collect()}
     assert (shown[12].val_f1, shown[12].val_precision, shown[12].val_recall, shown[12].val_accuracy) == ("0.9592", "0.9792", "0.9400", "0.9733")
     assert (shown[6].val_f1, shown[6].val_accuracy) == ("0.9423", "0.9600") and shown[99].val_f1 == "0.0000"
@@ -149,6 +149,27 @@ def test_golden_ranking(spark):
     assert experiments.choose(none, "embedding_model", "fallback").first()[0] == "fallback"
 
 
+def test_grids_choices_and_totals(spark):
+    forests, linears = experiments.forest_grid(spark), experiments.linear_grid(spark)
+    assert forests.distinct().count() == 27 and linears.distinct().count() == 48
+    done = [(100, 10, m, True, True) for m in (1, 2, 5)] + [(300, 10, 1, True, False), (300, 10, 2, False, True)]
+    keys = ("n_estimators", "max_depth", "min_samples_leaf")
+    left = experiments.still_to_run(forests, spark.createDataFrame(done, "n_estimators int, max_depth int, min_samples_leaf int, has_config boolean, has_evaluation boolean"), *keys)
+    assert {tuple(r) for r in left.collect()} == {tuple(r) for r in forests.collect()} - {(100, 10, m) for m in (1, 2, 5)}
+    runs = golden.runs(spark)
+    ok = [r for r in runs.collect() if r.status == "success"]
+    mean = lambda key, rows: {k: sum(r.val_f1 for r in rows if r[key] == k) / sum(r[key] == k for r in rows) for k in {r[key] for r in rows}}
+    assert {r.embedding_model: round(r.mean_f1, 9) for r in experiments.mean_f1(runs, "embedding_model").collect()} == {k: round(v, 9) for k, v in mean("embedding_model", ok).items()}
+    first, second = [r for r in ok if r.experiment_id <= 6], [r for r in ok if 5 <= r.experiment_id <= 10]
+    for key, some, default in (("embedding_model", first, "x"), ("overlap_proportion", second, 0.25)):
+        means = mean(key, some)
+        ids = [r.experiment_id for r in some]
+        chosen = experiments.choose(experiments.mean_f1(runs.where(F.col("experiment_id").isin(ids)), key), key, default).first()[0]
+        assert chosen == max(means, key=lambda k: means[k])
+    tags = golden.runs(spark).select("embedding_model", "overlap_proportion", X.model_tag(F.col("embedding_model")).alias("m"), X.overlap_tag(F.col("overlap_proportion")).alias("o"))
+    assert all((r.m, r.o) == (Params(model=r.embedding_model).model_tag, Params(overlap_proportion=r.overlap_proportion).overlap_tag) for r in tags.collect())
+
+
 def test_parameters_text(spark):
     df = spark.createDataFrame([(1, {"trees": "5"})], "experiment_id int, hyperparameters map<string,string>")
     flat = experiments.flatten_parameters(df, ["trees", "depth"])

@@ -123,7 +123,7 @@ def test_command_line(spark, tmp_path, capsys):
     for i in range(6):
         (tmp_path / "src" / f"{i}.c").write_bytes(b"int f(int a) { a = %d; } // \xff\xfe" % i)
     assert cli.main(["represent", str(tmp_path / "src")], spark) == 0
-    assert capsys.readouterr().out.split("\n")[:2] == ["v0 = 0", "v0 = 1"]
+    assert capsys.readouterr().out.split("\n")[:2] == ["v1(v0) { v0 = 0; }", "v1(v0) { v0 = 1; }"]
     assert cli.main(["represent", str(tmp_path / "src"), "--out", str(tmp_path / "shown")], spark) == 0
     assert len([d for d in os.listdir(tmp_path / "shown") if d.startswith("file=")]) == 6
     assert cli.main(["split", str(tmp_path / "src"), "--out", str(tmp_path / "split"), "--n", "2"], spark) == 0
@@ -131,13 +131,16 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.main(["no-such"], spark)
     assert all("�" not in r.content for r in sources.read_sources(spark, str(tmp_path / "src"), drop_bad=True).collect())
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.c").write_bytes("a\ufffd\x01b\x01".encode() + b"\xff\xc3(" + "\x01a\ufffdé".encode() + b"\xe2\x82")
+    assert [r.content for r in sources.read_sources(spark, str(tmp_path / "odd"), drop_bad=True).collect()] == ["a\ufffd\x01b\x01(\x01a\ufffdé"]
 
 
 def test_summaries_and_small_files(spark, tmp_path):
     a, b = spark.createDataFrame([(1, "x")], "id int, p string"), spark.createDataFrame([(2, 0.5)], "id int, q double")
     both = experiments.union_rows([a, b])
     assert both.columns == ["id", "p", "q"] and sorted(map(tuple, both.collect())) == [(1, "x", None), (2, None, 0.5)]
-    again = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("g", 1, None)], "file string, at int, v string")
+    again = spark.createDataFrame([("f", 1, "old"), ("f", 2, "new"), ("f", 2, "less"), ("g", 1, None)], "file string, at int, v string")
     assert {(r.file, r.v) for r in experiments.last_written(again, "file", "at").collect()} == {("f", "new"), ("g", None)}
     runs = spark.createDataFrame([(1, "rf", "success", 0.5, 0.5, 0.5, 0.5, 1.0, 3), (2, "rf", "success", 0.9, 0.9, 0.9, 0.9, 1.0, None), (3, "nn", "failed", 0.0, 0.0, 0.0, 0.0, 1.0, 5)], "experiment_id int, classifier_type string, status string, val_precision double, val_recall double, val_f1 double, val_accuracy double, runtime_sec double, param_depth int")
     sinks.write_summaries(experiments.summaries(runs), str(tmp_path))
