@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FOREST, LINEAR
+from ..functions.ranks import block_ranks
 from ..sources.store import exists
+from . import minibatch
 
 #: The library's deepest tree; stands for an unbounded depth.
 MAX_DEPTH = 30
@@ -45,10 +47,10 @@ class Classifier:
         return with_complement(self.score(vectors))
 
     def losses(self) -> list[float]:
-        """The training loss after each pass over the data; empty for models that are not fitted by passes."""
+        """The training loss of each epoch; empty for models that are not fitted by epochs."""
         if self.model is None:
             raise NotTrainedError("the classifier has not been trained")
-        return list(self.model.summary.objectiveHistory) if getattr(self.model, "hasSummary", False) and hasattr(self.model.summary, "objectiveHistory") else []
+        return []
 
     def save(self, path: str) -> None:
         if self.model is None:
@@ -67,10 +69,45 @@ def forest(n_estimators: int = 200, max_depth: int | None = None, min_samples_le
     return Classifier(RandomForestClassifier(numTrees=n_estimators, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH), minInstancesPerNode=min_samples_leaf, seed=seed))
 
 
-def linear(epochs: int = 100, reg: float = 1e-3, learning_rate: float | None = None, batch_size: int | None = None) -> Classifier:
-    """``epochs`` bounds the passes over the data. The solver chooses its own steps over all rows at once, so
-    ``learning_rate`` and ``batch_size`` are accepted, for settings written for mini-batches, and have no effect."""
-    return Classifier(LogisticRegression(maxIter=epochs, regParam=reg))
+class AdamClassifier(Classifier):
+    """The linear classifier by mini-batch Adam; ``key`` names the rows, if the table has a column that does."""
+
+    def __init__(self, params: minibatch.Adam, key: str | None = None):
+        super().__init__(params)
+        self.key, self.history = key, []
+
+    def fit(self, vectors: DataFrame) -> "AdamClassifier":
+        (self.model,), (self.history,) = minibatch.fit_models(vectors, self.estimator, self.key if self.key in vectors.columns else None)
+        return self
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise NotTrainedError("the classifier has not been trained")
+        return minibatch.probability(vectors, [self.model])
+
+    def losses(self) -> list[float]:
+        """The mean of the batches' losses in each epoch."""
+        if self.model is None:
+            raise NotTrainedError("the classifier has not been trained")
+        return list(self.history)
+
+    def save(self, path: str) -> None:
+        if self.model is None:
+            raise NotTrainedError("the classifier has not been trained")
+        minibatch.save(SparkSession.active(), path, self.model, self.history, self.estimator)
+
+    def load(self, path: str) -> bool:
+        if not exists(SparkSession.active(), path):
+            return False
+        found = minibatch.load(SparkSession.active(), path)
+        if found is None:
+            raise ValueError(f"there is no model of this kind at {path}")
+        self.model, self.history, self.estimator = found
+        return True
+
+
+def linear(epochs: int = 100, learning_rate: float = 1e-3, batch_size: int = 32, seed: int = 0, key: str | None = None) -> Classifier:
+    return AdamClassifier(minibatch.Adam(learning_rate, batch_size, epochs, seed), key)
 
 
 REGISTRY = {FOREST: forest, LINEAR: linear}
@@ -93,20 +130,30 @@ def linear_score(vector: Column, weights: Column, bias: Column | None = None) ->
 
 
 def folds(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """``rows`` with ``fold``: stratified, unshuffled, contiguous by key within each label."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1
-    count = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return rows.withColumn("fold", F.floor(rank * k / count).cast("int"))
+    """``rows`` with ``fold``: stratified, unshuffled, contiguous by key within each label; ranked in ranges of the key."""
+    return block_ranks(rows, key, label, rank="__rank", size="__size").withColumn("fold", F.floor(F.col("__rank") * k / F.col("__size")).cast("int")).drop("__rank", "__size")
 
 
 def cross_validate(rows: DataFrame, make, key: str, k: int = 5) -> DataFrame:
-    """Accuracy of each fold; one fit for each, scored together."""
-    split = folds(rows, "label", key, k).cache()
-    scored = None
-    for i in range(k):
-        part = make().fit(split.where(F.col("fold") != i)).score(split.where(F.col("fold") == i))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored.groupBy("fold").agg(F.avg(((F.col("probability") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"))
+    """(fold, accuracy): one row for each fold.
+
+    Linear classifiers of all folds are trained in the same scans; others one after another.
+    """
+    split = folds(rows, "label", key, k).persist()
+    hit = F.avg(((F.col("probability") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy")
+    try:
+        first = make()
+        if isinstance(first, AdamClassifier):
+            models, _ = minibatch.fit_models(split, first.estimator, key, k)
+            found = minibatch.probability(split, models, "fold").groupBy("fold").agg(hit).collect()
+        else:
+            found = []
+            for i in range(k):
+                part = make().fit(split.where(F.col("fold") != i)).score(split.where(F.col("fold") == i))
+                found += part.groupBy("fold").agg(hit).collect()
+    finally:
+        split.unpersist()
+    return rows.sparkSession.createDataFrame([(r.fold, r.accuracy) for r in found], "fold int, accuracy double")
 
 
 def cv_summary(accuracies: DataFrame) -> DataFrame:

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import read_text, write_text
+from . import metric
 
 
 class Embedder(Protocol):
+    def key(self) -> str:
+        """What tells this embedder's vectors from any other's: kind, settings, model and version."""
+
     def embed(self, chunks: DataFrame) -> DataFrame:
         """``chunks`` with ``embedding ARRAY<FLOAT>``."""
 
 
+def named(what: str, name: str | None) -> str:
+    if not name:
+        raise ValueError(f"vectors of {what} without a name cannot be stored: nothing would tell them from others")
+    return f"named-{name}"
+
+
 class HashingEmbedder:
     """Signed feature hashing of a chunk's tokens to a unit vector; built-in expressions only."""
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
 
+    def key(self) -> str:
+        return f"hashing-{self.dimensions}"
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Write what makes this embedder, for ``load``."""
         write_text(spark, f"{path}/embedder.json", json.dumps({"dimensions": self.dimensions}))
@@ -50,20 +66,26 @@ class HashingEmbedder:
 
 
 class PrecomputedEmbedder:
-    """Vectors from a table, joined on the chunk's key."""
+    """Vectors from a table, joined on the chunk's key. ``name`` tells the table's state from others, where results are stored."""
+
+    def __init__(self, vectors: DataFrame, *keys: str, name: str | None = None):
+        self.vectors, self.keys, self.name = vectors, list(keys), name
 
-    def __init__(self, vectors: DataFrame, *keys: str):
-        self.vectors, self.keys = vectors, list(keys)
+    def key(self) -> str:
+        return named("a table of vectors", self.name)
 
     def embed(self, chunks: DataFrame) -> DataFrame:
         return chunks.join(self.vectors, self.keys)
 
 
 class CallableEmbedder:
-    """Any batch function from token lists to a matrix; ``load`` runs once in each worker task."""
+    """Any batch function from token lists to a matrix; ``load`` runs once in each worker task. ``name`` tells model and version, where results are stored."""
+
+    def __init__(self, load: Callable[[], Callable[[list[list[str]]], np.ndarray]], batch: int = 64, name: str | None = None):
+        self.load, self.batch, self.name = load, batch, name
 
-    def __init__(self, load: Callable[[], Callable[[list[list[str]]], np.ndarray]], batch: int = 64):
-        self.load, self.batch = load, batch
+    def key(self) -> str:
+        return named("a function", self.name)
 
     def embed(self, chunks: DataFrame) -> DataFrame:
         load, size, at = self.load, self.batch, chunks.columns.index("tokens")
@@ -80,14 +102,27 @@ class CallableEmbedder:
         return chunks.mapInArrow(run, schema)
 
 
+class ProjectedEmbedder:
+    """Another embedder's vectors under a fitted linear map."""
+
+    def __init__(self, inner: Embedder, matrix: np.ndarray):
+        self.inner, self.matrix = inner, np.asarray(matrix, float)
+
+    def key(self) -> str:
+        return f"{self.inner.key()}-mapped-{hashlib.sha256(self.matrix.tobytes()).hexdigest()[:16]}"
+
+    def embed(self, chunks: DataFrame) -> DataFrame:
+        return metric.project(self.inner.embed(chunks), self.matrix)
+
+
 def mean_pool(token_vectors: DataFrame, *keys: str) -> DataFrame:
-    """Masked mean of token vectors (key..., token_index, mask, vector) for each key; the divisor is at least 1e-9."""
-    long = token_vectors.select(*keys, "mask", F.posexplode("vector").alias("dim", "x"))
-    total = long.groupBy(*keys, "dim").agg(F.sum(F.col("x").cast("double") * F.col("mask")).alias("s"), F.sum("mask").alias("m"))
-    mean = total.withColumn("x", F.col("s") / F.greatest(F.col("m").cast("double"), F.lit(1e-9)))
-    return mean.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda p: p.x).alias("pooled"))
+    """Masked mean of token vectors (key..., mask, vector) for each key; the divisor is at least 1e-9. A vector stays one value: tasks pass on one sum for each key."""
+    weighted = F.transform("vector", lambda x: x.cast("double") * F.col("mask"))
+    sums = token_vectors.groupBy(*keys).agg(Summarizer.sum(array_to_vector(weighted)).alias("s"), F.sum("mask").cast("double").alias("m"))
+    return sums.select(*keys, F.transform(vector_to_array("s"), lambda x: x / F.greatest(F.col("m"), F.lit(1e-9))).alias("pooled"))
 
 
 def group_means(vectors: DataFrame, group: str, value: str = "embedding") -> DataFrame:
-    """(group, dim, mean): the mean vector of each group in long form."""
-    return vectors.select(group, F.posexplode(value).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    """(group, mean): the mean vector of each group."""
+    known = vectors.where(F.col(value).isNotNull())
+    return known.groupBy(group).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(value).cast("array<double>")))).alias("mean"))

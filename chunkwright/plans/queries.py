@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import FOREST, LINEAR
 from ..functions import represent as R
 from ..functions import text as X
-from ..operators import chunking, classify, embed, evaluate, experiments, labels, mining, report
+from ..operators import chunking, classify, embed, evaluate, experiments, labels, metric, minibatch, mining, report
 from ..sources.tables import table
 
 SIZE, STRIDE, SEED = 128, 96, 20240601
@@ -308,7 +308,8 @@ def report_payload(spark, base):
 
 @query("""SELECT label, dim - 1 AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim""")
 def group_mean_vectors(spark, base):
-    return embed.group_means(table(spark, base, "embeddings"), "label").select("label", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
+    means = embed.group_means(table(spark, base, "embeddings"), "label").select("label", F.posexplode("mean").alias("dim", "mean"))
+    return means.select("label", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
 @query("""WITH t AS (SELECT vec_id % 50 AS seq, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS mask, embedding FROM embeddings),
@@ -326,21 +327,21 @@ w AS (SELECT dim, avg(x) FILTER (pos) - avg(x) FILTER (NOT pos) AS w FROM l GROU
 
 
 def _weights(spark: SparkSession, base: str) -> DataFrame:
-    long = table(spark, base, "embeddings").select((F.col("label") < 3).alias("pos"), F.posexplode("embedding").alias("dim", "x"))
-    x = F.col("x").cast("double")
-    return long.groupBy("dim").agg((F.avg(F.when(F.col("pos"), x)) - F.avg(F.when(~F.col("pos"), x))).alias("w"))
+    """One row: the mean vector of labels under 3 less that of the others."""
+    means = embed.group_means(table(spark, base, "embeddings").select((F.col("label") < 3).alias("pos"), "embedding").where("pos IS NOT NULL"), "pos")
+    return means.agg(F.zip_with(F.max(F.when(F.col("pos"), F.col("mean"))), F.max(F.when(~F.col("pos"), F.col("mean"))), lambda a, b: a - b).alias("w"))
 
 
 @query(f"WITH {WEIGHTS} SELECT dim - 1 AS dim, round(w, 6) AS w FROM w")
 def centroid_weights(spark, base):
-    return _weights(spark, base).select(F.col("dim").cast("long").alias("dim"), F.round("w", 6).alias("w"))
+    long = _weights(spark, base).select(F.posexplode("w").alias("dim", "w"))
+    return long.select(F.col("dim").cast("long").alias("dim"), F.round("w", 6).alias("w"))
 
 
 @query(f"""WITH {WEIGHTS}, e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
 SELECT vec_id, round(1 / (1 + exp(-sum(x * w))), 6) AS probability FROM e JOIN w USING (dim) GROUP BY vec_id""")
 def linear_score(spark, base):
-    w = _weights(spark, base).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "w"))), lambda p: p.w).alias("w"))  # one row of the vectors' length
-    vectors = table(spark, base, "embeddings").join(F.broadcast(w), F.lit(True))
+    vectors = table(spark, base, "embeddings").join(F.broadcast(_weights(spark, base)), F.lit(True))  # one row of the vectors' length
     return vectors.select("vec_id", F.round(X.sigmoid(classify.linear_score(F.col("embedding"), F.col("w"))), 6).alias("probability"))
 
 
@@ -356,16 +357,26 @@ def rf_train_score(spark, base):
     return model.score(rows).select("vec_id", "label", "probability")
 
 
+def _adam() -> classify.Classifier:
+    return classify.get_classifier(LINEAR, epochs=10, learning_rate=0.01, batch_size=32, key="vec_id")
+
+
 @query()
 def lr_train_score(spark, base):
     rows = _labelled_vectors(spark, base)
-    return classify.get_classifier(LINEAR).fit(rows).score(rows).select("vec_id", "label", "probability")
+    return _adam().fit(rows).score(rows).select("vec_id", "label", "probability")
 
 
 @query()
 def cv_accuracy(spark, base):
-    rows = _labelled_vectors(spark, base)
-    return classify.cv_summary(classify.cross_validate(rows, lambda: classify.get_classifier(LINEAR), "vec_id"))
+    return classify.cv_summary(classify.cross_validate(_labelled_vectors(spark, base), _adam, "vec_id"))
+
+
+@query(f"""WITH dealt AS (SELECT vec_id, CAST('0x' || left(md5(CAST(vec_id AS VARCHAR)), 8) AS BIGINT) % 4 AS part FROM embeddings),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('{SEED + 1}|' || vec_id)) - 1 AS r FROM dealt)
+SELECT vec_id, part, r // 32 AS batch, r % 32 AS place FROM ranked""")
+def batch_windows(spark, base):
+    return minibatch.batch_windows(table(spark, base, "embeddings").select("vec_id"), "vec_id", 32, SEED, epoch=1, parts=4)
 
 
 @query("""SELECT vec_id, CASE WHEN label < 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
@@ -388,6 +399,34 @@ def triplet_assembly(spark, base):
     return mining.triplets(marks.where("toxic = 1"), marks.where("toxic = 0"), "doc_id", SEED)
 
 
+def _triplet_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """Vectors of the triplets of labelled documents that have one; toxic ones are the positives."""
+    vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    marks = table(spark, base, "labels").join(vectors.select("doc_id"), "doc_id", "left_semi")
+    keys = mining.triplets(marks.where("toxic = 1"), marks.where("toxic = 0"), "doc_id", SEED)
+    return metric.with_vectors(keys, vectors, "doc_id")
+
+
+_VECTOR_TRIPLETS = _TRIPLETS.replace("FROM labels", "FROM labels SEMI JOIN embeddings ON doc_id = vec_id")
+_FAR = "sqrt(list_sum(list_transform(list_zip(a.embedding, {0}.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE + 1e-6, 2))))"
+
+
+@query(f"""WITH {_VECTOR_TRIPLETS}, t AS (SELECT anchor, p.doc_id AS positive, q.doc_id AS negative FROM pairs JOIN pos p ON p.idx = other JOIN neg q ON q.idx = pairs.idx)
+SELECT count(*) AS n, round(avg(greatest(0.0::DOUBLE, {_FAR.format('b')} - {_FAR.format('c')} + 0.5::DOUBLE)), 9) AS loss
+FROM t JOIN embeddings a ON a.vec_id = anchor JOIN embeddings b ON b.vec_id = positive JOIN embeddings c ON c.vec_id = negative""")
+def triplet_margin_loss(spark, base):
+    return _triplet_vectors(spark, base).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(metric.margin_loss(0.5)), 9).alias("loss"))
+
+
+@query()
+def triplet_finetune(spark, base):
+    """Vectors under the map that the triplets teach, with the loss before and after."""
+    w, losses = metric.fit_projection(_triplet_vectors(spark, base))
+    mapped = metric.project(table(spark, base, "embeddings").select("vec_id", "embedding"), w)
+    first, last = (losses[0], losses[-1]) if losses else (None, None)
+    return mapped.select("vec_id", "embedding", F.lit(first).cast("double").alias("loss_before"), F.lit(last).cast("double").alias("loss_after"))
+
+
 WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Code ---------------------------------------------------------------------------------------------------------
@@ -486,5 +525,5 @@ def complement_probability(spark, base):
 
 @query()
 def training_losses(spark, base):
-    fitted = classify.get_classifier(LINEAR, epochs=20).fit(_labelled_vectors(spark, base))
+    fitted = _adam().fit(_labelled_vectors(spark, base))
     return spark.createDataFrame(list(enumerate(fitted.losses())), "epoch int, loss double")

@@ -221,7 +221,7 @@ def test_report_and_source_files(spark, tmp_path):
 def test_classifiers_and_embedders(spark, tmp_path):
     rng = random.Random(0)
     rows = spark.createDataFrame([(i, [rng.gauss(i % 2, 0.3), rng.gauss(0, 1)], float(i % 2)) for i in range(80)], "id int, embedding array<float>, label double")
-    for name, hyper in ((FOREST, {"n_estimators": 5, "max_depth": None}), (LINEAR, {})):
+    for name, hyper in ((FOREST, {"n_estimators": 5, "max_depth": None}), (LINEAR, {"learning_rate": 0.05, "epochs": 20})):
         model = classify.get_classifier(name, **hyper)
         with pytest.raises(classify.NotTrainedError):
             model.score(rows)
@@ -251,7 +251,7 @@ def test_workflow_end_to_end(spark, tmp_path):
         flags.append((f"{folder}/{i}.c",))
     files = spark.createDataFrame(rows, "file string, lang string, content string")
     marks = spark.createDataFrame(flags, "file string").select("file", *labels.label_flags(F.col("file")))
-    p, store = Params(size=16, hyperparameters={}), workflow.Artifacts(str(tmp_path / "store"))
+    p, store = Params(size=16, hyperparameters={"learning_rate": 0.05, "epochs": 15}), workflow.Artifacts(str(tmp_path / "store"))
     e = workflow.train_and_evaluate(files, marks, embed.HashingEmbedder(16), p, store)
     assert e.points["best_f1"]["f1"] == 1.0 and e.points["best_f1"]["tp"] == 15
     embedded = workflow.embed_files(files, embed.HashingEmbedder(16), p, store)
