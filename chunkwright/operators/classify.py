@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import FOREST, LINEAR
 from ..functions.ranks import block_ranks
-from ..sources.store import exists
+from ..session import new_shared_path
+from ..sources.store import delete, exists
 from . import minibatch
 
 #: The library's deepest tree; stands for an unbounded depth.
@@ -65,8 +66,70 @@ class Classifier:
         return True
 
 
+class PrefixForest(Classifier):
+    """A forest that answers for its first trees, too: one fit of many trees stands for forests of fewer."""
+
+    def __init__(self, estimator: RandomForestClassifier):
+        super().__init__(estimator)
+        self.votes = None
+
+    def fit(self, vectors: DataFrame) -> "PrefixForest":
+        super().fit(vectors)
+        self.votes = None
+        return self
+
+    def prefixes(self, vectors: DataFrame, *cuts: int) -> DataFrame:
+        """``vectors`` with ``probabilities``: of label 1 by the first ``n`` trees, for each n of ``cuts``.
+
+        Each tree tells the leaf that a row falls into; the leaf's share of label 1 is the tree's vote.
+        """
+        if self.model is None:
+            raise NotTrainedError("the classifier has not been trained")
+        if self.votes is None:
+            self.votes = leaf_votes(vectors.sparkSession, self.model)
+        most = self.model.getNumTrees
+        if not all(1 <= n <= most for n in cuts):
+            raise ValueError(f"the forest has {most} trees")
+        leaves = self.model.copy().setLeafCol("__leaf").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("")
+        out = leaves.transform(vectors.withColumn("features", array_to_vector("embedding"))).withColumn("__leaf", vector_to_array("__leaf"))
+        known = vectors.sparkSession.createDataFrame([(self.votes,)], "__votes array<array<double>>")  # the model's leaves
+        votes = F.transform("__leaf", lambda leaf, tree: F.get(F.get("__votes", tree), leaf.cast("int")))
+        mean = lambda n: F.aggregate(F.slice("__v", 1, n), F.lit(0.0), lambda a, x: a + x) / n
+        voted = out.join(F.broadcast(known), F.lit(True)).select(*vectors.columns, votes.alias("__v"))
+        return voted.select(*vectors.columns, F.array(*[mean(n) for n in cuts]).alias("probabilities"))
+
+    def first(self, n: int) -> "Classifier":
+        """The forest of the first ``n`` trees, to score with."""
+        return FirstTrees(self, n)
+
+
+class FirstTrees(Classifier):
+    def __init__(self, whole: PrefixForest, n: int):
+        super().__init__(whole.estimator)
+        self.whole, self.n, self.model = whole, n, whole.model
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        scored = self.whole.prefixes(vectors, self.n)
+        return scored.select(*vectors.columns, F.col("probabilities")[0].alias("probability"))
+
+
+def leaf_votes(spark: SparkSession, model) -> list[list[float]]:
+    """Each tree's leaves in the order in which the library numbers them, as shares of label 1. As large as the model."""
+    path = new_shared_path(spark, "forest")
+    model.write().save(path)
+    try:
+        nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").where("leftChild < 0")
+        stats = F.col("impurityStats")
+        share = F.coalesce(F.try_divide(F.get(stats, F.lit(1)), F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+        trees = nodes.groupBy("treeID").agg(F.sort_array(F.collect_list(F.struct("id", share.alias("p")))).alias("leaves"))
+        rows = trees.select("treeID", F.transform("leaves", lambda x: x.p).alias("p")).orderBy("treeID").collect()
+    finally:
+        delete(spark, path)
+    return [list(r.p) for r in rows]
+
+
 def forest(n_estimators: int = 200, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 0) -> Classifier:
-    return Classifier(RandomForestClassifier(numTrees=n_estimators, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH), minInstancesPerNode=min_samples_leaf, seed=seed))
+    return PrefixForest(RandomForestClassifier(numTrees=n_estimators, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH), minInstancesPerNode=min_samples_leaf, seed=seed))
 
 
 class AdamClassifier(Classifier):

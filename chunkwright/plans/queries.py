@@ -357,6 +357,14 @@ def rf_train_score(spark, base):
     return model.score(rows).select("vec_id", "label", "probability")
 
 
+@query()
+def forest_prefixes(spark, base):
+    """One fit of 40 trees answers for 10 and 20, too."""
+    rows = _labelled_vectors(spark, base)
+    grown = classify.get_classifier(FOREST, n_estimators=40, max_depth=5, seed=1).fit(rows).prefixes(rows, 10, 20, 40)
+    return grown.select("vec_id", "label", *[F.col("probabilities")[i].alias(f"probability_{n}") for i, n in enumerate((10, 20, 40))])
+
+
 def _adam() -> classify.Classifier:
     return classify.get_classifier(LINEAR, epochs=10, learning_rate=0.01, batch_size=32, key="vec_id")
 

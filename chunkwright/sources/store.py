@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(where)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is not there."""
+    store, where = _at(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(where)) if store.exists(where) else []
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, unless there is one: of several callers exactly one gets True."""
+    store, where = _at(spark, path)
+    store.mkdirs(where.getParent())
+    return bool(store.createNewFile(where))
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file was written, by the driver's clock."""
+    store, where = _at(spark, path)
+    return time.time() - store.getFileStatus(where).getModificationTime() / 1000
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     store, where = _at(spark, path)
     return store.delete(where, True)

@@ -16,8 +16,8 @@ from chunkwright.functions import text as X
 from chunkwright.functions.arrays import prefix_sums
 from chunkwright.operators import chunking, classify, embed, evaluate, experiments, labels, mining, report
 from chunkwright.plans import golden, queries, workflow
+from chunkwright.sources import cache, sinks
 from chunkwright.sources import files as sources
-from chunkwright.sources import sinks
 from chunkwright.streaming import drop_folder
 
 
@@ -251,7 +251,7 @@ def test_workflow_end_to_end(spark, tmp_path):
         flags.append((f"{folder}/{i}.c",))
     files = spark.createDataFrame(rows, "file string, lang string, content string")
     marks = spark.createDataFrame(flags, "file string").select("file", *labels.label_flags(F.col("file")))
-    p, store = Params(size=16, hyperparameters={"learning_rate": 0.05, "epochs": 15}), workflow.Artifacts(str(tmp_path / "store"))
+    p, store = Params(size=16, hyperparameters={"learning_rate": 0.05, "epochs": 15}), cache.ChunkCache(str(tmp_path / "store"))
     e = workflow.train_and_evaluate(files, marks, embed.HashingEmbedder(16), p, store)
     assert e.points["best_f1"]["f1"] == 1.0 and e.points["best_f1"]["tp"] == 15
     embedded = workflow.embed_files(files, embed.HashingEmbedder(16), p, store)
@@ -259,7 +259,7 @@ def test_workflow_end_to_end(spark, tmp_path):
     scanned = workflow.scan_code_base(files, embed.HashingEmbedder(16), model, p).collect()
     assert len(scanned) == 60
     assert workflow.mine_triplets(embedded, marks, model, Params(size=16, threshold=0.5)).count() > 10
-    found = workflow.search(files, marks, {"m": embed.HashingEmbedder(16)}, Params(model="m", size=16), [{"n_estimators": 3}], [{"epochs": 5}, {"bad": 1}], overlaps=(0.25,), store=store)
+    found = workflow.search(files, marks, {"m": embed.HashingEmbedder(16)}, Params(model="m", size=16), [{"n_estimators": 3}], [{"epochs": 5}, {"bad": 1}], overlaps=(0.25,), cache=store)
     assert [r["status"] for r in found] == ["success"] * 4 + ["failed"] and "experiment_id" in found[0]
 
 

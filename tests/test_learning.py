@@ -130,3 +130,20 @@ def test_projection_learns_and_handles_short_negatives(spark):
     mapped = {r.k: r.embedding for r in metric.project(vectors.union(spark.createDataFrame([("none", None)], vectors.schema)), w).collect()}
     assert mapped["none"] is None and np.allclose(mapped["p3"], w @ np.array(rows[3][1]), atol=1e-5)
     assert metric.fit_projection(with_v.limit(0))[1] == []
+
+
+def test_first_trees_answer_like_forests_of_their_own(spark):
+    rows, df = vectors(spark, 120, seed=6)
+    c = classify.get_classifier("random_forest_classifier", n_estimators=9, max_depth=4, seed=2).fit(df)
+    got = {r.vec_id: r.probabilities for r in c.prefixes(df, 1, 4, 9).collect()}
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    ready = df.withColumn("features", array_to_vector("embedding"))
+    per_tree = [{r.vec_id: r.p for r in t.transform(ready).select("vec_id", vector_to_array("probability")[1].alias("p")).collect()} for t in c.model.trees]
+    for i, values in got.items():
+        assert np.allclose(values, [np.mean([t[i] for t in per_tree[:n]]) for n in (1, 4, 9)])
+    whole = {r.vec_id: r.probability for r in c.score(df).collect()}
+    assert all(abs(whole[i] - v[2]) < 1e-12 for i, v in got.items())
+    assert {r.vec_id: r.probability for r in c.first(4).score(df).collect()} == {i: v[1] for i, v in got.items()}
+    with pytest.raises(ValueError):
+        c.prefixes(df, 10)

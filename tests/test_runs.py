@@ -1,8 +1,11 @@
 """Stored artefacts, resumed searches, run folders and the command line."""
 
 import base64
+import dataclasses
 import json
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,31 +14,73 @@ from chunkwright import cli, session
 from chunkwright.config import DISCARDED, FOREST, LINEAR, POSITIVE, UNRELATED, Params
 from chunkwright.functions import represent as R
 from chunkwright.functions import text as X
-from chunkwright.operators import classify, embed, experiments, labels
+from chunkwright.operators import chunking, classify, embed, experiments, labels, metric
 from chunkwright.plans import workflow
+from chunkwright.sources import cache, sinks, store
 from chunkwright.sources import files as sources
-from chunkwright.sources import sinks, store
 
 
 def code_files(spark, names, body="int x = 1 ;"):
     return spark.createDataFrame([(n, "c", f"{body} {n}") for n in names], "file string, lang string, content string")
 
 
-def test_stored_chunks_belong_to_their_files(spark, tmp_path):
-    kept, p, e = workflow.Artifacts(str(tmp_path)), Params(size=8), embed.HashingEmbedder(4)
-    files = lambda df: {r.file for r in workflow.embed_files(df, e, p, kept).collect()}
-    assert files(code_files(spark, ["a.c"])) == {"a.c"} and files(code_files(spark, ["b.c"])) == {"b.c"} and files(code_files(spark, ["a.c"])) == {"a.c"}
-    assert len(os.listdir(tmp_path / "embedded")) == 2
-
-
-def test_an_unfinished_folder_is_written_anew(spark, tmp_path):
-    kept, df = workflow.Artifacts(str(tmp_path)), spark.range(100)
-    assert kept.table("t", {"a": 1}, lambda: df).count() == 100
-    folder = tmp_path / "t" / os.listdir(tmp_path / "t")[0]
-    for name in os.listdir(folder):  # as a killed writer leaves it
-        if "part-00000" in name or "_SUCCESS" in name:
-            os.remove(folder / name)
-    assert kept.table("t", {"a": 1}, lambda: df).count() == 100
+def test_stored_chunks_belong_to_their_contents(spark, tmp_path):
+    kept, p, e = cache.ChunkCache(str(tmp_path)), Params(size=8), embed.HashingEmbedder(4)
+
+    def embedded(df, by=e):
+        rows = workflow.embed_files(df, by, p, kept).collect()
+        want = workflow.embed_files(df, by, p).collect()
+        key = lambda r: (r.file, r.chunk_index, list(r.tokens), list(r.embedding))
+        assert sorted(map(key, rows)) == sorted(map(key, want))
+        return kept.added["contents"]
+
+    assert embedded(code_files(spark, ["a.c", "b.c"])) == 2
+    assert embedded(code_files(spark, ["b.c", "a.c"])) == 0
+    twice = code_files(spark, ["a.c"]).union(spark.createDataFrame([("copy.c", "c", "int x = 1 ; a.c"), ("empty.c", "c", ""), ("none.c", "c", None)], "file string, lang string, content string"))
+    assert embedded(twice) == 1 and embedded(twice) == 0  # empty and null contents are one, and stored without chunks
+    settings = workflow.settings(e, p)
+    assert {r.path for r in kept.gone(twice, settings).collect()} == {"b.c"}
+    assert kept.clear(twice, settings) == 1 and kept.clear(twice, settings) == 0
+    assert embedded(twice) == 0 and embedded(code_files(spark, ["b.c"])) == 1
+
+
+def test_vectors_of_other_embedders_are_not_taken(spark, tmp_path):
+    kept, p, df = cache.ChunkCache(str(tmp_path)), Params(size=8), code_files(spark, ["a.c"])
+    sizes = [len(workflow.embed_files(df, embed.HashingEmbedder(d), p, kept).first().embedding) for d in (4, 16, 4)]
+    assert sizes == [4, 16, 4]
+    nameless = embed.CallableEmbedder(lambda: lambda batch: [[1.0] for _ in batch])
+    with pytest.raises(ValueError, match="without a name"):
+        workflow.embed_files(df, nameless, p, kept)
+    for version in (1.0, 2.0):
+        e = embed.CallableEmbedder(lambda v=version: lambda batch: [[v] for _ in batch], name=f"v{version}")
+        assert workflow.embed_files(df, e, p, kept).first().embedding == [version]
+    assert embed.ProjectedEmbedder(embed.HashingEmbedder(2), [[1, 0], [0, 1]]).key() != embed.ProjectedEmbedder(embed.HashingEmbedder(2), [[1, 0], [0, 2]]).key()
+
+
+def test_an_unfinished_batch_is_passed_over(spark, tmp_path):
+    kept, p, e, df = cache.ChunkCache(str(tmp_path)), Params(size=8), embed.HashingEmbedder(4), code_files(spark, ["a.c"])
+    workflow.embed_files(df, e, p, kept).collect()
+    folder = kept.folder(workflow.settings(e, p))
+    (batch,) = os.listdir(folder)
+    os.remove(f"{folder}/{batch}/keys/_SUCCESS")  # as a killed writer leaves it
+    assert len(workflow.embed_files(df, e, p, kept).collect()) == 1 and kept.added["contents"] == 1
+    (tmp_path / "x").mkdir()
+    open(f"{folder}/{batch}/keys/_SUCCESS", "w").close()  # and as a second writer of the same content does
+    assert len(workflow.embed_files(df, e, p, kept).collect()) == 1 and kept.added["contents"] == 0
+    assert kept.clear(df, workflow.settings(e, p)) == 1 and len(workflow.embed_files(df, e, p, kept).collect()) == 1
+
+
+def test_one_changed_document_is_embedded_alone(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.lit("c").alias("lang"), F.col("text").alias("content"))
+    kept, p, e = cache.ChunkCache(str(tmp_path)), Params(size=64), embed.HashingEmbedder(4)
+    first = workflow.embed_files(docs, e, p, kept).groupBy("file").count().count()
+    assert kept.added["contents"] == docs.select("content").distinct().count() and kept.added["contents_with_chunks"] <= first
+    changed = docs.withColumn("content", F.when(F.col("file") == "7", F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    again = workflow.embed_files(changed, e, p, kept)
+    assert kept.added["contents"] == 1 and kept.added["contents_with_chunks"] == 1
+    counts = chunking.chunk_counts(again).first()
+    plain = chunking.chunk_counts(workflow.chunk_files(changed, p)).first()
+    assert (counts.n_chunks, counts.n_files) == (plain.n_chunks, plain.n_files)
 
 
 def test_no_chunks_are_an_error(spark):
@@ -60,7 +105,12 @@ def test_a_search_is_resumed_from_its_run_folders(spark, tmp_path):
     assert [r["status"] for r in first] == ["success"] * 4 + ["failed"]
     runs = {d: sorted(os.listdir(tmp_path / d)) for d in os.listdir(tmp_path)}
     assert sorted(sum(runs.values(), [])).count("evaluation.json") == 4 and sum("error.log" in x for x in runs.values()) == 1
+    assert all("training.log" in x and "claim" not in x for x in runs.values())
     done = next(d for d, x in runs.items() if "evaluation.json" in x)
+    saved = json.loads((tmp_path / done / "evaluation.json").read_text())
+    assert set(saved) == set(workflow.EVALUATED)
+    log = (tmp_path / done / "training.log").read_text()
+    assert "scored: 8 files" in log and "min_fp_threshold" in log
     saved = json.loads((tmp_path / done / "config.json").read_text())
     store.write_text(spark, str(tmp_path / done / "config.json"), json.dumps(saved | {"runtime_sec": -1.0}))
     again = workflow.search(*args, overlaps=(0.25,), standard=standard, results=str(tmp_path))
@@ -68,6 +118,71 @@ def test_a_search_is_resumed_from_its_run_folders(spark, tmp_path):
     assert workflow.STANDARD[FOREST]["n_estimators"] == 100
 
 
+def test_other_files_are_other_runs(spark, tmp_path):
+    files, flags = labelled(spark)
+    args = ({"m": embed.HashingEmbedder(8)}, Params(model="m", size=16), [], [])
+    standard = {FOREST: {"n_estimators": 4, "max_depth": None, "min_samples_leaf": 1}, LINEAR: {"learning_rate": 0.05, "batch_size": 8, "epochs": 3}}
+    search = lambda f, where: [r["f1"] for r in workflow.search(f, flags, *args, overlaps=(0.25,), standard=standard, results=where)]
+    first = search(files, str(tmp_path / "a"))
+    blurred = files.withColumn("content", F.lit("the same in all files"))
+    assert search(blurred, str(tmp_path / "a")) == search(blurred, str(tmp_path / "b")) != first
+    assert len(os.listdir(tmp_path / "a")) == 4 and search(files, str(tmp_path / "a")) == first
+
+
+def test_runs_at_once_and_claims(spark, tmp_path):
+    files, flags = labelled(spark)
+    began, lock, at_once = [], threading.Lock(), []
+
+    class Slow(embed.HashingEmbedder):
+        def embed(self, chunks):
+            with lock:
+                began.append(1)
+                at_once.append(len(began))
+            time.sleep(1.5)
+            with lock:
+                began.pop()
+            return super().embed(chunks)
+
+    args = (files, flags, {"m": Slow(8)}, Params(model="m", size=16), [{"n_estimators": 2}, {"n_estimators": 5}, {"bad": 1}], [])
+    standard = {FOREST: {"n_estimators": 3}, LINEAR: {"learning_rate": 0.05, "batch_size": 8, "epochs": 1}}
+    found = []
+    searches = [threading.Thread(target=lambda: found.append(workflow.search(*args, overlaps=(0.25,), standard=standard, results=workflow.Runs(str(tmp_path), poll=0.2), parallel=2))) for _ in range(2)]
+    for t in searches:
+        t.start()
+    for t in searches:
+        t.join()
+    assert [r["status"] for r in found[0]] == [r["status"] for r in found[1]] == ["success"] * 4 + ["failed"]
+    assert max(at_once) > 1
+    ok = [r for r in found[0] if r["status"] == "success"]
+    other = [r for r in found[1] if r["status"] == "success"]
+    assert [r["runtime_sec"] for r in ok] == [r["runtime_sec"] for r in other]  # each was run once
+    at = tmp_path / "stale"
+    assert store.create_new(spark, str(at / "x" / "claim")) and not store.create_new(spark, str(at / "x" / "claim"))
+    setting, done = {"a": 1}, []
+    folder = next(iter([workflow.Runs(str(at)).recorded(spark, setting, [], lambda s: done.append(1) or {"f1": 1.0})]))
+    assert folder["status"] == "success" and done == [1]
+
+
+def test_forests_share_a_fit(spark):
+    files, flags = labelled(spark)
+    embedded, p = workflow.embed_files(files, embed.HashingEmbedder(8), Params(size=16)), Params(classifier=FOREST)
+    shared = workflow.GrownForests({(("max_depth", 3),): 6})
+    models = [shared.trainer(("m", 0.25))(embedded, flags, dataclasses.replace(p, hyperparameters={"n_estimators": n, "max_depth": 3})) for n in (2, 6)]
+    assert len(shared.grown) == 1 and models[0].whole is models[1].whole and models[0].n == 2
+    assert models[0].score(embedded).count() == embedded.count()
+
+
+def test_fine_tuning_on_the_way(spark):
+    files, flags = labelled(spark)
+    p = Params(size=16, threshold=0.5, hyperparameters={"learning_rate": 0.05, "batch_size": 8, "epochs": 30})
+    e, tuned = workflow.tune_and_evaluate(files, flags, embed.HashingEmbedder(8), p, metric.Triplets(learning_rate=0.05, epochs=4))
+    assert e.losses["fine-tuning"][-1] < e.losses["fine-tuning"][0] and len(e.losses["training"]) == 30
+    assert e.points["best_f1"]["f1"] == 1.0 and e.counts["files"] == 8 and e.counts["positive_files"] == 4
+    assert len(tuned.embed(workflow.chunk_files(files, p)).first().embedding) == 8
+    with pytest.raises(ValueError, match="no confident"):
+        workflow.tune_and_evaluate(files, flags, embed.HashingEmbedder(8), dataclasses.replace(p, threshold=1.0))
+
+
 def test_code_base_groups_come_from_paths(spark):
     base = "data/evaluation/"
     paths = [base + "novel_crypto/a.c", base + "non_crypto/non_crypto_dataset/b.c", base + "non_crypto/discarded_dataset/c.c", "other/d.c", base + "novel_crypto/" + base + "non_crypto/discarded_dataset/e.c"]
