@@ -24,6 +24,11 @@ def file_max_score(scores: DataFrame, files: DataFrame | None = None) -> DataFra
     return files.select("file", "grp").join(best, ["file", "grp"], "left").select("file", "grp", F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
 
 
+def greatest_score(scores: Column) -> Column:
+    """``file_max_score`` of one file's chunk scores in an array."""
+    return F.greatest(F.coalesce(F.array_max(F.filter(scores, lambda x: ~F.isnan(x))), F.lit(0.0)), F.lit(0.0))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 

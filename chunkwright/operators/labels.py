@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DISCARDED, POSITIVE, UNRELATED
+from .substring import first_containing
 
 FLAGS = ("training", "evaluation", "crypto", "discarded", "non_crypto")
 
@@ -34,17 +35,15 @@ def lookup_labels(files: DataFrame, inventory: DataFrame, key: str = "file_key")
     return files.join(first, key, "left").select(files["*"], *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS])
 
 
-def lookup_labels_by_substring(files: DataFrame, inventory: DataFrame, max_inventory: int = 100_000) -> DataFrame:
-    """The compatible lookup: the first inventory path, in order, that contains the file's key.
+def lookup_labels_by_substring(files: DataFrame, inventory: DataFrame, q: int = 4) -> DataFrame:
+    """``files`` with the flags of the first inventory row, by ``ord``, whose path contains the file's key; all false if none.
 
-    A substring has no equi-key, so every pair is tested; the inventory is broadcast, and its size checked.
+    Distinct keys are looked up through an inverted index of the paths' q-grams, so no pair without a common gram is tested.
+    ``ord`` tells the inventory's rows apart.
     """
-    if inventory.limit(max_inventory + 1).count() > max_inventory:
-        raise ValueError(f"an inventory of more than {max_inventory} paths needs lookup_labels")
-    numbered = files.withColumn("__row", F.monotonically_increasing_id())  # repeated rows stay apart
-    inv = inventory.select("ord", F.col("path").alias("inv_path"), *FLAGS)
-    pairs = numbered.join(F.broadcast(inv), F.col("inv_path").contains(F.col("file_key")), "left")
-    return pairs.groupBy("__row", *files.columns).agg(*[F.coalesce(F.min_by(f, "ord"), F.lit(False)).alias(f) for f in FLAGS]).drop("__row")
+    found = first_containing(files, inventory, q)
+    flagged = found.join(inventory.select("ord", *FLAGS), "ord").drop("ord")
+    return files.join(flagged, "file_key", "left").select(files["*"], *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS])
 
 
 def is_training_positive() -> Column:

@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import FOREST, LINEAR
+from ..config import FOREST, LINEAR, Params
 from ..functions import represent as R
 from ..functions import text as X
 from ..operators import chunking, classify, embed, evaluate, experiments, labels, metric, minibatch, mining, report
+from ..session import new_shared_path
+from ..sources import cache
 from ..sources.tables import table
+from . import workflow
 
 SIZE, STRIDE, SEED = 128, 96, 20240601
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,18 +92,21 @@ def label_lookup(spark, base):
     return labels.lookup_labels(f.select("path", "file_key"), inventory).drop("file_key")
 
 
-# The inventory of the substring lookup is a fixed list of folders and names, as a directory listing is.
-INVENTORY = ("data/training/crypto/a/x.c", "data/evaluation/non_crypto_dataset/a/x.c", "data/evaluation/novel_crypto/b/y.c", "data/training/discarded_dataset/b/y.cc", "data/evaluation/discarded_dataset/c/z.h")
-KEYS = ("a/x.c", "b/y.c", "c/z.h", "d/none.c")
+# The inventory lists every file where it lies and every third one in a training folder first; keys are tails of paths, names alone, and short ones.
+_LISTED = f"""listed AS (SELECT doc_id * 2 + 1 AS ord, path FROM files UNION ALL SELECT doc_id * 2, 'data/training/crypto/' || {TAIL} FROM files WHERE doc_id % 3 = 0),
+flagged AS (SELECT ord, path AS inv_path, {FLAGS_SQL} FROM listed),
+keys AS (SELECT {TAIL} AS file_key FROM files UNION ALL SELECT list_extract(string_split(path, '/'), -1) FROM files UNION ALL SELECT left(text, 3) FROM files)"""
 
 
-@query(f"""WITH inv AS (SELECT path, ord FROM (SELECT unnest({_list(INVENTORY)}) AS path, generate_subscripts({_list(INVENTORY)}, 1) AS ord)),
-{FILES}, keys AS (SELECT unnest({_list(KEYS)}) AS file_key UNION ALL SELECT {TAIL} FROM files), flagged AS (SELECT ord, path AS inv_path, {FLAGS_SQL} FROM inv)
-SELECT file_key, {', '.join(f'coalesce(arg_min({f}, ord), false) AS {f}' for f in labels.FLAGS)} FROM keys LEFT JOIN flagged ON contains(inv_path, file_key) GROUP BY file_key""")
+@query(f"""WITH {FILES}, {_LISTED}, firsts AS (SELECT k.file_key, min(ord) AS ord FROM (SELECT DISTINCT file_key FROM keys) k JOIN flagged ON contains(inv_path, k.file_key) GROUP BY k.file_key)
+SELECT keys.file_key, {', '.join(f'coalesce({f}, false) AS {f}' for f in labels.FLAGS)} FROM keys LEFT JOIN firsts USING (file_key) LEFT JOIN flagged USING (ord)""")
 def label_join_first_match(spark, base):
-    inv = spark.createDataFrame(list(enumerate(INVENTORY, 1)), "ord int, path string").select("ord", "path", *labels.label_flags(F.col("path")))
-    keys = spark.createDataFrame([(k,) for k in KEYS], "file_key string").unionByName(files(spark, base).select(X.path_tail(F.col("path")).alias("file_key")))
-    return labels.lookup_labels_by_substring(keys, inv)
+    f = files(spark, base)
+    tail = X.path_tail(F.col("path"))
+    again = f.where("doc_id % 3 = 0").select((F.col("doc_id") * 2).alias("ord"), F.concat(F.lit("data/training/crypto/"), tail).alias("path"))
+    inventory = f.select((F.col("doc_id") * 2 + 1).alias("ord"), "path").unionByName(again).select("ord", "path", *labels.label_flags(F.col("path")))
+    keys = [f.select(k.alias("file_key")) for k in (tail, F.element_at(F.split("path", "/"), -1), F.left("text", F.lit(3)))]
+    return labels.lookup_labels_by_substring(keys[0].unionByName(keys[1]).unionByName(keys[2]), inventory)
 
 
 @query(f"""WITH {FILES}, flagged AS (SELECT path, {FLAGS_SQL} FROM files), routed AS (SELECT path, CASE WHEN evaluation AND crypto THEN 'novel_crypto'
@@ -166,8 +172,10 @@ def scores_of(spark: SparkSession, base: str) -> DataFrame:
 
 
 def file_scores_of(spark: SparkSession, base: str) -> DataFrame:
-    """Of the files that have a group."""
-    return evaluate.file_max_score(scores_of(spark, base).where("grp IS NOT NULL"), grouped_documents(spark, base).where("grp IS NOT NULL"))
+    """Of the files that have a group. A file's greatest score comes from its own row: the join with the groups is the only shuffle."""
+    files = grouped_documents(spark, base).where("grp IS NOT NULL").select("file", "grp", "text")
+    found = F.transform(chunking.windows(X.tokens(F.col("text")), SIZE, STRIDE), lambda w: score_of(F.array_join(w, " ")))
+    return files.select("file", "grp", evaluate.greatest_score(found).alias("max_score"))
 
 
 @query(f"SELECT doc_id, len({TOKENS}) AS n_tokens FROM documents")
@@ -180,6 +188,21 @@ def chunk_windows(spark, base):
     return chunks_of(spark, base).select("file", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("tokens", " ").alias("clear_text"), F.size("tokens").cast("long").alias("n"))
 
 
+_CONTENTS = "contents AS (SELECT doc_id, coalesce(text, '') AS content FROM documents)"
+
+
+@query(f"""WITH {GROUPED}, {CHUNKS}, {_CONTENTS}, new AS (SELECT count(DISTINCT content) AS n FROM contents WHERE doc_id % 20 = 0 AND content NOT IN (SELECT content FROM contents WHERE doc_id % 20 <> 0))
+SELECT file, chunk_index, array_to_string(tokens, ' ') AS clear_text, n AS n_embedded FROM chunks, new""")
+def cached_chunks(spark, base):
+    """Chunks of all documents, of which those of every twentieth have changed since the last time and are embedded anew."""
+    now = files(spark, base).select("file", F.lit(None).cast("string").alias("lang"), F.col("text").alias("content"))
+    before = now.withColumn("content", F.when(F.col("file").cast("long") % 20 == 0, F.concat(F.coalesce("content", F.lit("")), F.lit(" before"))).otherwise(F.col("content")))
+    kept, p = cache.ChunkCache(new_shared_path(spark, "cache")), Params(size=SIZE, overlap_proportion=(SIZE - STRIDE) / SIZE)
+    workflow.embed_files(before, embed.HashingEmbedder(8), p, kept)
+    chunks = workflow.embed_files(now, embed.HashingEmbedder(8), p, kept)
+    return chunks.select("file", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("tokens", " ").alias("clear_text"), F.lit(kept.added["contents"]).cast("long").alias("n_embedded"))
+
+
 @query(f"WITH {GROUPED}, {CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT file) AS n_files FROM chunks")
 def chunk_counts(spark, base):
     return chunking.chunk_counts(chunks_of(spark, base))

@@ -14,7 +14,7 @@ from chunkwright.config import DISCARDED, FOREST, LINEAR, POSITIVE, UNRELATED, P
 from chunkwright.functions import represent as R
 from chunkwright.functions import text as X
 from chunkwright.functions.arrays import prefix_sums
-from chunkwright.operators import chunking, classify, embed, evaluate, experiments, labels, mining, report
+from chunkwright.operators import chunking, classify, embed, evaluate, experiments, labels, mining, report, substring
 from chunkwright.plans import golden, queries, workflow
 from chunkwright.sources import cache, sinks
 from chunkwright.sources import files as sources
@@ -87,6 +87,8 @@ def test_file_scores(spark):
     s = spark.createDataFrame([("a", POSITIVE, 0.2), ("a", POSITIVE, nan), ("b", POSITIVE, nan), ("c", UNRELATED, None)], "file string, grp string, probability double")
     f = spark.createDataFrame([("a", POSITIVE), ("b", POSITIVE), ("c", UNRELATED), ("d", UNRELATED)], "file string, grp string")
     assert {r.file: r.max_score for r in evaluate.file_max_score(s, f).collect()} == {"a": 0.2, "b": 0.0, "c": 0.0, "d": 0.0}
+    arrays = spark.createDataFrame([([0.2, nan],), ([nan],), ([None],), ([],), ([-1.0],)], "x array<double>").select(evaluate.greatest_score(F.col("x")).alias("m"))
+    assert [r.m for r in arrays.collect()] == [0.2, 0.0, 0.0, 0.0, 0.0]
 
 
 def test_split_is_exact_and_stable(spark):
@@ -105,8 +107,23 @@ def test_label_lookups(spark):
     df = spark.createDataFrame(list(enumerate(inv)), "ord int, path string").select("ord", "path", *labels.label_flags(F.col("path")))
     got = {r.file_key: (r.training, r.crypto, r.discarded) for r in labels.lookup_labels_by_substring(spark.createDataFrame([("a.c",), ("b.c",), ("none",)], "file_key string"), df).collect()}
     assert got == {"a.c": (True, True, False), "b.c": (False, False, True), "none": (False, False, False)}
-    with pytest.raises(ValueError):
-        labels.lookup_labels_by_substring(spark.createDataFrame([("a",)], "file_key string"), df, max_inventory=2)
+
+
+@pytest.mark.parametrize("q", [1, 3, 4])
+def test_substring_index_against_all_pairs(spark, q):
+    rng = random.Random(q)
+    word = lambda n: "".join(rng.choice("ab/é") for _ in range(n))
+    paths = [(i * 3 % 61, word(rng.randrange(12))) for i in range(61)] + [(99, None)]
+    keys = [word(rng.randrange(7)) for _ in range(150)] + ["", "", None, "zzzzzz", "z", "aaaaaaa" * 9]
+    inventory = spark.createDataFrame(paths, "ord long, path string")
+    asked = spark.createDataFrame([(k,) for k in keys], "file_key string")
+    found = substring.first_containing(asked, inventory, q)
+    want = {k: min(o for o, p in paths if p is not None and k in p) for k in set(keys) - {None} if any(p is not None and k in p for _, p in paths)}
+    assert {r.file_key: r.ord for r in found.collect()} == want and found.count() == len(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    flagged = labels.lookup_labels_by_substring(asked, inventory.select("ord", "path", *labels.label_flags(F.col("path"))), q)
+    assert flagged.count() == len(keys)
+    assert substring.first_containing(asked.limit(0), inventory, q).count() == substring.first_containing(asked, inventory.limit(0), q).count() == 0
 
 
 def test_triplets(spark):
