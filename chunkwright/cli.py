@@ -9,19 +9,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.represent import represent
-from .operators import labels
 from .sources import files as sources
-from .sources import sinks
+from .sources import sinks, splits
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="chunkwright", description=__doc__)
     commands = out.add_subparsers(dest="command", required=True)
-    split = commands.add_parser("split", help="deal the files of a source tree into training and evaluation")
+    split = commands.add_parser("split", help="deal the files of a data folder into training and evaluation, by stratum; files dealt before stay")
     split.add_argument("root")
-    split.add_argument("--out", required=True)
-    split.add_argument("--n", type=int, default=50, help="evaluation files of each folder")
+    split.add_argument("--out", required=True, help="folder of the versioned split")
+    split.add_argument("--n", type=int, default=50, help="evaluation files of each stratum")
     split.add_argument("--seed", type=int, default=20240601)
+    split.add_argument("--reset", action="store_true", help="back to the split before")
     shown = commands.add_parser("represent", help="write the anonymised data flow of a source tree, or print it")
     shown.add_argument("root")
     shown.add_argument("--out")
@@ -38,11 +38,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         for r in found:
             print(f"{r.folder}: threshold {r.threshold if r.threshold is None else format(r.threshold, '.3f')}, F1 {r.f1:.6f}")
         return 0 if found else 1
-    read = sources.read_sources(spark, args.root, drop_bad=True)
     if args.command == "split":
-        folder = F.regexp_replace("path", "/[^/]*$", "")
-        sinks.write_table(labels.exact_split(read.select("path", folder.alias("folder")), "folder", "path", args.n, args.seed), args.out)
+        kept = splits.Splits(args.out)
+        if args.reset:
+            kept.reset(spark)
+            return 0
+        home = F.concat(F.regexp_replace(F.lit(args.root), "/+$", ""), F.lit("/"))
+        found = sources.list_files(spark, args.root).withColumn("home", home).select(F.expr("substr(path, locate(home, path) + length(home))").alias("path"))
+        dealt = kept.prepare(found.withColumn("stratum", splits.stratum(F.col("path"))), args.n, args.seed)
+        for r in dealt.groupBy("stratum", "split").count().orderBy("stratum", "split").collect():
+            print(f"{r.stratum}: {r['count']} {r.split}")
         return 0
+    read = sources.read_sources(spark, args.root, drop_bad=True)
     text = read.select(F.col("path").alias("file"), represent("graph", F.col("content"), F.col("lang")).alias("text"))
     if args.out:
         sinks.write_representations(text, args.out)

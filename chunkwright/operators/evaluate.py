@@ -68,15 +68,19 @@ def sweep_by_grid(file_scores: DataFrame) -> DataFrame:
     return add_rates(pairs.groupBy("threshold").agg(*_count(F.col("max_score"), F.col("threshold"))))
 
 
+def grid_bucket(score: Column, first: int, last: int) -> Column:
+    """The greatest k with k / 1000 <= score, within bounds."""
+    guess = F.floor(score * 1000)
+    exact = F.when((guess + 1) / F.lit(1000.0) <= score, guess + 1).when(guess / F.lit(1000.0) > score, guess - 1).otherwise(guess)
+    return F.greatest(F.lit(first), F.least(F.lit(last), exact)).cast("long")
+
+
 def threshold_sweep(file_scores: DataFrame) -> DataFrame:
     """Counts and rates at every grid threshold from one aggregate of the scores.
 
     A score falls to the greatest k with k / 1000 <= score; suffix sums over at most 996 rows give the hits.
     """
-    s = F.col("max_score")
-    guess = F.floor(s * 1000)
-    exact = F.when((guess + 1) / F.lit(1000.0) <= s, guess + 1).when(guess / F.lit(1000.0) > s, guess - 1).otherwise(guess)
-    bucket = F.greatest(F.lit(FIRST - 1), F.least(F.lit(LAST), exact)).cast("long")
+    bucket = grid_bucket(F.col("max_score"), FIRST - 1, LAST)
     groups = {"p": POSITIVE, "u": UNRELATED, "d": DISCARDED}
     by = file_scores.groupBy(bucket.alias("k")).agg(*[F.count_if(F.col("grp") == g).alias(c) for c, g in groups.items()])
     line = file_scores.sparkSession.range(FIRST - 1, LAST + 1).select(F.col("id").alias("k")).join(by, "k", "left").na.fill(0)

@@ -15,7 +15,7 @@ from ..functions import represent as R
 from ..functions import text as X
 from ..operators import chunking, classify, embed, evaluate, experiments, labels, metric, minibatch, mining, report
 from ..session import new_shared_path
-from ..sources import cache
+from ..sources import cache, splits
 from ..sources.tables import table
 from . import workflow
 
@@ -146,6 +146,25 @@ def shuffle_order(spark, base):
     return table(spark, base, "documents").select(labels.seeded_order(SEED, "doc_id").alias("ord_key"), "doc_id")
 
 
+_STRATA = ("training/crypto", "training/non_crypto/non_crypto_dataset", "training/non_crypto/discarded_dataset")
+_STRATUM_NAMES = tuple(splits.FOLDERS)
+
+
+@query(f"""WITH tree AS (SELECT ({_list(_STRATA)})[doc_id % 3 + 1] || '/' || source || '/f' || doc_id || '.c' AS path, ({_list(_STRATUM_NAMES)})[doc_id % 3 + 1] AS stratum, doc_id % 10 < 2 AS old FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum, old ORDER BY md5('{SEED}|' || path)) AS r FROM tree),
+held AS (SELECT stratum, count(*) FILTER (old AND r <= 50) AS held FROM ranked GROUP BY stratum),
+dealt AS (SELECT path, stratum, CASE WHEN CASE WHEN old THEN r <= 50 ELSE r <= 50 - held END THEN 'evaluation' ELSE 'training' END AS split FROM ranked JOIN held USING (stratum))
+SELECT path, stratum, split, CASE WHEN split = 'training' THEN path WHEN stratum = 'novel_crypto' THEN replace(path, 'training/crypto/', 'evaluation/novel_crypto/') ELSE replace(path, 'training/', 'evaluation/') END AS place FROM dealt""")
+def versioned_split(spark, base):
+    """The split of all documents after one of the tree as it was, when a fifth of them were there."""
+    pick = F.element_at(F.array(*map(F.lit, _STRATA)), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = F.concat(pick, F.lit("/"), "source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".c"))
+    tree = table(spark, base, "documents").select(path.alias("path"), (F.col("doc_id") % 10 < 2).alias("old")).withColumn("stratum", splits.stratum(F.col("path")))
+    kept = splits.Splits(new_shared_path(spark, "splits"))
+    kept.prepare(tree.where("old"), 50, SEED)
+    return kept.prepare(tree, 50, SEED).withColumn("place", splits.place(F.col("path"), F.col("stratum"), F.col("split")))
+
+
 # Chunks and scores --------------------------------------------------------------------------------------------
 
 TOKENS = "regexp_extract_all(text, '[^ \\t\\r\\n\\f]+')"
@@ -218,6 +237,12 @@ def chunk_scores(spark, base):
     return scores_of(spark, base).select("file", "grp", "chunk_index", "probability")
 
 
+@query(f"WITH {SCORES} SELECT grp, k, count(*) AS n FROM (SELECT grp, max(CASE WHEN t / 1000.0::DOUBLE <= max_score THEN t END) AS k FROM file_scores, range(1001) r(t) GROUP BY file, grp) GROUP BY grp, k")
+def score_histogram(spark, base):
+    """What the report's index holds of the scores."""
+    return file_scores_of(spark, base).groupBy("grp", evaluate.grid_bucket(F.col("max_score"), 0, 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {SCORES} SELECT file, grp, max_score FROM file_scores")
 def file_max_score(spark, base):
     return file_scores_of(spark, base)

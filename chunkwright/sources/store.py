@@ -30,6 +30,16 @@ def create_new(spark: SparkSession, path: str) -> bool:
     return bool(store.createNewFile(where))
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Replace ``new`` by ``old`` in one step, where the store renames in one."""
+    jvm = spark._jvm
+    path, options = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
+    flags = spark.sparkContext._gateway.new_array(options, 1)
+    flags[0] = options.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(old).toUri(), spark._jsc.hadoopConfiguration())
+    files.rename(path(old), path(new), flags)
+
+
 def age(spark: SparkSession, path: str) -> float:
     """Seconds since a file was written, by the driver's clock."""
     store, where = _at(spark, path)

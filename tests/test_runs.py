@@ -14,9 +14,9 @@ from chunkwright import cli, session
 from chunkwright.config import DISCARDED, FOREST, LINEAR, POSITIVE, UNRELATED, Params
 from chunkwright.functions import represent as R
 from chunkwright.functions import text as X
-from chunkwright.operators import chunking, classify, embed, experiments, labels, metric
+from chunkwright.operators import chunking, classify, embed, evaluate, experiments, labels, metric, report_parts
 from chunkwright.plans import workflow
-from chunkwright.sources import cache, sinks, store
+from chunkwright.sources import cache, sinks, splits, store
 from chunkwright.sources import files as sources
 
 
@@ -241,8 +241,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split("\n")[:2] == ["v1(v0) { v0 = 0; }", "v1(v0) { v0 = 1; }"]
     assert cli.main(["represent", str(tmp_path / "src"), "--out", str(tmp_path / "shown")], spark) == 0
     assert len([d for d in os.listdir(tmp_path / "shown") if d.startswith("file=")]) == 6
-    assert cli.main(["split", str(tmp_path / "src"), "--out", str(tmp_path / "split"), "--n", "2"], spark) == 0
-    assert sorted(r.split for r in spark.read.parquet(str(tmp_path / "split")).collect()) == ["evaluation"] * 2 + ["training"] * 4
+    for i in range(6):
+        for folder, _ in splits.FOLDERS.values():
+            os.makedirs(tmp_path / "data" / folder / "sub", exist_ok=True)
+            (tmp_path / "data" / folder / "sub" / f"{i}.c").write_text("x")
+    assert cli.main(["split", str(tmp_path / "data"), "--out", str(tmp_path / "split"), "--n", "2"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == [f"{DISCARDED}: 2 evaluation", f"{DISCARDED}: 4 training"]
+    dealt = splits.Splits(str(tmp_path / "split")).read(spark).collect()
+    assert sorted(r.split for r in dealt) == ["evaluation"] * 6 + ["training"] * 12 and "training/crypto/sub/3.c" in {r.path for r in dealt}
+    assert cli.main(["split", str(tmp_path / "data"), "--out", str(tmp_path / "split"), "--reset"], spark) == 0
+    assert splits.Splits(str(tmp_path / "split")).read(spark).count() == 0
     with pytest.raises(SystemExit):
         cli.main(["no-such"], spark)
     assert all("�" not in r.content for r in sources.read_sources(spark, str(tmp_path / "src"), drop_bad=True).collect())
@@ -293,3 +301,50 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session)
+
+
+def test_splits_are_versioned(spark, tmp_path, monkeypatch):
+    kept = splits.Splits(str(tmp_path))
+    tree = lambda n, at=0: spark.createDataFrame([(f"{folder}/d/{i}.c", g) for g, (folder, _) in splits.FOLDERS.items() for i in range(at, at + n)], "path string, stratum string")
+    assert kept.read(spark).count() == 0
+    state = lambda: {r.path: r.split for r in kept.read(spark).collect()}
+    kept.prepare(tree(30).union(tree(1)), 5, 1)
+    first = state()
+    assert len(first) == 90 and sum(v == "evaluation" for v in first.values()) == 15
+    real = splits.write_text
+    monkeypatch.setattr(splits, "write_text", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):  # killed after the snapshot, before the pointer
+        kept.prepare(tree(60), 5, 1)
+    assert state() == first
+    monkeypatch.setattr(splits, "write_text", real)
+    kept.prepare(tree(60), 5, 1)
+    assert state().items() >= first.items() and sum(v == "evaluation" for v in state().values()) == 15
+    kept.prepare(tree(60), 8, 1)
+    assert all(state()[p] == "evaluation" for p, v in first.items() if v == "evaluation") and sum(v == "evaluation" for v in state().values()) == 15  # none is new
+    kept.prepare(tree(90), 8, 1)
+    assert sum(v == "evaluation" for v in state().values()) == 24
+    for _ in range(3):
+        kept.reset(spark)
+    assert state() == first
+    assert kept.reset(spark).count() == 0 and kept.reset(spark).count() == 0
+    paths = spark.createDataFrame([("training/crypto/a/b.c", "evaluation"), ("training/non_crypto/discarded_dataset/c.c", "evaluation"), ("training/crypto/x.c", "training"), ("other/y.c", None)], "p string, s string")
+    assert [r[0] for r in paths.select(splits.place(F.col("p"), splits.stratum(F.col("p")), F.col("s"))).collect()] == ["evaluation/novel_crypto/a/b.c", "evaluation/non_crypto/discarded_dataset/c.c", "training/crypto/x.c", "other/y.c"]
+
+
+def test_report_in_parts(spark, tmp_path):
+    rows = [(f"f{i:03d}", (POSITIVE, UNRELATED, DISCARDED)[i % 3], c, (i * 37 % 101 + c) / 102, f"</script> text {i} é\u2028\n") for i in range(90) for c in range(2)] + [("edge", POSITIVE, 0, 1.0, ""), ("zero", UNRELATED, 0, 0.0, "")]
+    scores = spark.createDataFrame(rows, "file string, grp string, chunk_index int, probability double, clear_text string")
+    by_file = evaluate.file_max_score(scores)
+    index = report_parts.write_report(scores, by_file, {}, str(tmp_path), part_files=7)
+    assert sum(p["files"] for p in index["parts"]) == 92 and max(p["files"] for p in index["parts"]) <= 7 and len(index["parts"]) >= 14
+    assert all(a["last"] < b["first"] for a, b in zip(index["parts"], index["parts"][1:]))
+    for k in (0, 1, 5, 250, 333, 500, 777, 999, 1000):
+        m, shown = evaluate.metrics_at(by_file, k / 1000).first(), report_parts.figures(index["histogram"], k)
+        assert (shown["tp"], shown["fn"], shown["fp"]) == (m.tp, m.fn, m.unrelated_fp + m.discarded_fp) and all(abs(shown[x] - m[x]) < 1e-12 for x in ("precision", "recall", "f1"))
+    page = (tmp_path / "index.html").read_text()
+    payload = page.split('text/plain">')[1].split("<")[0]
+    assert json.loads(base64.b64decode(payload)) == index
+    lines = "".join((tmp_path / "parts" / p["name"]).read_text() for p in index["parts"]).split("\n")
+    entries = [json.loads(x[4:-2]) for x in lines if x]
+    assert sorted(e["filename"] for e in entries) == sorted({r[0] for r in rows}) and entries[0]["chunks"]
+    assert report_parts.write_report(scores.limit(0), by_file.limit(0), {}, str(tmp_path / "none"))["parts"] == []
