@@ -17,16 +17,21 @@ def _values(spark: SparkSession, name: str, kind: str, values: list) -> DataFram
     return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
 
 
+def product(sides: list[DataFrame]) -> DataFrame:
+    """Every combination of the values of some short tables, as a grid of settings has few."""
+    return reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), sides)
+
+
 def forest_grid(spark: SparkSession) -> DataFrame:
     """27 settings: trees x depth (0: unbounded) x leaf size."""
     n, d, m = _values(spark, "n_estimators", "int", [100, 300, 500]), _values(spark, "max_depth", "int", [10, 20, 0]), _values(spark, "min_samples_leaf", "int", [1, 2, 5])
-    return n.join(d, F.lit(True)).join(m, F.lit(True))  # fixed, tiny sides
+    return product([n, d, m])
 
 
 def linear_grid(spark: SparkSession) -> DataFrame:
     """48 settings: learning rate x batch size x epochs."""
     r, b, e = _values(spark, "learning_rate", "double", [0.0001, 0.0005, 0.001, 0.005]), _values(spark, "batch_size", "int", [16, 32, 64]), _values(spark, "epochs", "int", [50, 100, 200, 500])
-    return r.join(b, F.lit(True)).join(e, F.lit(True))  # fixed, tiny sides
+    return product([r, b, e])
 
 
 def still_to_run(grid: DataFrame, done: DataFrame, *keys: str) -> DataFrame:

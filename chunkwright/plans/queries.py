@@ -530,7 +530,23 @@ def loop_depth(spark, base):
     return d.select("path", "n", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).cast("long").alias("depth"))
 
 
-@query()
+# Lines are rows here and depths come from windows; a line gives up to two parts, its marker and its cleaned text.
+@query(rf"""WITH {IDENT_SQL}, one AS (SELECT path, unnest(ids) AS name FROM ident),
+sym AS (SELECT path, name, CASE WHEN macro THEN 'CONST_' || name ELSE 'v' || (row_number() OVER (PARTITION BY path, macro ORDER BY name) - 1) END AS symbol
+  FROM (SELECT *, upper(name) = name AND regexp_matches(name, '[A-Z]') AND length(name) > 4 AS macro FROM one)),
+maps AS (SELECT path, map(list(name), list(symbol)) AS names FROM sym GROUP BY path),
+broken AS (SELECT path, regexp_split_to_array(b, '\r\n|[\n\r\f\v\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM bare),
+line AS (SELECT path, trim(l, '{WHITE_CHARS}') AS l, n FROM (SELECT path, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM broken)),
+step AS (SELECT path, n, l, CASE WHEN (contains(l, 'for') OR contains(l, 'while')) AND (contains(l, '{{') OR suffix(l, ')')) THEN 1 WHEN contains(l, '}}') THEN -1 ELSE 0 END AS d FROM line WHERE l <> ''),
+summed AS (SELECT *, sum(d) OVER (PARTITION BY path ORDER BY n) AS s FROM step),
+deep AS (SELECT *, CAST(s - least(0, min(s) OVER (PARTITION BY path ORDER BY n)) AS BIGINT) AS depth FROM summed),
+marked AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY path ORDER BY n), 0) AS above FROM deep),
+renamed AS (SELECT path, n, trim(array_to_string(list_transform(regexp_extract_all(l, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: coalesce(names[w], w)), ''), '{WHITE_CHARS}') AS t
+  FROM marked LEFT JOIN maps USING (path) WHERE regexp_matches(l, '[=+*/%&|^<>-]|\b[0-9]+\b')),
+parts AS (SELECT path, n, 0 AS o, 'LOOP_START_DEPTH_' || depth AS part FROM marked WHERE d = 1 UNION ALL SELECT path, n, 0, 'LOOP_END_DEPTH_' || above FROM marked WHERE d = -1 AND above > 0
+  UNION ALL SELECT path, n, 1, regexp_replace(regexp_replace(t, '\b({R.DROPPED_TYPES})\s+', '', 'g'), '\s*;\s*$', '') FROM renamed),
+joined AS (SELECT path, string_agg(part, chr(10) ORDER BY n, o) AS representation FROM parts WHERE part <> '' GROUP BY path)
+SELECT path, coalesce(representation, '') AS representation FROM bare LEFT JOIN joined USING (path)""")
 def fallback_dfg(spark, base):
     return code(spark, base).select("path", R.data_flow_text(F.col("code"), F.col("lang")).alias("representation"))
 

@@ -16,9 +16,10 @@ def write_group_json(scores: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").partitionBy("grp").json(path)
 
 
-def write_representations(shown: DataFrame, path: str) -> None:
-    """(file, text) as one folder for each file, holding its text."""
-    shown.select("text", "file").write.mode("overwrite").partitionBy("file").text(path)
+def write_representations(shown: DataFrame, path: str, folders: bool = False, rows: int = 50_000) -> None:
+    """(file, text) as JSON lines in files of at most ``rows`` rows; with ``folders`` as one folder for each file, holding its text, which suits some thousand files."""
+    out = shown.select("text", "file").write.mode("overwrite")
+    out.partitionBy("file").text(path) if folders else out.option("maxRecordsPerFile", rows).json(path)
 
 
 def write_summaries(tables: dict[str, DataFrame], path: str) -> None:

@@ -281,14 +281,22 @@ def test_workflow_end_to_end(spark, tmp_path):
 
 
 def test_streaming_file_scores(spark, tmp_path):
-    folder, schema = str(tmp_path / "drop"), "file string, text string"
-    spark.createDataFrame([("a", "one two three four five"), ("b", "x")], schema).write.parquet(folder)
-    q = drop_folder.start(drop_folder.running_file_scores(drop_folder.stream_documents(spark, folder, schema), queries.score_of, 3, 2), "drop_scores", str(tmp_path / "check"))
+    folder, schema, out = str(tmp_path / "drop"), "file string, text string", str(tmp_path / "scores")
+    score = lambda text: F.when(text.startswith("nan"), F.lit(float("nan"))).otherwise(queries.score_of(text))
+    assert drop_folder.current(spark, out).count() == 0
+    spark.createDataFrame([("a", "one two three four five"), ("b", "x"), ("n", "nan")], schema).write.parquet(folder)
+    running = drop_folder.running_file_scores(drop_folder.stream_documents(spark, folder, schema), score, 3, 2)
+    q = drop_folder.start(running, out, str(tmp_path / "check"))
     q.processAllAvailable()
     spark.createDataFrame([("a", "six seven")], schema).write.mode("append").parquet(folder)
     q.processAllAvailable()
     q.stop()
-    assert {r.file: r.n_chunks for r in spark.table("drop_scores").collect()} == {"a": 4, "b": 1}
+    got = {r.file: r for r in drop_folder.current(spark, out).collect()}
+    assert {f: r.n_chunks for f, r in got.items()} == {"a": 4, "b": 1, "n": 1} and got["n"].max_score == 0.0
+    everything = spark.read.parquet(folder)
+    chunks = chunking.chunk(chunking.tokenize(everything), 3, 2).select("file", score(F.array_join("tokens", " ")).alias("p"))
+    want = {r.file: r.m for r in chunks.where(~F.isnan("p")).groupBy("file").agg(F.max("p").alias("m")).collect()}
+    assert all(abs(got[f].max_score - m) < 1e-12 for f, m in want.items())
 
 
 @settings(max_examples=20, deadline=None)

@@ -240,7 +240,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["represent", str(tmp_path / "src")], spark) == 0
     assert capsys.readouterr().out.split("\n")[:2] == ["v1(v0) { v0 = 0; }", "v1(v0) { v0 = 1; }"]
     assert cli.main(["represent", str(tmp_path / "src"), "--out", str(tmp_path / "shown")], spark) == 0
-    assert len([d for d in os.listdir(tmp_path / "shown") if d.startswith("file=")]) == 6
+    assert spark.read.json(str(tmp_path / "shown")).count() == 6
+    sinks.write_representations(spark.read.json(str(tmp_path / "shown")), str(tmp_path / "folders"), folders=True)
+    assert len([d for d in os.listdir(tmp_path / "folders") if d.startswith("file=")]) == 6
     for i in range(6):
         for folder, _ in splits.FOLDERS.values():
             os.makedirs(tmp_path / "data" / folder / "sub", exist_ok=True)
