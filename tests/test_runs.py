@@ -350,3 +350,24 @@ def test_report_in_parts(spark, tmp_path):
     entries = [json.loads(x[4:-2]) for x in lines if x]
     assert sorted(e["filename"] for e in entries) == sorted({r[0] for r in rows}) and entries[0]["chunks"]
     assert report_parts.write_report(scores.limit(0), by_file.limit(0), {}, str(tmp_path / "none"))["parts"] == []
+
+
+def test_main_paths_from_the_command_line(spark, tmp_path, capsys):
+    data, out = tmp_path / "data", str(tmp_path / "out")
+    for g, (folder, _) in splits.FOLDERS.items():
+        (data / folder).mkdir(parents=True)
+        for i in range(8):
+            (data / folder / f"{i}.c").write_text(("sha aes xor rotl " if g == POSITIVE else "list node free map ") * 6 + f"{g} {i}")
+    assert cli.main(["split", str(data), "--out", f"{out}/split", "--n", "3"], spark) == 0
+    common = [str(data), "--split", f"{out}/split", "--dimensions", "8", "--size", "16"]
+    settings = json.dumps({"learning_rate": 0.05, "batch_size": 8, "epochs": 20})
+    assert cli.main(["train", *common, "--out", f"{out}/t", "--settings", settings, "--threshold", "0.5", "--fine-tune"], spark) == 0
+    assert "best F1 1.0000" in capsys.readouterr().out
+    saved = json.loads((tmp_path / "out" / "t" / "evaluation.json").read_text())
+    assert saved["tp"] == 3 and saved["counts"]["files"] == 9 and saved["min_fp_f1"] == 1.0 and len(saved["losses"]["fine-tuning"]) == 11
+    assert (tmp_path / "out" / "t" / "report" / "index.html").exists()
+    assert cli.main(["scan", str(data), "--model", f"{out}/t", "--out", f"{out}/s"], spark) == 0
+    assert "8 of 24 files" in capsys.readouterr().out and spark.read.parquet(f"{out}/s/scores").count() == 24
+    assert cli.main(["scan", str(data), "--model", f"{out}/none", "--out", f"{out}/s2"], spark) == 1
+    assert cli.main(["search", *common, "--out", f"{out}/g", "--quick", "--parallel", "2"], spark) == 0
+    assert capsys.readouterr().out.count("F1") >= 4
