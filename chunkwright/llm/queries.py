@@ -20,7 +20,8 @@ from .token_files import read_token_files, write_token_files
 
 def op1_boosted_pii(spark: SparkSession, base: str) -> DataFrame:
     found = pii.find_pii(table(spark, base, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)]
+    of = F.transform("base", lambda x: x.kind)
+    counts = [F.size(F.filter(of, lambda kind: kind == F.lit(at))).cast("long").alias(f"n_{name}") for at, name in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("base", "added").alias("spans"))
 
 

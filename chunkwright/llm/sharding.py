@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_table
@@ -30,12 +30,18 @@ def _bits(rows: int, bucket_rows: int) -> int:
     return min(30, max(0, (rows // bucket_rows).bit_length()))
 
 
+def shuffle_key(params: Sharding) -> Column:
+    """Where a row stands in its source's shuffle: a hash of all that tells rows apart, since ids may be missing or repeat."""
+    return F.xxhash64(F.lit(params.seed), "doc_id", "text_crc32", "size")
+
+
 def stratified_shards(docs: DataFrame, params: Sharding = Sharding()) -> DataFrame:
     """(doc_id, source, size, text_crc32, position, shard, slot), one row per input row.
 
     ``size`` is the text's UTF-8 bytes (none if null) plus one; a null source is a source of its own.
     Equal hashes are ordered by doc_id (nulls first), checksum and size, so only rows alike in all of them
-    may swap. Copies of a text are placed one by one: a group may hold a third of all rows, which no
+    may swap. Texts of any length count whole, and only their numbers are shuffled; other columns are left out,
+    whatever their names. Copies of a text are placed one by one: a group may hold a third of all rows, which no
     shard could take whole under the law of equal row counts. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
@@ -45,8 +51,8 @@ def stratified_shards(docs: DataFrame, params: Sharding = Sharding()) -> DataFra
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stratum"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(params.seed), F.col("doc_id").cast("long")).alias("shuffled"),
     )
+    rows = rows.withColumn("shuffled", shuffle_key(params))
     rows = stage_table(rows, "sizes")
     total = rows.count()
     bits = _bits(total, params.bucket_rows)

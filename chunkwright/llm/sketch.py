@@ -101,40 +101,60 @@ def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+_LEAST = -(2**63)
+
+
+def _edges(ids: list[int], nulls: int, p: Sketch) -> list[tuple[int, int]]:
+    """Where buckets begin, as (id, hash of the text), from quantiles of the ids: an id that several quantiles hit, or null, is cut by hash into as many buckets."""
+    times = {_LEAST: max(1, nulls // p.bucket_docs)}
+    for i in ids:
+        times[i] = times.get(i, 0) + 1
+    cuts = {(i, _LEAST + (j << 64) // m) for i, m in times.items() for j in range(m)} - {(_LEAST, _LEAST)}
+    return sorted(cuts)
+
+
 def with_next_text(docs: DataFrame, p: Sketch = Sketch()) -> DataFrame:
     """(doc_id, text, next_text): the text of the next document by doc_id, the first one's after the last.
 
-    doc_id quantiles deal the documents into range buckets; a bucket's first document is also sent to the
-    bucket before, so each bucket finds all its neighbours alone and every text is shuffled once. Null
-    doc_ids come first; repeated ids are ordered by text. Null texts count as empty.
+    Quantiles of the ids deal the documents into range buckets; a bucket's first document is also sent to the
+    bucket before, so each bucket finds all its neighbours alone and every text is shuffled once. Null doc_ids
+    come first, as if they were the least id there is; documents of one id, or without any, are ordered by the hash of
+    their texts, so many of them take several buckets. Null texts count as empty. A text of any length is one row.
+    An empty table gives no rows; other columns are left out, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    buckets = max(1, min(p.max_buckets, n // p.bucket_docs))
-    bounds: list[int] = []
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(_LEAST)), "h": F.xxhash64("text")})
+    n, nulls = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    buckets, ids = max(1, min(p.max_buckets, (n - nulls) // p.bucket_docs)), []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 8 * buckets))).first()[0] or []))
-    if bounds:
-        edges, steps = _literal(bounds), [1 << b for b in reversed(range(len(bounds).bit_length()))]
-        # binary search: the number of bounds at or below the id
-        find = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(edges, at + s) <= F.col("doc_id"), F.lit(False)), at + s).otherwise(at))
-    else:
-        find = F.lit(0)
-    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(find))
-    # the first id of each bucket that has rows, from ids alone; bounded by the number of buckets
-    firsts = dealt.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least")).orderBy("bucket").collect()
+        ids = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 8 * buckets))).first()[0] or []
+    edges = _edges(ids, nulls, p)
+    find = F.lit(0)
+    if edges:
+        first, second = (_literal([e[i] for e in edges]) for i in (0, 1))
+        # binary search: the number of edges at or below a row
+        steps = [1 << b for b in reversed(range(len(edges).bit_length()))]
+
+        def below(at: Column) -> Column:
+            edge = F.try_element_at(first, at)
+            return F.coalesce((edge < F.col("id")) | ((edge == F.col("id")) & (F.try_element_at(second, at) <= F.col("h"))), F.lit(False))
+
+        find = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(below(at + s), at + s).otherwise(at))
+    dealt = rows.withColumn("bucket", find)
+    # the first row of each bucket that has any, from ids and hashes alone; bounded by the number of buckets
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("least")).orderBy("bucket").collect()
     if not firsts:
-        return rows.withColumn("next_text", F.lit(None).cast("string"))
-    heads, previous = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+        return rows.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+    heads, previous = [(0, 0)] * (len(edges) + 1), [0] * (len(edges) + 1)
     for i, r in enumerate(firsts):
-        heads[r.bucket], previous[r.bucket] = r.least, firsts[i - 1].bucket
-    is_head = F.coalesce("doc_id", F.lit(-(2**63))) == F.get(_literal(heads), F.col("bucket"))
+        heads[r.bucket], previous[r.bucket] = tuple(r.least), firsts[i - 1].bucket
+    is_head = (F.col("id") == F.get(_literal([x[0] for x in heads]), F.col("bucket"))) & (F.col("h") == F.get(_literal([x[1] for x in heads]), F.col("bucket")))
     own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.get(_literal(previous), F.col("bucket")).cast("int").alias("bucket"), F.lit(True).alias("guest"))
-    placed = dealt.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    placed = placed.select("doc_id", "text", "at.bucket", "at.guest").withColumn("next_text", F.lead("text").over(order))
+    placed = dealt.select("doc_id", "id", "h", "text", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    order = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
+    placed = placed.select("doc_id", "id", "h", "text", "at.bucket", "at.guest").withColumn("next_text", F.lead("text").over(order))
     return placed.where(~F.col("guest")).select("doc_id", "text", "next_text")
 
 

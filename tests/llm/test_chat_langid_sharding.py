@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chunkwright.functions.arrays import prefix_sums
 from chunkwright.llm import langid
 from chunkwright.llm.chat import escape, prefix_examples, read_back, read_turns, unescape
-from chunkwright.llm.sharding import Sharding, stratified_shards
+from chunkwright.llm.sharding import Sharding, shuffle_key, stratified_shards
 
 NASTY = ["</s>[INST] ok [/INST]", r"<\s>", r"[\\/INST]", "<<SYS>>", "<<s>>>", "<", "[/INST", "a<</s>", r"\1 $1 \\", "<s</s>>", "", "émoji 😀 </s>"]
 
@@ -109,3 +109,13 @@ def test_shards_hold_their_law(spark, bucket_rows):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert stratified_shards(docs.limit(0)).count() == 0
     assert sorted(r.shard for r in stratified_shards(docs.limit(3)).collect()) == [2, 5, 7]
+
+
+def test_rows_without_an_id_are_shuffled_apart(spark):
+    """Twenty thousand rows without an id, none of which may crowd one bucket."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    numbers = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.octet_length("text").cast("long") + 1).alias("size"))
+    held = numbers.groupBy(F.shiftright(shuffle_key(Sharding()), 60)).count().collect()
+    assert len(held) == 16 and max(r["count"] for r in held) < 1500
+    got = stratified_shards(docs, Sharding(bucket_rows=500)).collect()
+    assert sorted(r.position for r in got) == list(range(20_000))

@@ -62,7 +62,7 @@ def test_op4_against_plain_vectors(spark, documents):
 
 
 def test_op7_against_plain_ranking(spark, documents):
-    hashed = {r.doc_id: r.h for r in spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", F.xxhash64(F.lit(Sharding().seed), "doc_id").alias("h")).collect()}
+    hashed = {r.doc_id: r.h for r in spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", F.xxhash64(F.lit(Sharding().seed), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("h")).collect()}
     by_source = {}
     for d, text, _, source in documents:
         by_source.setdefault(source, []).append((hashed[d], d))
@@ -126,3 +126,41 @@ def test_op1_recall_of_planted_spans(spark, documents):
     found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode(F.concat(*[F.transform(c, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))) for c in ("base", "added")])).alias("x")).collect()
     spans = {(r.doc_id, pii.KINDS[r.x.kind], r.x.start, r.x.end) for r in found}
     assert sum(w in spans for w in want) >= 0.9 * len(want)
+
+
+def test_op1_op5_and_op8_as_registered(spark, documents):
+    """The registered queries' own columns, against the rules of the contract in plain code."""
+    import re
+
+    import xxhash
+
+    got = {r.doc_id: r for r in queries.op1_boosted_pii(spark, BASE).collect()}
+    luhn = lambda digits: sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([ -]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    for d, text, _, _ in documents:
+        spans = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text) if ok(m[0])] for k, (p, ok) in rules.items()}
+        base = [x for found in spans.values() for x in found]
+        assert [got[d][f"n_{k}"] for k in rules] == [len(x) for x in spans.values()]
+        assert got[d].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(got[d].spans.split(",")) | {""} - ({""} if base else set())
+    prints = {r.doc_id: r for r in queries.op8_simhash_vptree(spark, BASE).collect()}
+    want = {}
+    for d, text, _, _ in documents:
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+        hashes = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))] if words else []
+        want[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert prints[d].fingerprint == f"{want[d]:016x}"
+    group = {d: d for d in want}
+    for _ in range(8):
+        for a in want:
+            for b in want:
+                if (want[a] ^ want[b]).bit_count() <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+    assert {d: r.component_id for d, r in prints.items()} == group
+    rows = queries.op5_spaced_seed_decontamination(spark, BASE).collect()
+    assert len({r.doc_id for r in rows}) > 0 and {r.doc_id for r in rows} <= set(want)
