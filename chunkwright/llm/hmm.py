@@ -44,8 +44,10 @@ class Hmm:
     smoothing: float = 3000.0
     #: Distinct words counted in a worker before it passes them on, and tokens worked on together.
     counted_words: int = 400_000
-    block_tokens: int = 500_000
+    block_tokens: int = 800_000
     buffer_tokens: int = 6_000_000
+    #: Tokens that a task of a round works through, where there are more than the cores need: each passes on as many numbers as the model has.
+    task_tokens: int = 32_000_000
 
     @property
     def classes(self) -> int:
@@ -171,6 +173,10 @@ class Model:
     def __post_init__(self) -> None:
         self.by_class = np.ascontiguousarray(self.emits.T)  # a token's emissions lie side by side
 
+    def single(self) -> Model:
+        """The same in single precision, which is enough to count with."""
+        return Model(*(x.astype(np.float32) for x in (self.first, self.moves, self.emits)))
+
 
 def overall(known: Classes, p: Hmm) -> np.ndarray:
     """How likely each class is, of all tokens; those never seen get a little."""
@@ -219,8 +225,8 @@ def blocks(sequences: list[np.ndarray], most: int) -> Iterator[Block]:
 def forward(block: Block, m: Model, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scaled forward vectors, emissions, scales) by place in the block; without ``keep`` the first two are not filled."""
     emitted = m.by_class[block.codes]
-    scales = np.empty(len(block.codes))
-    alphas, last, ones = np.empty_like(emitted) if keep else emitted, None, np.ones(emitted.shape[1])
+    scales = np.empty(len(block.codes), emitted.dtype)
+    alphas, last, ones = np.empty_like(emitted) if keep else emitted, None, np.ones(emitted.shape[1], emitted.dtype)
     for a, b in zip(block.starts[:-1], block.starts[1:]):
         v = (m.first if last is None else last[: b - a] @ m.moves) * emitted[a:b]
         scale = v @ ones
@@ -258,10 +264,10 @@ class Expected:
     def add(self, sequences: list[np.ndarray], m: Model, most: int) -> None:
         for block in blocks(sequences, most):
             alphas, weights, scales = forward(block, m)
-            self.log10 += float(np.log10(scales).sum())
-            starts, beta, moved, back = block.starts, None, np.zeros_like(m.moves), np.ascontiguousarray(m.moves.T)
+            self.log10 += float(np.log10(scales).sum(dtype=np.float64))
+            starts, beta, moved, back = block.starts, None, np.zeros(m.moves.shape), np.ascontiguousarray(m.moves.T)
             for a, b in zip(starts[-2::-1], starts[:0:-1]):
-                here = np.ones((b - a, alphas.shape[1]))
+                here = np.ones((b - a, alphas.shape[1]), alphas.dtype)
                 if beta is not None:
                     here[: len(beta)] = beta @ back
                     moved += alphas[a : a + len(beta)].T @ beta
@@ -289,9 +295,11 @@ def sequences_of(column: pa.Array) -> list[np.ndarray]:
 PIECE = 4096
 
 
-def expected(encoded: DataFrame, m: Model, p: Hmm) -> Expected:
+def expected(encoded: DataFrame, m: Model, p: Hmm, tokens: int = 0) -> Expected:
     """What Baum-Welch counts over all rows of ``encoded`` (codes) under ``m``: each task sums its own, in pieces that are summed again before and after the shuffle."""
 
+    single = m.single()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, n = Expected.none(p), [], 0
         for batch in batches:
@@ -300,10 +308,10 @@ def expected(encoded: DataFrame, m: Model, p: Hmm) -> Expected:
                 held += more
                 n += sum(map(len, more))
                 if n > p.buffer_tokens:
-                    total.add(held, m, p.block_tokens)
+                    total.add(held, single, p.block_tokens)
                     held, n = [], 0
         if held:
-            total.add(held, m, p.block_tokens)
+            total.add(held, single, p.block_tokens)
         flat = np.concatenate([total.first, total.moves.ravel(), [total.log10], total.emits.ravel()])
         for at in range(0, len(flat), PIECE):
             part = flat[at : at + PIECE]
@@ -311,7 +319,8 @@ def expected(encoded: DataFrame, m: Model, p: Hmm) -> Expected:
                 part = np.pad(part, (0, PIECE - len(part)))
                 yield pa.RecordBatch.from_arrays([pa.array([at // PIECE], pa.int32()), pa.array([part], pa.list_(pa.float64()))], names=["piece", "v"])
 
-    parts = encoded.select("codes").mapInArrow(run, "piece int, v array<double>")
+    tasks = max(encoded.sparkSession.sparkContext.defaultParallelism, -(-tokens // p.task_tokens))
+    parts = encoded.select("codes").coalesce(tasks).mapInArrow(run, "piece int, v array<double>")
     sums = parts.groupBy("piece").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("piece", vector_to_array("v").alias("v"))
     head = p.states + p.states**2 + 1
     size = head + p.states * p.classes
@@ -326,7 +335,7 @@ def learn(encoded: DataFrame, known: Classes, p: Hmm) -> tuple[Model, list[float
     """A model of all rows of ``encoded`` after ``p.iterations`` rounds of Baum-Welch, and the log10 likelihood found in each round."""
     m, prior, found = begin(known, p), overall(known, p), []
     for _ in range(p.iterations if known.n else 0):
-        e = expected(encoded, m, p)
+        e = expected(encoded, m, p, known.n)
         found.append(e.log10)
         m = e.model(prior, p)
     return m, found
