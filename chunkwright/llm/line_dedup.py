@@ -66,9 +66,10 @@ def _literal(values: list[int], kind: str) -> str:
 def _rarity_table(docs: DataFrame, p: LineDedup) -> str:
     """For each counter the size class of the number of words that fell to it."""
     size = 1 << p.rarity_bits
-    split = "if(odd, split(text, '[ \\\\x09-\\\\x0D]+'), split(replace(text, '\\n', ' '), ' '))"
-    words = docs.select(F.explode(F.expr(split)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(lower(w)), 8) & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    spaced = "lower(replace(text, '\\n', ' '))"
+    words = docs.select(F.explode(F.expr(f"if(odd, split({spaced}, '[ \\\\x09-\\\\x0D]+'), split({spaced}, ' '))")).alias("w"))
+    # the empty pieces between spaces have a counter, too; no token looks it up but one that shares it
+    counts = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(w), 8) & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # Two size classes for each doubling.
     classed = counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2("n"))).cast("int").alias("c"))
     rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.struct("slot", "c")).alias("s"))
@@ -94,10 +95,16 @@ def _member_test(keys: DataFrame, key: str, p: LineDedup) -> str:
     return f"shiftright({_literal(member, 'bigint')}[cast(({key} & {bits - 1}) div 64 as int)], cast({key} & 63 as int)) & 1 = 1"
 
 
+def _hashed(line: str) -> str:
+    """SQL for the hashes of a line's distinct words."""
+    return f"array_remove(array_distinct(transform({_words(line)}, w -> shiftrightunsigned(xxhash64(w), 8))), shiftrightunsigned(xxhash64(''), 8))"
+
+
 def _tokens(line: str, p: LineDedup, table: str) -> str:
     """SQL for a line's distinct word hashes by rarity: the class in the top bits, then the hash."""
-    hashed = f"array_remove(array_distinct(transform({_words(line)}, w -> shiftrightunsigned(xxhash64(w), 8))), shiftrightunsigned(xxhash64(''), 8))"
-    return f"sort_array(transform({hashed}, x -> shiftleft(cast({table}[cast(x & {(1 << p.rarity_bits) - 1} as int)] as bigint), 56) | x))"
+    ranked = f"shiftleft(cast({table}[cast(x & {(1 << p.rarity_bits) - 1} as int)] as bigint), 56) | x"
+    # every counter has a class; said so, since arrays that cannot hold nulls are sorted as plain numbers
+    return f"sort_array(transform({_hashed(line)}, x -> coalesce({ranked}, x)))"
 
 
 def _need(a: str, b: str, p: LineDedup) -> str:
@@ -164,7 +171,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     drop_table(spark, sets)
     inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
     here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_tokens("line", p, table)).alias("t"))
+    texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_hashed("line")).alias("t"))  # met as sets, in any order
     whole = stage_table(texts.join(candidates.select("k", "sig", "d", "i"), ["d", "i"]).select("k", "sig", "t"), "whole")
 
     # (set, prefix token) rows of the candidates, narrow still.
