@@ -1,11 +1,12 @@
 """Decontamination before trimming, against a count of the substitutions in all windows."""
 
 import random
+from dataclasses import replace
 from itertools import combinations
 
 import pytest
 
-from chunkwright.llm.decontaminate import EVERY, SeedIndex, drop_contaminated, find_overlaps, tokens
+from chunkwright.llm.decontaminate import EVERY, SeedIndex, SpacedSeeds, drop_contaminated, find_overlaps, tokens
 
 
 def promised(doc, item):
@@ -54,3 +55,31 @@ def test_random_texts_against_all_windows(spark):
     want = {(d, i) for d, t in docs for i, item in items if promised(t, item)}
     assert want <= got.keys() and len(want) > 60
     assert sorted(r.doc_id for r in drop_contaminated(D, B, EVERY).collect()) == sorted(set(texts) - {d for d, _ in got})
+
+
+@pytest.mark.parametrize("params", [SpacedSeeds(), EVERY])
+def test_joined_windows_find_what_the_broadcast_index_finds(spark, params):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "of", "a"] + [f"w{i}" for i in range(40)])
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 40)))) for i in range(25)] + [(3, "another text of a repeated id"), (3, None), (None, ""), (None, " ".join(word() for _ in range(20)))]
+    docs = []
+    for i in range(80):
+        words = [word() for _ in range(rng.randint(0, 60))]
+        if i % 2 and (inside := (rng.choice(items)[1] or "").split()):
+            changed = ["new" if rng.random() < 0.1 else w for w in inside]
+            words[rng.randint(0, len(words)) : 0] = changed
+        docs.append((i, " ".join(words), i % 7))
+    docs += [(5, docs[1][1], 0), (5, docs[1][1], 0), (None, docs[3][1], 1), (99, None, 2), (98, "", 3), (97, " ".join(word() for _ in range(20_000)) + " " + items[0][1], 4)]
+    # a passage of one word over and over has one seed at all of its places
+    items.append((70, "same " * 30))
+    docs.append((71, "same " * 50, 0))
+    documents = spark.createDataFrame(docs, "doc_id long, text string, row long").repartition(5)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    small = replace(params, block_tokens=10)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = rows(find_overlaps(documents, benchmark, params))
+    assert found and found == rows(find_overlaps(documents, benchmark, small))
+    kept = drop_contaminated(documents, benchmark, small)
+    assert kept.columns == documents.columns
+    assert rows(kept) == rows(drop_contaminated(documents, benchmark, params))
+    assert rows(find_overlaps(documents.limit(0), benchmark, small)) == []
