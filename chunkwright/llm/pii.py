@@ -41,15 +41,20 @@ _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 # look ahead spares most places the looks behind.
 _BEGIN, _END = r"(?=[0-9(])(?<![0-9A-Za-z+,:])(?<![0-9][.-])(?<!(?:^|[^0-9])[./-])", r"(?![0-9A-Za-z])(?![.-][0-9])"
 
+# Spelled-out e-mail addresses: marks in brackets, bare words, or an @ among spaces.
+_AT, _DOT, _NAME = r" ?[\[({<] ?(?:at|AT) ?[\])}>] ?", r"(?:\.| ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?)", "[A-Za-z0-9-]{1,63}+"
+_SPELLED = rf"(?:{_AT}{_NAME}(?:{_DOT}{_NAME}){{1,4}}| (?:at|AT) {_NAME}(?: (?:dot|DOT) {_NAME}){{1,4}}|(?: @ ?|@ ){_NAME}(?:\.{_NAME}){{1,4}})"
+_HEX, _KEY = "[0-9A-Fa-f]{1,4}", "[A-Za-z0-9+/_-]"
+
 #: (kind, pattern) of the generators.
 GENERATORS = (
-    ("phone", r"(?<![0-9A-Za-z+.,:/-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+.,:/-])(?:1[ .-])?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+.,:/-])0[0-9]{8,11}(?![0-9A-Za-z])"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]{1,63}+){1,4}"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("national_id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+{_SPELLED}"),
+    ("ip", rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"),
+    ("national_id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}[ .-][0-9]{2}[ .-][0-9]{4}|[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]|[0-9]{8}-?[A-Z])(?![0-9A-Za-z-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("secret", r"(?<=[=:] {0,2}[\"']?)(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
+    ("secret", rf"(?<=[=:] {{0,2}}[\"']?|[Bb]earer )(?<!{_KEY}){_KEY}{{16,}}+(?:\.{_KEY}{{8,}}+){{0,2}}={{0,2}}"),
     # Fixed groupings, which may lie within a longer run of digit groups.
     ("phone", rf"{_BEGIN}(?:\([0-9]{{3}}\)[ ./-]{{0,2}}|[0-9]{{3}}[ ./-]{{1,2}})[0-9]{{3}}[ ./-][0-9]{{4}}{_END}"),
     ("phone", rf"{_BEGIN}[0-9]{{3}}[ ./-][0-9]{{3}}[ ./-][0-9]{{3}}{_END}"),
@@ -61,9 +66,9 @@ GENERATORS = (
 #: Words near a candidate, by what they speak for.
 HINTS = {
     "near_phone": "phone|tel|call|mobile|fax|whatsapp|telefon|anruf|appel|portable|llam|m.vil",
-    "near_id": "ssn|social|national id|passport|dni|ausweis|s.cu",
+    "near_id": "ssn|social|national id|passport|dni|nif|insurance|ausweis|s.cu",
     "near_bank": "iban|bank|account|konto|compte|cuenta|transfer",
-    "near_key": "token|key|secret|passw|pwd|auth|credential",
+    "near_key": "token|key|secret|passw|pwd|auth|credential|bearer",
     "near_mail": "mail|contact|write|reach|address|schreib|.crire|correo",
     "near_other": "order|invoice|item|isbn|version|ref|page|serial|date|time|score|total|price|hash|sha|md5|commit|id:|digest|bestell|facture|pedido",
 }
@@ -86,6 +91,14 @@ def _spans(text: str, pattern: str, kind: str, context: int | None = None) -> Co
     return F.when(F.size(found) > 0, F.struct(found.alias("m"), F.split(F.col(text), pattern, -1).alias("p"))).alias(kind)
 
 
+def _free(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has."""
+    own = "__"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    return own
+
+
 def _located(name: str, kind: int, context: int) -> str:
     """SQL for the spans of a struct column (m, p): matches and the pieces around them."""
     sizes = f"zip_with({name}.m, slice({name}.p, 1, size({name}.m)), (a, b) -> cast(char_length(a) + char_length(b) as bigint))"
@@ -109,10 +122,11 @@ _VALID = {
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base``: spans (kind, start, end, value, before, after) of the base rules, by kind, then start."""
-    found = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    found = found.select("*", *[_spans("__text", pattern, f"__{kind}") for kind, pattern in BASE.items()])
-    parts = [f"filter({_located(f'__{kind}', k, 0)}, x -> {_VALID[kind]})" for k, kind in enumerate(BASE)]
-    return found.withColumn("base", F.expr(f"concat({', '.join(parts)})")).drop("__text", *[f"__{k}" for k in BASE])
+    own = _free(docs)
+    found = docs.withColumn(f"{own}text", F.coalesce("text", F.lit("")))
+    found = found.select("*", *[_spans(f"{own}text", pattern, f"{own}{kind}") for kind, pattern in BASE.items()])
+    parts = [f"filter({_located(f'{own}{kind}', k, 0)}, x -> {_VALID[kind]})" for k, kind in enumerate(BASE)]
+    return found.withColumn("base", F.expr(f"concat({', '.join(parts)})")).drop(f"{own}text", *[f"{own}{k}" for k in BASE])
 
 
 def _feature_sql(p: Pii) -> dict[str, str]:
@@ -138,36 +152,40 @@ def _feature_sql(p: Pii) -> dict[str, str]:
 
 def candidates(docs: DataFrame, p: Pii = Pii()) -> DataFrame:
     """``docs`` with ``candidates``: the generators' spans, each with its features ``f`` (array<int>)."""
-    found = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    found = found.select("*", *[_spans("__text", pattern, f"__g{g}") for g, (_, pattern) in enumerate(GENERATORS)])
+    own = _free(docs)
+    found = docs.withColumn(f"{own}text", F.coalesce("text", F.lit("")))
+    found = found.select("*", *[_spans(f"{own}text", pattern, f"{own}g{g}") for g, (_, pattern) in enumerate(GENERATORS)])
     sql = _feature_sql(p)
     features = ", ".join(f"cast({sql[name]} as int)" for name in FEATURES)
     parts = []
     for g, (kind, _) in enumerate(GENERATORS):
-        spans = _located(f"__g{g}", KINDS.index(kind), p.context_chars)
+        spans = _located(f"{own}g{g}", KINDS.index(kind), p.context_chars)
         if kind == "phone":
             spans = f"filter({spans}, x -> length({_DIGITS}) between 7 and 15)"
         parts.append(f"transform({spans}, x -> struct(x.kind, x.start, x.end, x.value, x.before, x.after, {g} as generator))")
     gathered = found.withColumn("candidates", F.expr(f"concat({', '.join(parts)})"))
     made = f"transform(candidates, x -> struct(x.kind, x.start, x.end, x.value, x.generator, array({features}) as f))"
-    return gathered.withColumn("candidates", F.expr(made)).drop("__text", *[f"__g{g}" for g in range(len(GENERATORS))])
+    return gathered.withColumn("candidates", F.expr(made)).drop(f"{own}text", *[f"{own}g{g}" for g in range(len(GENERATORS))])
 
 
 def training_sentences(p: Pii) -> list[tuple[int, str, str | None, str]]:
     """(id, text, kind of the one planted span or None, its value): half personal data, half look-alikes."""
     r = random.Random(p.seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    b64 = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    caps = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTWXYZ") for _ in range(n))
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     word = lambda: "".join(r.choice(["an", "er", "in", "on", "te", "la", "re", "mo", "ki", "su"]) for _ in range(r.randint(1, 4)))
     say = lambda: " ".join(word() for _ in range(r.randint(0, 8)))
     pick = r.choice
+    tld = lambda: pick(["com", "org", "net", "de"])
     yes = {
-        "phone": (lambda: pick([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(6)}", f"0{d(2)}/{d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(9)}", f"{d(3)} {d(3)} {d(3)}"]), ["phone", "tel.", "call", "mobile:", "Telefon", "fax", "appel", ""]),
-        "email": (lambda: f"{word()}{pick(['', '.' + word()])} {pick(['[at]', '(at)', '[ at ]'])} {word()}{pick([' [dot] ', '.', ' (dot) '])}{pick(['com', 'org', 'net', 'de'])}", ["mail", "contact", "write to", ""]),
-        "ip": (lambda: ":".join(hexa(4) for _ in range(8)), ["address", "host", "from", ""]),
-        "national_id": (lambda: f"{d(3)}-{d(2)}-{d(4)}", ["ssn", "social security", "national id", ""]),
+        "phone": (lambda: pick([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(6)}", f"0{d(2)}/{d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(9)}", f"{d(3)} {d(3)} {d(3)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}-{d(4)}", f"{d(2)} {d(3)} {d(2)} {d(2)}", f"00{d(2)} {d(2)} {d(7)}"]), ["phone", "tel.", "call", "mobile:", "Telefon", "fax", "appel", ""]),
+        "email": (lambda: pick([f"{word()}{pick(['', '.' + word()])} {pick(['[at]', '(at)', '[ at ]'])} {word()}{pick([' [dot] ', '.', ' (dot) '])}{tld()}", f"{word()}{pick(['', d(2)])} at {word()} dot {tld()}", f"{word()} @ {word()}.{tld()}"]), ["mail", "contact", "write to", ""]),
+        "ip": (lambda: pick([":".join(hexa(4) for _ in range(8)), f"fd{hexa(2)}:{hexa(4)}::{hexa(r.randint(1, 4))}", f"{r.randint(1, 9)}a{hexa(2)}::{hexa(4)}:{hexa(2)}"]), ["address", "host", "from", ""]),
+        "national_id": (lambda: pick([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{caps(2)}{d(6)}{pick('ABCD')}", f"{d(8)}{caps(1)}"]), ["ssn", "social security", "national id", "dni", "insurance number"]),
         "iban": (lambda: f"{pick(['DE', 'FR', 'ES', 'GB'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", ["iban", "account", "Konto", "bank", ""]),
-        "secret": (lambda: pick([hexa(32), hexa(40), "sk_" + hexa(24), "AKIA" + hexa(16).upper()]), ['token = "', "api_key: ", "secret=", 'password = "', "auth: "]),
+        "secret": (lambda: pick([hexa(32), hexa(40), "sk_" + hexa(24), "AKIA" + hexa(16).upper(), b64(r.randint(28, 64)), "pk_live_" + b64(20), b64(43) + "=", f"{b64(18)}.{b64(30)}"]), ['token = "', "api_key: ", "secret=", 'password = "', "auth: ", "bearer "]),
     }
     no = [
         (lambda: f"{r.randint(1950, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", ["date", "on", ""]),
@@ -182,6 +200,11 @@ def training_sentences(p: Pii) -> list[tuple[int, str, str | None, str]]:
         (lambda: hexa(40), ["commit: ", "sha: ", "hash = ", "md5=", "digest: "]),
         (lambda: "/".join(word() + word() for _ in range(4)), ["path: ", "see: ", "url="]),
         (lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", ["serial", "item", "order"]),
+        (lambda: pick([b64(40), f"{b64(18)}.{b64(30)}", f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}"]), ["digest: ", "hash = ", "id: ", "commit: "]),
+        (lambda: pick([f"{d(3)} {d(2)} {d(4)}", f"{caps(2)}{d(6)}A", f"{d(8)}{caps(1)}"]), ["item", "order", "serial", "total"]),
+        (lambda: f"{d(3)}{pick(['-', ' '])}{d(4)}", ["order", "item", "page", "total", "score", ""]),
+        (lambda: f"{d(1)} @ {d(2)}.{d(2)}", ["item", "price", "total", ""]),
+        (lambda: f"{pick(['add', 'bad', 'face', 'dec'])}::{pick(['add', 'bad', 'cafe', 'dead'])}", ["ref", "see", ""]),
         (lambda: d(r.randint(8, 24)), ["order", "total", ""]),
     ]
     rows = []
@@ -189,7 +212,7 @@ def training_sentences(p: Pii) -> list[tuple[int, str, str | None, str]]:
         kind = pick(list(yes)) if i % 2 else None
         make, hints = yes[kind] if kind else pick(no)
         value, hint = make(), pick(hints)
-        glue = "" if hint.endswith(('"', "=", ": ")) else " "
+        glue = "" if hint.endswith(('"', "=", " ")) else " "
         end = '"' if '"' in hint else pick([".", " ", ",", ""])
         rows.append((i, f"{say()} {hint}{glue}{value}{end} {say()}", kind, value))
     return rows
