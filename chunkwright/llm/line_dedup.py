@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in built-in expressions.
 
-A line's tokens are its distinct lower-cased words, ordered by rarity: by the size class of the word's count
-over all texts, then by hash. Two lines are near when the Jaccard likeness of their token sets is at least
+A line's tokens are its distinct lower-cased words, ordered by rarity: by the size class of the number of
+lines it is in, then by hash. Two lines are near when the Jaccard likeness of their token sets is at least
 the threshold; a line is removed when any line before it, in document and line order, is near.
 
 Lines of equal token sets meet by a hash of the set, so only distinct sets are joined. Two near sets share a
@@ -40,7 +40,7 @@ class LineDedup:
 
 def _odd(text: str) -> str:
     """SQL: whether a text has white space other than spaces and line ends."""
-    return "(" + " OR ".join(f"contains({text}, '{c}')" for c in ("\\t", "\\u000B", "\\f", "\\r")) + ")"
+    return "(" + " OR ".join(f"contains({text}, '{c}')" for c in ("\\t", "\\u000B", "\\u000C", "\\r")) + ")"  # \\f would be the letter
 
 
 def _words(line: str) -> str:
@@ -50,7 +50,7 @@ def _words(line: str) -> str:
 
 def _blank(text: str) -> str:
     """SQL: whether a text has no word."""
-    return f"trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM {text}) = ''"
+    return f"trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM {text}) = ''"
 
 
 def without_words(text: Column) -> Column:
@@ -63,13 +63,11 @@ def _literal(values: list[int], kind: str) -> str:
     return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
 
 
-def _rarity_table(docs: DataFrame, p: LineDedup) -> str:
-    """For each counter the size class of the number of words that fell to it."""
+def _rarity_table(hashed: DataFrame, p: LineDedup) -> str:
+    """For each counter the size class of the number of lines' words ``hashed`` (t) that fell to it."""
     size = 1 << p.rarity_bits
-    spaced = "lower(replace(text, '\\n', ' '))"
-    words = docs.select(F.explode(F.expr(f"if(odd, split({spaced}, '[ \\\\x09-\\\\x0D]+'), split({spaced}, ' '))")).alias("w"))
-    # the empty pieces between spaces have a counter, too; no token looks it up but one that shares it
-    counts = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(w), 8) & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = hashed.select(F.explode("t").alias("w"))
+    counts = words.groupBy(F.expr(f"cast(w & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # Two size classes for each doubling.
     classed = counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2("n"))).cast("int").alias("c"))
     rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.struct("slot", "c")).alias("s"))
@@ -100,11 +98,11 @@ def _hashed(line: str) -> str:
     return f"array_remove(array_distinct(transform({_words(line)}, w -> shiftrightunsigned(xxhash64(w), 8))), shiftrightunsigned(xxhash64(''), 8))"
 
 
-def _tokens(line: str, p: LineDedup, table: str) -> str:
+def _tokens(hashes: str, p: LineDedup, table: str) -> str:
     """SQL for a line's distinct word hashes by rarity: the class in the top bits, then the hash."""
     ranked = f"shiftleft(cast({table}[cast(x & {(1 << p.rarity_bits) - 1} as int)] as bigint), 56) | x"
-    # every counter has a class; said so, since arrays that cannot hold nulls are sorted as plain numbers
-    return f"sort_array(transform({_hashed(line)}, x -> coalesce({ranked}, x)))"
+    # never null; said so, since arrays that cannot hold nulls are sorted as plain numbers
+    return f"sort_array(transform({hashes}, x -> coalesce({ranked}, x, 0L)))"
 
 
 def _need(a: str, b: str, p: LineDedup) -> str:
@@ -127,10 +125,11 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """
     num, den = p.near
     docs = docs.where("text IS NOT NULL").withColumn("odd", F.expr(_odd("text")))
-    table = _rarity_table(docs, p)
     lines = docs.select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
-    tokens = lines.where(f"NOT {_blank('line')}").select("d", "i", F.expr(_tokens("line", p, table)).alias("t"))
+    # Texts are split once for both the counts and the sets; a hash takes up to 8 bytes until the sets are made.
+    hashed = stage_table(lines.where(f"NOT {_blank('line')}").select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes")
+    tokens = hashed.select("d", "i", F.expr(_tokens("t", p, _rarity_table(hashed, p))).alias("t"))
     short = f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)"
     keyed = tokens.select("d", "i", "t", F.size("t").alias("n")).select(
         F.xxhash64("t").alias("k"),
@@ -146,6 +145,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     )
     # Every token set once, at its first place; k and sig together name it.
     sets = stage_table(keyed.groupBy("k", "sig").agg(F.min("at").alias("at")).select("k", "sig", "at.*"), "lines")
+    drop_table(docs.sparkSession, hashed)
 
     # One row for each prefix token: (token, half of k), signature and part, (size, place).
     spread = sets.select("k", "sig", "n", "part", F.posexplode("prefix").alias("pos", "token")).select(

@@ -80,6 +80,10 @@ def test_lines_of_few_words(spark):
     dedup_and_compare(spark, [(1, "Les."), (2, "les.\nLes.  \n\nles. a"), (3, "a b c d\na b c d e\na b c"), (4, " \t\n\x0b\x0c\r\n"), (5, "é\nÉ\nx\ty")])
 
 
+def test_the_letter_f_is_no_white_space_and_a_form_feed_is(spark):
+    dedup_and_compare(spark, [(1, "f\nff\nf F"), (2, "f\nff"), (3, "a b c d e"), (4, "a b\x0cc d e\n\x0c\n \x0c"), (5, "A B\x0cC D E")])
+
+
 def test_columns_of_any_name(spark):
     odd = spark.createDataFrame([(1, "one two three\none two three", 1, 2, 3, 4)], "doc_id long, text string, d long, lines long, `kept.x` long, c0 long")
     got = dedup_lines(odd, SMALL)
