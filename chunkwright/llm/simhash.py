@@ -239,18 +239,20 @@ def keep_one(docs: DataFrame, params: SimHash = SimHash()) -> DataFrame:
 
     Rows that share a doc_id are documents of their own; of these the one with the least hash of its text
     counts as first, then any. Rows with a null doc_id come after all others of their component. An empty
-    table gives no rows. Columns pass as they are, under any name.
+    table gives no rows. Columns pass as they are, under any name. Texts meet the rows that go, which are the
+    fewer: where those are few enough to be sent to all tasks, no text is shuffled.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     seen = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if (seen.most or 0) <= 1 and not seen.nulls:
-        kept = stage_table(near_duplicates(docs, params).where("doc_id = component_id").select("doc_id"), "kept")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        gone = stage_table(near_duplicates(docs, params).where("doc_id <> component_id").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     inner = [f"c{at}" for at in range(len(docs.columns))]
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
     rows = stage_table(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
     found = near_duplicates(rows.select(F.col("row").alias("doc_id"), text.alias("text")), params).select(F.col("doc_id").alias("row"), "component_id")
+    found = stage_table(found, "found")
     order = F.struct(doc_id.isNull().alias("a"), doc_id.cast("long").alias("b"), F.xxhash64(text).alias("c"), "row")
     first = found.join(rows.select("row", order.alias("at")), "row").groupBy("component_id").agg(F.min("at").alias("at"))
-    kept = stage_table(first.select("at.row"), "kept")
-    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns)])
+    gone = stage_table(found.select("row").join(first.select("at.row"), "row", "left_anti"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns)])

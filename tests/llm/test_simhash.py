@@ -112,3 +112,20 @@ def test_one_row_of_each_component_is_kept_whatever_the_ids(spark):
     assert [r.doc_id for r in keep_one(spark.createDataFrame([(None, a, "x", 1), (7, a, "y", 2), (9, a, "z", 3)], SCHEMA)).collect()] == [7]
     assert keep_one(docs.limit(0)).count() == 0
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_are_not_shuffled_where_few_rows_go(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(3000)]
+    rows = [(rng.randrange(1 << 40), t) for t in texts]
+    for more in ([(1 << 41, texts[0])], [(1 << 41, texts[0]), (None, texts[1])]):  # ids of their own; one without
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows + more], SCHEMA)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+        try:
+            kept = keep_one(docs)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
