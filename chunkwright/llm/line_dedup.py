@@ -100,9 +100,9 @@ def _hashed(line: str) -> str:
 
 def _tokens(hashes: str, p: LineDedup, table: str) -> str:
     """SQL for a line's distinct word hashes by rarity: the class in the top bits, then the hash."""
-    ranked = f"shiftleft(cast({table}[cast(x & {(1 << p.rarity_bits) - 1} as int)] as bigint), 56) | x"
+    ranked = f"shiftleft(cast({table}[x & {(1 << p.rarity_bits) - 1}] as bigint), 56) | x"
     # never null; said so, since arrays that cannot hold nulls are sorted as plain numbers
-    return f"sort_array(transform({hashes}, x -> coalesce({ranked}, x, 0L)))"
+    return f"sort_array(transform({hashes}, x -> coalesce({ranked}, 0L)))"
 
 
 def _need(a: str, b: str, p: LineDedup) -> str:
@@ -114,8 +114,10 @@ def _need(a: str, b: str, p: LineDedup) -> str:
 def _maybe_near(ln: str, rn: str, p: LineDedup) -> str:
     """SQL of the length filter and of the signatures' bound on the difference, for sets l and r of sizes ln and rn."""
     num, den = p.near
-    bits = f"if({ln} > {p.long_line} AND {rn} > {p.long_line}, bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part), bit_count(l.sig ^ r.sig))"
-    return f"{ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num} AND {bits} <= {ln} + {rn} - 2 * {_need(ln, rn, p)}"
+    most = f"{ln} + {rn} - 2 * {_need(ln, rn, p)}"
+    # the whole signatures differ in no more bits than their parts, so they are asked first
+    parts = f"{ln} <= {p.long_line} OR {rn} <= {p.long_line} OR bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part) <= {most}"
+    return f"{ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num} AND bit_count(l.sig ^ r.sig) <= {most} AND ({parts})"
 
 
 def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -128,8 +130,9 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     lines = docs.select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
     # Texts are split once for both the counts and the sets; a hash takes up to 8 bytes until the sets are made.
-    hashed = stage_table(lines.where(f"NOT {_blank('line')}").select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes")
-    tokens = hashed.select("d", "i", F.expr(_tokens("t", p, _rarity_table(hashed, p))).alias("t"))
+    # Lines without a word are told by their empty sets, which is cheaper than to look at the lines.
+    hashed = stage_table(lines.select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes")
+    tokens = hashed.where("size(t) > 0").select("d", "i", F.expr(_tokens("t", p, _rarity_table(hashed, p))).alias("t"))
     short = f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)"
     keyed = tokens.select("d", "i", "t", F.size("t").alias("n")).select(
         F.xxhash64("t").alias("k"),
@@ -166,9 +169,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     spark, half = docs.sparkSession, F.expr("k & 4294967295").alias("half")
     which = found.select(F.expr("a & 4294967295").alias("half"), "sig").distinct()
     chosen = sets.select("k", "sig", "part", "n", "d", "i", half).join(which, ["half", "sig"], "left_semi").drop("half")
-    places = stage_table(sets.select("k", "sig", "d", "i"), "places")
     candidates = stage_table(chosen, "candidates")
-    drop_table(spark, sets)
     inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
     here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_hashed("line")).alias("t"))  # met as sets, in any order
@@ -200,7 +201,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         drop_table(docs.sparkSession, used)
     collect_garbage(docs.sparkSession)  # before the texts are shuffled
     removed = settled.unionByName(more)
-    return places.join(removed, ["k", "sig"], "left_anti").select("d", "i")
+    return sets.select("k", "sig", "d", "i").join(removed, ["k", "sig"], "left_anti").select("d", "i")
 
 
 def _with_places(docs: DataFrame) -> DataFrame:
@@ -229,10 +230,11 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     kept = near_lines(own.select("d", "text"), p)
     words = kept.groupBy("d", F.expr("i div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, i % 64))").alias("b"))
     bits = words.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("bits"))
-    joined = own.join(bits, "d", "left").withColumn("lines", F.split("text", "\n"))
+    # A row of `bits` is small and there is one for each document, so texts need not be sorted to meet them.
+    joined = own.join(bits.hint("shuffle_hash"), "d", "left").withColumn("lines", F.split("text", "\n"))
     dense = "transform(sequence(0, (size(lines) - 1) div 64), w -> coalesce(try_element_at(bits, w), 0L))"
     joined = joined.withColumn("kept", F.expr(f"if(lines IS NULL, NULL, {dense})"))
-    stays = f"shiftright(kept[i div 64], i % 64) & 1 = 1 OR {_blank('l')}"
+    stays = f"shiftright(kept[shiftright(i, 6)], i) & 1 = 1 OR {_blank('l')}"  # a shift takes i modulo 64
     joined = joined.withColumn("left", F.expr(f"filter(lines, (l, i) -> {stays})"))
     # made once in a generator, which no later filter or projection is pushed through to make it again
     made = F.struct(F.array_join("left", "\n").alias("text"), F.expr("if(lines IS NULL, 0, size(lines))").alias("n_lines"), F.expr("if(lines IS NULL, 0, size(lines) - size(left))").alias("n_removed"))

@@ -84,6 +84,13 @@ def test_the_letter_f_is_no_white_space_and_a_form_feed_is(spark):
     dedup_and_compare(spark, [(1, "f\nff\nf F"), (2, "f\nff"), (3, "a b c d e"), (4, "a b\x0cc d e\n\x0c\n \x0c"), (5, "A B\x0cC D E")])
 
 
+def test_texts_are_not_sorted_to_meet_their_lines(spark):
+    rows = [(1, "x y z\n \t\r \n\n\x0b\nx y  z\n"), (2, " \nx y z"), (3, "\f"), (4, None)]
+    dedup_and_compare(spark, rows)
+    plan = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
 def test_columns_of_any_name(spark):
     odd = spark.createDataFrame([(1, "one two three\none two three", 1, 2, 3, 4)], "doc_id long, text string, d long, lines long, `kept.x` long, c0 long")
     got = dedup_lines(odd, SMALL)
