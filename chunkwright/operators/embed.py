@@ -54,12 +54,17 @@ class HashingEmbedder:
 
     def vector(self, tokens: Column) -> Column:
         d = self.dimensions
-        slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(d)))
-        signs = F.transform(tokens, lambda t: F.pmod(F.shiftright(F.xxhash64(t), 32), F.lit(2)) * 2 - 1)
-        zero = F.array_repeat(F.lit(0.0), d)
-        placed = F.aggregate(F.arrays_zip(slots.alias("s"), signs.alias("g")), zero, lambda acc, x: F.transform(acc, lambda v, i: v + F.when(i == x.s, x.g).otherwise(0)))
-        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(F.array(placed), lambda v: F.transform(v, lambda x: (x / F.greatest(norm(v), F.lit(1e-9))).cast("float")))[0]
+        hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+        # A token's slot, or its complement where the sign is negative; a slot's value is what the one occurs more often than the other.
+        slot = lambda h: F.pmod(h, F.lit(d).cast("long"))
+        codes = F.transform(hashes, lambda h: F.when(F.shiftright(h, 32).bitwiseAND(F.lit(1)) == 1, slot(h)).otherwise(F.bitwise_not(slot(h))))
+        without = lambda c, code: F.size(F.array_remove(c, code))
+        sums = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long")), lambda k: (without(c, F.bitwise_not(k)) - without(c, k)).cast("double"))
+        norm = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+        # arrays of one item name what would be worked out again at each use
+        once = lambda value, use: F.transform(F.array(value), use)[0]
+        unit = once(codes, lambda c: once(sums(c), lambda v: once(norm(v), lambda n: F.transform(v, lambda x: (x / n).cast("float")))))
+        return F.when(tokens.isNotNull(), unit)
 
     def embed(self, chunks: DataFrame) -> DataFrame:
         return chunks.withColumn("embedding", self.vector(F.col("tokens")))

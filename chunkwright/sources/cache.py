@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_table, stage_table
 from .files import missing_files
 from .store import delete, exists, list_names
 
@@ -24,7 +25,8 @@ KEYS = "content_key string, path string"
 
 def content_key(lang: Column, content: Column) -> Column:
     """A digest of what a file's chunks depend on besides the settings."""
-    return F.sha2(F.concat_ws("\x00", F.coalesce(lang, F.lit("")), F.coalesce(content, F.lit(""))), 256)
+    digest = F.sha2(F.concat_ws("\x00", F.coalesce(lang, F.lit("")), F.coalesce(content, F.lit(""))), 256)
+    return F.coalesce(digest, F.lit(""))  # never null; said so, since joins would work it out once more to ask
 
 
 @dataclass
@@ -60,9 +62,12 @@ class ChunkCache:
         """
         spark = files.sparkSession
         keyed = files.select("file", "lang", "content", content_key(F.col("lang"), F.col("content")).alias("content_key"))
+        # Digests are worked out once, and which contents are new; of the texts, each is shuffled once, to meet those.
+        owned = stage_table(keyed.select("file", "content_key"), "contents")
         stored = self.keys(spark, settings)
-        new = keyed.groupBy("content_key").agg(F.min("file").alias("file")).join(stored, "content_key", "left_anti")
-        work = keyed.join(new, ["content_key", "file"], "left_semi").dropDuplicates(["content_key"])
+        new = stage_table(owned.groupBy("content_key").agg(F.min("file").alias("file")).join(stored, "content_key", "left_anti"), "new")
+        # a new content has one file, so both keys are distinct where the content's is, and copies do not meet in one task
+        work = keyed.join(new, ["content_key", "file"], "left_semi").dropDuplicates(["content_key", "file"])
         chunks = make(work.select(F.col("content_key").alias("file"), "lang", "content")).withColumnRenamed("file", "content_key")
         contents, counts = new.count(), {}
         if contents:
@@ -75,7 +80,8 @@ class ChunkCache:
         paths = self.batches(spark, settings)
         owner = self._read(spark, paths, "keys", KEYS).groupBy("content_key").agg(F.min("batch").alias("batch"))
         found = self._read(spark, paths, "chunks", chunks.schema)
-        return keyed.select("file", "content_key").join(owner, "content_key").join(found, ["content_key", "batch"]).select("file", *[c for c in chunks.columns if c != "content_key"])
+        drop_table(spark, new)
+        return owned.join(owner, "content_key").join(found, ["content_key", "batch"]).select("file", *[c for c in chunks.columns if c != "content_key"])
 
     def gone(self, files: DataFrame, settings: dict) -> DataFrame:
         """Paths that contents were stored under and that no file has any more."""

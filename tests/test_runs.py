@@ -7,7 +7,9 @@ import os
 import threading
 import time
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from chunkwright import cli, session
@@ -44,6 +46,33 @@ def test_stored_chunks_belong_to_their_contents(spark, tmp_path):
     assert embedded(twice) == 0 and embedded(code_files(spark, ["b.c"])) == 1
 
 
+def test_digests_of_contents_are_worked_out_once(spark, tmp_path):
+    kept, p, e, plans = cache.ChunkCache(str(tmp_path)), Params(size=8), embed.HashingEmbedder(4), []
+
+    def make(work):
+        plans.append(work._jdf.queryExecution().executedPlan().toString())
+        return e.embed(workflow.chunk_files(work, p))
+
+    twice = code_files(spark, ["a.c", "a.c", "b.c"])
+    assert kept.embedded(twice, workflow.settings(e, p), make).count() == 3 and kept.added["contents"] == 2
+    assert plans[0].count("sha2(") == 1
+
+
+def test_hashed_vectors_against_plain_sums(spark):
+    def plain(tokens, d):
+        v = np.zeros(d)
+        for t in tokens:
+            h = 42 if t is None else xxhash.xxh64(t.encode(), seed=42).intdigest()
+            h -= (h >= 1 << 63) << 64
+            v[h % d] += 1 if h >> 32 & 1 else -1
+        return [float(x) for x in (v / max(np.sqrt(sum(x * x for x in v)), 1e-9)).astype(np.float32)]
+
+    rows = [(0, []), (1, ["a"]), (2, ["a", None, "a"]), (3, [f"w{i % 37}" for i in range(300)]), (4, None)]
+    for d in (1, 3, 8):
+        got = embed.HashingEmbedder(d).embed(spark.createDataFrame(rows, "k int, tokens array<string>")).collect()
+        assert {r.k: r.embedding for r in got} == {k: None if t is None else plain(t, d) for k, t in rows}
+
+
 def test_vectors_of_other_embedders_are_not_taken(spark, tmp_path):
     kept, p, df = cache.ChunkCache(str(tmp_path)), Params(size=8), code_files(spark, ["a.c"])
     sizes = [len(workflow.embed_files(df, embed.HashingEmbedder(d), p, kept).first().embedding) for d in (4, 16, 4)]
