@@ -67,7 +67,11 @@ def _rarity_table(hashed: DataFrame, p: LineDedup) -> str:
     """For each counter the size class of the number of lines' words ``hashed`` (t) that fell to it."""
     size = 1 << p.rarity_bits
     words = hashed.select(F.explode("t").alias("w"))
-    counts = words.groupBy(F.expr(f"cast(w & {size - 1} as int)").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    # A row holds several counters, so that there are no more rows than the fast map of a compiled aggregate takes.
+    low = min(size, 1 << 16)
+    several = [F.struct((F.col("slot") + at).alias("slot"), F.col(f"n{at}").alias("n")) for at in range(0, size, low)]
+    counted = words.groupBy(F.expr(f"cast(w & {low - 1} as int)").alias("slot")).agg(*[F.expr(f"count_if((w & {size - low}) = {at})").alias(f"n{at}") for at in range(0, size, low)])
+    counts = counted.select(F.inline(F.array(*several))).where("n > 0")
     # Two size classes for each doubling.
     classed = counts.select("slot", F.least(F.lit(63), F.floor(2 * F.log2("n"))).cast("int").alias("c"))
     rows = classed.groupBy(F.expr("slot div 4096").alias("block")).agg(F.collect_list(F.struct("slot", "c")).alias("s"))
@@ -95,12 +99,12 @@ def _member_test(keys: DataFrame, key: str, p: LineDedup) -> str:
 
 def _hashed(line: str) -> str:
     """SQL for the hashes of a line's distinct words."""
-    return f"array_remove(array_distinct(transform({_words(line)}, w -> shiftrightunsigned(xxhash64(w), 8))), shiftrightunsigned(xxhash64(''), 8))"
+    return f"array_except(transform({_words(line)}, w -> xxhash64(w)), array(xxhash64('')))"
 
 
 def _tokens(hashes: str, p: LineDedup, table: str) -> str:
-    """SQL for a line's distinct word hashes by rarity: the class in the top bits, then the hash."""
-    ranked = f"shiftleft(cast({table}[x & {(1 << p.rarity_bits) - 1}] as bigint), 56) | x"
+    """SQL for a line's distinct word hashes by rarity: the class, which is below 64, in place of the top bits of the hash."""
+    ranked = f"{_literal([c << 56 for c in range(64)], 'bigint')}[{table}[x & {(1 << p.rarity_bits) - 1}]] | x & {(1 << 56) - 1}"
     # never null; said so, since arrays that cannot hold nulls are sorted as plain numbers
     return f"sort_array(transform({hashes}, x -> coalesce({ranked}, 0L)))"
 
@@ -114,10 +118,26 @@ def _need(a: str, b: str, p: LineDedup) -> str:
 def _maybe_near(ln: str, rn: str, p: LineDedup) -> str:
     """SQL of the length filter and of the signatures' bound on the difference, for sets l and r of sizes ln and rn."""
     num, den = p.near
-    most = f"{ln} + {rn} - 2 * {_need(ln, rn, p)}"
-    # the whole signatures differ in no more bits than their parts, so they are asked first
-    parts = f"{ln} <= {p.long_line} OR {rn} <= {p.long_line} OR bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part) <= {most}"
-    return f"{ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num} AND bit_count(l.sig ^ r.sig) <= {most} AND ({parts})"
+    # As many bits differ as ln + rn says, odd or even, so ln + rn - 2 * need bounds them just where this does, without a division.
+    few = lambda bits: f"({bits}) * {num + den} <= ({ln} + {rn}) * {den - num}"
+    # The whole signatures tell most pairs apart, so they are asked first; they differ in no more bits than their parts.
+    parts = f"{ln} <= {p.long_line} OR {rn} <= {p.long_line} OR {few('bit_count(l.sig ^ l.part ^ r.sig ^ r.part) + bit_count(l.part ^ r.part)')}"
+    return f"{few('bit_count(l.sig ^ r.sig)')} AND {ln} * {den} >= {rn} * {num} AND {rn} * {den} >= {ln} * {num} AND ({parts})"
+
+
+def _place(docs: DataFrame) -> Column:
+    """Of a line the place (d, i), in order: one decimal number where ``d`` is one, since numbers have their least in a hash aggregate, without a sort."""
+    if docs.schema["d"].dataType.simpleString() != "bigint":
+        return F.struct("d", "i")
+    return F.expr("cast(cast(d as decimal(19)) * 4294967296 + i as decimal(30))")
+
+
+def _placed(docs: DataFrame) -> list[Column]:
+    """``d`` and ``i`` of a place."""
+    if docs.schema["d"].dataType.simpleString() != "bigint":
+        return [F.col("place.d").alias("d"), F.col("place.i").alias("i")]
+    i = "pmod(place, 4294967296)"
+    return [F.expr(f"cast((place - {i}) / 4294967296 as bigint)").alias("d"), F.expr(f"cast({i} as int)").alias("i")]
 
 
 def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
@@ -131,23 +151,22 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     # Texts are split once for both the counts and the sets; a hash takes up to 8 bytes until the sets are made.
     # Lines without a word are told by their empty sets, which is cheaper than to look at the lines.
-    hashed = stage_table(lines.select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes")
+    hashed = stage_table(lines.select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes", repeats=False)
     tokens = hashed.where("size(t) > 0").select("d", "i", F.expr(_tokens("t", p, _rarity_table(hashed, p))).alias("t"))
+    bits = [*(1 << b for b in range(63)), _FIRST]
     short = f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)"
     keyed = tokens.select("d", "i", "t", F.size("t").alias("n")).select(
         F.xxhash64("t").alias("k"),
-        F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-        F.struct(
-            "d",
-            "i",
-            "n",
-            # the part of the signature that half of the tokens make: a long line is told by both parts
-            F.expr(f"if(n > {p.long_line}, aggregate(t, 0L, (a, x) -> if(x & 64 = 0L, a, a ^ shiftleft(1L, cast(x & 63 as int)))), 0L)").alias("part"),
-            F.expr(f"transform({short}, x -> cast((x & 4294967295) - 2147483648 as int))").alias("prefix"),
-        ).alias("at"),
+        F.expr(f"aggregate(t, 0L, (a, x) -> a ^ {_literal(bits, 'bigint')}[x & 63])").alias("sig"),
+        _place(docs).alias("place"),
+        "n",
+        # the part of the signature that half of the tokens make: a long line is told by both parts
+        F.expr(f"if(n > {p.long_line}, aggregate(t, 0L, (a, x) -> a ^ {_literal([0] * 64 + bits, 'bigint')}[x & 127]), 0L)").alias("part"),
+        F.expr(f"transform({short}, x -> cast((x & 4294967295) - 2147483648 as int))").alias("prefix"),
     )
-    # Every token set once, at its first place; k and sig together name it.
-    sets = stage_table(keyed.groupBy("k", "sig").agg(F.min("at").alias("at")).select("k", "sig", "at.*"), "lines")
+    # Every token set once, at its first place; k and sig together name it, and the rest of the key follows from it.
+    first = keyed.groupBy("k", "sig", "n", "part", "prefix").agg(F.min("place").alias("place"))
+    sets = stage_table(first.select("k", "sig", *_placed(docs), "n", "part", "prefix"), "lines", repeats=False)
     drop_table(docs.sparkSession, hashed)
 
     # One row for each prefix token: (token, half of k), signature and part, (size, place).
@@ -159,8 +178,8 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     )
     left, right = spread.alias("l"), spread.alias("r")
     ln, rn, lp, rp = "shiftright(l.c, 16)", "shiftright(r.c, 16)", "(l.c & 65535)", "(r.c & 65535)"
-    alike = f"""shiftright(l.a, 32) = shiftright(r.a, 32) AND (l.a <> r.a OR l.sig <> r.sig)
-        AND {_maybe_near(ln, rn, p)} AND least({ln} - {lp}, {rn} - {rp}) >= {_need(ln, rn, p)}"""
+    alike = f"""shiftright(l.a, 32) = shiftright(r.a, 32) AND {_maybe_near(ln, rn, p)}
+        AND (l.a <> r.a OR l.sig <> r.sig) AND least({ln} - {lp}, {rn} - {rp}) * {num + den} >= ({ln} + {rn}) * {num}"""
     found = stage_table(left.join(right, F.expr(alike), "left_semi").select("a", "sig"), "found")
 
     collect_garbage(docs.sparkSession)
@@ -173,7 +192,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
     here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_hashed("line")).alias("t"))  # met as sets, in any order
-    whole = stage_table(texts.join(candidates.select("k", "sig", "d", "i"), ["d", "i"]).select("k", "sig", "t"), "whole")
+    whole = stage_table(texts.join(candidates.select("k", "sig", "d", "i"), ["d", "i"]).select("k", "sig", "t"), "whole", repeats=False)
 
     # (set, prefix token) rows of the candidates, narrow still.
     named = candidates.select("k", "sig", "part", "n", F.struct("d", "i").alias("at"), half)

@@ -43,14 +43,15 @@ def new_shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/chunkwright-{tag}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, tag: str) -> DataFrame:
+def stage_table(df: DataFrame, tag: str, repeats: bool = True) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a re-read rather than a recomputation of everything upstream.
+    A lost executor then costs a re-read rather than a recomputation of everything upstream. Where values such as
+    hashes seldom repeat (``repeats``), Parquet need not look for them in a dictionary.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(repeats).lower()).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

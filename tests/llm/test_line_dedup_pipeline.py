@@ -6,6 +6,7 @@ import re
 import xxhash
 
 import corpus_pipeline
+from chunkwright.llm import line_dedup
 from chunkwright.llm.decontaminate import SpacedSeeds, tokens
 from chunkwright.llm.line_dedup import LineDedup, dedup_lines
 from chunkwright.llm.simhash import fingerprint
@@ -91,6 +92,20 @@ def test_texts_are_not_sorted_to_meet_their_lines(spark):
     assert "ShuffledHashJoin" in plan
 
 
+def test_token_sets_are_made_distinct_without_a_sort(spark, monkeypatch):
+    plans, stage = {}, line_dedup.stage_table
+
+    def staged(df, tag, **more):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, tag, **more)
+
+    monkeypatch.setattr(line_dedup, "stage_table", staged)
+    texts = ["one two three four five", "Other words\n\nfour of them here", "one two three four five six", "words OTHER\tother"]
+    dedup_and_compare(spark, list(zip([2**63 - 1, -(2**63), -5, 0], texts)))
+    assert "HashAggregate" in plans["lines"] and "Sort" not in plans["lines"]
+    assert " div " not in plans["found"]
+
+
 def test_columns_of_any_name(spark):
     odd = spark.createDataFrame([(1, "one two three\none two three", 1, 2, 3, 4)], "doc_id long, text string, d long, lines long, `kept.x` long, c0 long")
     got = dedup_lines(odd, SMALL)
