@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,15 +127,19 @@ def _maybe_near(ln: str, rn: str, p: LineDedup) -> str:
 
 
 def _place(docs: DataFrame) -> Column:
-    """Of a line the place (d, i), in order: one decimal number where ``d`` is one, since numbers have their least in a hash aggregate, without a sort."""
-    if docs.schema["d"].dataType.simpleString() != "bigint":
-        return F.struct("d", "i")
-    return F.expr("cast(cast(d as decimal(19)) * 4294967296 + i as decimal(30))")
+    """Of a line the place (d, i), in order: one number where ``d`` is one, since numbers have their least in a hash aggregate, without a sort."""
+    kind = docs.schema["d"].dataType.simpleString()
+    if kind == "int":
+        return F.expr("shiftleft(cast(d as bigint), 32) + i")
+    return F.struct("d", "i") if kind != "bigint" else F.expr("cast(cast(d as decimal(19)) * 4294967296 + i as decimal(30))")
 
 
 def _placed(docs: DataFrame) -> list[Column]:
     """``d`` and ``i`` of a place."""
-    if docs.schema["d"].dataType.simpleString() != "bigint":
+    kind = docs.schema["d"].dataType.simpleString()
+    if kind == "int":
+        return [F.expr("cast(shiftright(place, 32) as int)").alias("d"), F.expr("cast(place & 4294967295 as int)").alias("i")]
+    if kind != "bigint":
         return [F.col("place.d").alias("d"), F.col("place.i").alias("i")]
     i = "pmod(place, 4294967296)"
     return [F.expr(f"cast((place - {i}) / 4294967296 as bigint)").alias("d"), F.expr(f"cast({i} as int)").alias("i")]
@@ -151,7 +156,8 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     # Texts are split once for both the counts and the sets; a hash takes up to 8 bytes until the sets are made.
     # Lines without a word are told by their empty sets, which is cheaper than to look at the lines.
-    hashed = stage_table(lines.select("d", "i", F.expr(_hashed("line")).alias("t")), "hashes", repeats=False)
+    # They are read twice and soon dropped: Spark keeps arrays as they lie in memory, where Parquet would take them apart.
+    hashed = lines.select("d", "i", F.expr(_hashed("line")).alias("t")).persist(StorageLevel.DISK_ONLY)
     tokens = hashed.where("size(t) > 0").select("d", "i", F.expr(_tokens("t", p, _rarity_table(hashed, p))).alias("t"))
     bits = [*(1 << b for b in range(63)), _FIRST]
     short = f"slice(t, 1, n - (({num} * n + {den - 1}) div {den}) + 1)"
@@ -167,7 +173,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     # Every token set once, at its first place; k and sig together name it, and the rest of the key follows from it.
     first = keyed.groupBy("k", "sig", "n", "part", "prefix").agg(F.min("place").alias("place"))
     sets = stage_table(first.select("k", "sig", *_placed(docs), "n", "part", "prefix"), "lines", repeats=False)
-    drop_table(docs.sparkSession, hashed)
+    hashed.unpersist(blocking=True)
 
     # One row for each prefix token: (token, half of k), signature and part, (size, place).
     spread = sets.select("k", "sig", "n", "part", F.posexplode("prefix").alias("pos", "token")).select(
@@ -180,31 +186,33 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     ln, rn, lp, rp = "shiftright(l.c, 16)", "shiftright(r.c, 16)", "(l.c & 65535)", "(r.c & 65535)"
     alike = f"""shiftright(l.a, 32) = shiftright(r.a, 32) AND {_maybe_near(ln, rn, p)}
         AND (l.a <> r.a OR l.sig <> r.sig) AND least({ln} - {lp}, {rn} - {rp}) * {num + den} >= ({ln} + {rn}) * {num}"""
-    found = stage_table(left.join(right, F.expr(alike), "left_semi").select("a", "sig"), "found")
+    found = stage_table(left.join(right, F.expr(alike), "left_semi").select("a", "sig"), "found", repeats=False)
 
     collect_garbage(docs.sparkSession)
 
     # The candidates' places, and from the texts their words.
     spark, half = docs.sparkSession, F.expr("k & 4294967295").alias("half")
-    which = found.select(F.expr("a & 4294967295").alias("half"), "sig").distinct()
+    # Distinct narrow rows are met in hash joins, so that the many rows beside them need not be sorted.
+    which = found.select(F.expr("a & 4294967295").alias("half"), "sig").distinct().hint("shuffle_hash")
     chosen = sets.select("k", "sig", "part", "n", "d", "i", half).join(which, ["half", "sig"], "left_semi").drop("half")
-    candidates = stage_table(chosen, "candidates")
+    candidates = stage_table(chosen, "candidates", repeats=False)
     inside = lambda key: F.expr(_member_test(candidates.select(F.xxhash64(*key).alias("h")), "h", p))
     here = docs.withColumn("h", F.xxhash64("d")).where(inside(["d"])).select("d", "odd", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     texts = here.withColumn("h", F.xxhash64("d", "i")).where(inside(["d", "i"])).select("d", "i", F.expr(_hashed("line")).alias("t"))  # met as sets, in any order
     whole = stage_table(texts.join(candidates.select("k", "sig", "d", "i"), ["d", "i"]).select("k", "sig", "t"), "whole", repeats=False)
 
     # (set, prefix token) rows of the candidates, narrow still.
-    named = candidates.select("k", "sig", "part", "n", F.struct("d", "i").alias("at"), half)
-    rows = found.select(F.expr("shiftright(a, 32)").alias("token"), F.expr("a & 4294967295").alias("half"), "sig").join(named, ["half", "sig"]).drop("half")
-    rows = stage_table(rows, "tokens")
+    at = _place(docs) if docs.schema["d"].dataType.simpleString() == "int" else F.struct("d", "i")
+    named = candidates.select("k", "sig", "part", "n", at.alias("at"), half)
+    rows = found.select(F.expr("shiftright(a, 32)").alias("token"), F.expr("a & 4294967295").alias("half"), "sig").join(named.hint("shuffle_hash"), ["half", "sig"]).drop("half")
+    rows = stage_table(rows, "tokens", repeats=False)
     drop_table(spark, found)
     drop_table(spark, candidates)
     before = f"l.token = r.token AND r.at < l.at AND {_maybe_near('l.n', 'r.n', p)}"
     near = lambda a, b: f"size(array_intersect({a}, {b})) >= {_need(f'size({a})', f'size({b})', p)}"
 
     # Against the earliest set of each token.
-    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "k", "sig", "part", "n")).alias("w")).select("token", "w.*")
+    earliest = rows.groupBy("token").agg(F.min("at").alias("at"), *[F.min_by(c, "at").alias(c) for c in ("k", "sig", "part", "n")])
     pairs = rows.alias("l").join(earliest.alias("r"), F.expr(before)).select("l.k", "l.sig", F.col("r.k").alias("wk"), F.col("r.sig").alias("wsig")).distinct()
     other = whole.select(F.col("k").alias("wk"), F.col("sig").alias("wsig"), F.col("t").alias("wt"))
     checked = pairs.join(whole, ["k", "sig"]).join(other, ["wk", "wsig"])
@@ -212,7 +220,7 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     # The rest that may have an earlier neighbour, against all that may be one.
     left = rows.join(settled, ["k", "sig"], "left_anti").alias("l")
-    open_ = stage_table(left.join(rows.alias("r"), F.expr(before), "left_semi"), "open")
+    open_ = stage_table(left.join(rows.alias("r"), F.expr(before), "left_semi"), "open", repeats=False)
     others = rows.alias("r").join(open_.alias("l"), F.expr(before), "left_semi")
     left, right = open_.join(whole, ["k", "sig"]).alias("l"), others.join(whole, ["k", "sig"]).alias("r")
     more = stage_table(left.join(right, F.expr(f"{before} AND {near('l.t', 'r.t')}"), "left_semi").select("k", "sig").distinct(), "more")
@@ -220,15 +228,15 @@ def near_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         drop_table(docs.sparkSession, used)
     collect_garbage(docs.sparkSession)  # before the texts are shuffled
     removed = settled.unionByName(more)
-    return sets.select("k", "sig", "d", "i").join(removed, ["k", "sig"], "left_anti").select("d", "i")
+    return sets.select("k", "sig", "d", "i").join(removed.hint("shuffle_hash"), ["k", "sig"], "left_anti").select("d", "i")
 
 
 def _with_places(docs: DataFrame) -> DataFrame:
-    """``docs`` (c0, c1, ..., id, text) with ``d``, unique and in order: the id, or with repeated ids (id, hash of the text, row)."""
+    """``docs`` (c0, c1, ..., id, text) with ``d``, unique and in order: the id, an int where all are, or with repeated ids (id, hash of the text, row)."""
     least = F.coalesce(F.col("id").cast("long"), F.lit(_FIRST))
-    most = docs.groupBy(least.alias("d")).count().agg(F.max("count")).first()[0]
+    most, low, high = docs.groupBy(least.alias("d")).count().agg(F.max("count"), F.min("d"), F.max("d")).first()
     if (most or 0) <= 1:
-        return docs.withColumn("d", least)
+        return docs.withColumn("d", least.cast("int") if most and -(2**31) <= low and high < 2**31 else least)
     rows = stage_table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
     return rows.withColumn("d", F.struct(least.alias("id"), F.xxhash64("text").alias("h"), "row")).drop("row")
 

@@ -106,6 +106,25 @@ def test_token_sets_are_made_distinct_without_a_sort(spark, monkeypatch):
     assert " div " not in plans["found"]
 
 
+def test_hashes_and_places_stay_plain(spark, monkeypatch):
+    plans, stage = {}, line_dedup.stage_table
+
+    def staged(df, tag, **more):
+        plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, tag, **more)
+
+    monkeypatch.setattr(line_dedup, "stage_table", staged)
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs
+    n = kept().size()
+    texts = ["one two three four five", "Other words\n\nfour of them here", "one two three four five six", "words OTHER\tother\none two three four five"]
+    dedup_and_compare(spark, list(zip([2**31 - 1, -(2**31), -5, 0], texts)))
+    # hashes of words do not pass through a table of lists, places are plain numbers, candidates meet without a sort of all sets
+    assert "hashes" not in plans and "InMemoryTableScan" in plans["lines"]
+    assert "decimal" not in plans["lines"] and "ShuffledHashJoin" in plans["candidates"]
+    assert kept().size() <= n  # nothing stays behind
+    dedup_and_compare(spark, list(zip([2**31, -(2**31) - 1, -5, 0], texts)))
+
+
 def test_columns_of_any_name(spark):
     odd = spark.createDataFrame([(1, "one two three\none two three", 1, 2, 3, 4)], "doc_id long, text string, d long, lines long, `kept.x` long, c0 long")
     got = dedup_lines(odd, SMALL)
